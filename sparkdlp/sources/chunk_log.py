@@ -1,0 +1,59 @@
+"""Logs of streamed answers: ``data:`` lines to ordered chunks.
+
+Works on batch and streaming frames with a ``line`` column.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sparkdlp.functions.text import strip
+
+CHAT_CHUNK = (
+    "choices array<struct<delta:struct<content:string>,finish_reason:string>>"
+)
+MESSAGES_CHUNK = (
+    "type string, delta struct<type:string,text:string,stop_reason:string>"
+)
+
+
+def _payload(line: Column) -> Column:
+    trimmed = strip(line)
+    return F.when(trimmed.startswith("data:"), strip(F.substring(trimmed, 6, 2**31 - 1)))
+
+
+def _chunks(parsed: DataFrame, text: Column, done: Column, finish: Column) -> DataFrame:
+    keep = [c for c in parsed.columns if c not in ("line", "_data", "_json")]
+    delta = F.coalesce(F.when(~done, text), F.lit(""))
+    return parsed.select(
+        *keep,
+        delta.alias("text_delta"),
+        (delta == "").alias("is_control"),
+        done.alias("is_done"),
+        F.when(~done, finish).alias("finish_reason"),
+    )
+
+
+def _json_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Payload lines that hold JSON; others carry no chunk and are dropped."""
+    payload = lines.withColumn("_data", _payload(F.col("line"))).where(F.col("_data") != "")
+    known = (F.col("_data") == "[DONE]") | F.try_parse_json("_data").isNotNull()
+    return payload.where(known).withColumn("_json", F.from_json("_data", schema))
+
+
+def chat_chunks(lines: DataFrame) -> DataFrame:
+    parsed = _json_lines(lines, CHAT_CHUNK)
+    first = F.get(F.col("_json.choices"), F.lit(0))
+    done = F.col("_data") == "[DONE]"
+    return _chunks(parsed, first["delta"]["content"], done, first["finish_reason"])
+
+
+def messages_chunks(lines: DataFrame) -> DataFrame:
+    parsed = _json_lines(lines, MESSAGES_CHUNK).where(F.col("_data") != "[DONE]")
+    kind, delta = F.col("_json.type"), F.col("_json.delta")
+    text = F.when(
+        (kind == "content_block_delta") & (delta["type"] == "text_delta"), delta["text"]
+    )
+    done = F.coalesce(kind == "message_stop", F.lit(False))
+    return _chunks(parsed, text, done, F.when(kind == "message_delta", delta["stop_reason"]))
