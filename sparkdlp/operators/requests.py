@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sparkdlp.config import GuardConfig
 from sparkdlp.functions.text import fold
 from sparkdlp.operators import score as S
+from sparkdlp.operators.audit import merge_summaries, preview_summary, summary_preview
 from sparkdlp.operators.inject import scan_text
 
 BLOCK = 1024
@@ -105,7 +106,11 @@ def content_parts(messages: DataFrame) -> DataFrame:
 
 
 def sanitize_contents(messages: DataFrame, sanitizer: Callable[[Column], Column]) -> DataFrame:
-    """``content_json`` with every scanned text replaced by ``sanitizer`` of it."""
+    """Messages with ``kind`` (text, parts, none) and sanitized ``content`` text.
+
+    Contents of kind ``parts`` are JSON lists in which every scanned text went
+    through ``sanitizer``; dicts nested in a part are left as they are.
+    """
     content = F.col("content")
     as_text = F.when(_is_kind(content, "STRING"), content.cast("string"))
     as_list = F.when(_is_kind(content, "ARRAY"), F.to_json(content))
@@ -114,17 +119,14 @@ def sanitize_contents(messages: DataFrame, sanitizer: Callable[[Column], Column]
         F.filter(F.coalesce("_parts", F.array().cast(PARTS)), lambda p: p["scan"]),
         lambda p: sanitizer(p["text"]),
     )
-    listed = listed.withColumn("_texts", texts)
-    rebuilt = _rebuilt("_list", "_texts")
-    return listed.withColumn("_rebuilt", rebuilt).withColumn(
-        "content_json",
-        F.coalesce(
-            F.when(as_text.isNotNull(), F.to_json(F.to_variant_object(F.array(sanitizer(as_text)))))
-            .substr(F.lit(2), F.lit(2**31 - 1)),
-            F.col("_rebuilt"),
-            F.to_json(content),
-        ),
-    ).drop("_list", "_parts", "_texts", "_rebuilt")
+    rebuilt = listed.withColumn("_texts", texts).withColumn("_new", _rebuilt("_list", "_texts"))
+    kind = F.when(as_text.isNotNull(), "text").when(F.col("_list").isNotNull(), "parts")
+    return rebuilt.withColumns(
+        {
+            "kind": kind.otherwise("none"),
+            "content": F.coalesce(sanitizer(as_text), F.col("_new")),
+        }
+    ).drop("_list", "_parts", "_texts", "_new")
 
 
 def parts_of_turns(turns: DataFrame, request: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -231,8 +233,8 @@ def score_requests(parts: DataFrame, text: str = "scored_text") -> DataFrame:
     )
 
 
-def rollup(scanned: DataFrame) -> DataFrame:
-    """One row per request: flags, labels and signals in match order, and the score.
+def rollup(scanned: DataFrame, preview_chars: int = 120) -> DataFrame:
+    """One row per request: flags, labels and signals in match order, score, preview.
 
     Only parts that found something put a row into the ordered lists.
     """
@@ -247,6 +249,12 @@ def rollup(scanned: DataFrame) -> DataFrame:
             F.array_contains(kinds, "secret").alias("has_secret"),
             F.array_contains(kinds, "pii").alias("has_pii"),
             noted.alias("noted"),
+            F.when(
+                F.col("scored_text").isNotNull(),
+                preview_summary(
+                    F.replace(F.col("forwarded"), F.lit("\n"), F.lit(" ")), preview_chars
+                ),
+            ).alias("shown"),
         )
     )
     merged = merge_features(
@@ -255,6 +263,12 @@ def rollup(scanned: DataFrame) -> DataFrame:
         (F.bool_or("has_secret").alias("has_secret"), F.bool_or("has_secret").alias("has_secret")),
         (F.bool_or("has_pii").alias("has_pii"), F.bool_or("has_pii").alias("has_pii")),
         (F.collect_list("noted").alias("noted"), F.flatten(F.collect_list("noted")).alias("noted")),
+        (
+            merge_summaries(
+                F.struct("msg_ix", "part_ix"), F.col("shown"), preview_chars
+            ).alias("shown"),
+            merge_summaries(F.col("_block"), F.col("shown"), preview_chars).alias("shown"),
+        ),
     )
     notes = F.array_sort("noted")
 
@@ -270,7 +284,10 @@ def rollup(scanned: DataFrame) -> DataFrame:
                 "pii_findings": labels("pii"),
                 "injection_findings": labels("injection_heuristic"),
                 "evasion_signals": F.flatten(F.col("_notes")["signals"]),
+                "prompt_preview": F.coalesce(
+                    summary_preview(F.col("shown"), preview_chars), F.lit("")
+                ),
             }
         )
-        .drop("noted", "_notes")
+        .drop("noted", "_notes", "shown")
     )
