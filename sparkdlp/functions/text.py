@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdlp.functions.patterns import SPACE, Gate, java_form
@@ -77,3 +77,14 @@ def rstrip(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, inside one expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def settle(df: DataFrame, *computed: str) -> DataFrame:
+    """``df`` with ``computed`` columns that later filters do not look through.
+
+    A filter on a column is otherwise moved below the projection that computes it
+    and the whole computation is repeated there, once per step of a chain that
+    reads its input more than once.  A one-row generator stops that.
+    """
+    keep = [c for c in df.columns if c not in computed]
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdlp.functions import patterns as P
-from sparkdlp.functions.text import fold, gate, matches
+from sparkdlp.functions.text import fold, gate, matches, settle
 from sparkdlp.operators.normalize import normalize
 from sparkdlp.operators.redact import FINDINGS, finding, redact
 
@@ -42,7 +42,7 @@ def injection_hits(targets: DataFrame, *ids: str, target: str = "target") -> Dat
     masked = targets.withColumn("_fold", fold(F.col(target))).withColumn(
         "_mask", phrase_mask(F.col(target), F.col("_fold"))
     )
-    return masked.where(F.col("_mask") != 0).select(
+    return settle(masked, "_mask").where(F.col("_mask") != 0).select(
         *ids, F.explode(mask_findings(F.col("_mask"))["label"]).alias("label")
     )
 
@@ -67,6 +67,7 @@ def scan_text(df: DataFrame, text: str = "text", decode: bool = True) -> DataFra
     phrases = F.concat(
         mask_findings(F.col("_mask")), F.flatten(F.transform("_vmasks", mask_findings))
     )
+    view = settle(view, "_mask", "_vmasks")
     hit = (F.col("_mask") != 0) | F.exists("_vmasks", lambda m: m != 0)
     return (
         view.withColumn("inj_hit", hit)

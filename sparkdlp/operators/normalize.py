@@ -17,10 +17,11 @@ from html.entities import html5
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sparkdlp.functions import patterns as P
 from sparkdlp.functions.text import (
-    STRINGS, empty_strings, find_all, is_ascii, let, substitute, substitute_before_last,
+    STRINGS, empty_strings, find_all, is_ascii, let, settle, substitute, substitute_before_last,
 )
 
 # Every zero-width mark and look-alike letter lies above the combining marks of
@@ -219,7 +220,7 @@ def needs_nfkc(text: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -293,9 +294,11 @@ def normalize(df: DataFrame, text: str = "text", decode: bool = True) -> DataFra
     view = fold_compatibility(view, "normalized")
     view = view.withColumn("normalized", collapse_spaces(fold_homoglyphs(F.col("normalized"))))
     if not decode:
-        return view.withColumns({"variants": empty_strings(), "signals": empty_strings()})
+        return settle(view, "normalized").withColumns(
+            {"variants": empty_strings(), "signals": empty_strings()}
+        )
     view = view.withColumn("_enc", F.concat(decode_base64(source), decode_percent(source)))
-    return view.withColumns(
+    return settle(view, "normalized", "_enc").withColumns(
         {
             "variants": F.col("_enc")["text"].cast(STRINGS),
             "signals": F.col("_enc")["signal"].cast(STRINGS),

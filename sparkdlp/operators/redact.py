@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkdlp.functions import patterns as P
 from sparkdlp.functions.text import (
-    empty_strings, find_all, fold, gate, let, matches, substitute, substitute_before_last,
+    empty_strings, find_all, fold, gate, let, matches, settle, substitute, substitute_before_last,
 )
 
 FINDINGS = "array<struct<kind:string,label:string,preview:string>>"
@@ -139,13 +139,14 @@ def redact_secrets(
         )
         found.append(F.transform(F.col(f"_m{i}"), _secret_finding(label)))
     any_match = F.greatest(*(F.size(f"_m{i}") for i in range(len(found)))) > 0
-    return step.select(
+    done = step.select(
         *keep,
         F.col("_t").alias(out),
         F.when(any_match, F.flatten(F.array(*found)))
         .otherwise(F.array().cast(FINDINGS))
         .alias(findings),
     )
+    return settle(done, out, findings)
 
 
 def redact_pii(
@@ -188,11 +189,12 @@ def redact_pii(
         F.array_repeat(finding("pii", "credit_card", P.CARD_PREVIEW), F.col("_n_card")),
     )
     any_match = (F.col("_n_ssn") + F.col("_n_email") + F.col("_n_card")) > 0
-    return step.select(
+    done = step.select(
         *keep,
         F.col("_t").alias(out),
         F.when(any_match, repeated).otherwise(F.array().cast(FINDINGS)).alias(findings),
     )
+    return settle(done, out, findings)
 
 
 def redact(

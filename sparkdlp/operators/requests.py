@@ -14,15 +14,16 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from sparkdlp.config import GuardConfig
-from sparkdlp.functions.text import fold
+from sparkdlp.functions.text import fold, settle
 from sparkdlp.operators import score as S
 from sparkdlp.operators.audit import merge_summaries, preview_summary, summary_preview
 from sparkdlp.operators.inject import scan_text
 
 BLOCK = 1024
-PARTS = "array<struct<text:string,scan:boolean>>"
+PARTS = ArrayType(StructType().add("text", StringType()).add("scan", BooleanType()))
 SCORED_ROLES = ("user", "system")
 
 
@@ -61,7 +62,7 @@ def _list_parts(contents: pd.Series) -> pd.Series:
     return contents.map(parts, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _rebuilt(contents: pd.Series, texts: pd.Series) -> pd.Series:
     def rebuild(content, replacements):
         if content is None:
@@ -168,7 +169,7 @@ def with_features(parts: DataFrame, text: str = "scored_text") -> DataFrame:
     """Mergeable score facts per part; null text gives neutral facts."""
     step = parts.withColumn("_fold", fold(F.col(text)))
     t, folded, present = F.col(text), F.col("_fold"), F.col(text).isNotNull()
-    return step.withColumns(
+    facts = step.withColumns(
         {
             "f_mask": F.when(present, S.feature_mask(t, folded)).otherwise(F.lit(0)),
             "f_letters": F.when(present, S.letters(t)).otherwise(F.lit(0)),
@@ -176,6 +177,7 @@ def with_features(parts: DataFrame, text: str = "scored_text") -> DataFrame:
             "f_edge": F.when(present, S.edge(t, folded)),
         }
     ).drop("_fold")
+    return settle(facts, "f_mask", "f_letters", "f_capitals", "f_edge")
 
 
 def _in_order(value: Column) -> Column:

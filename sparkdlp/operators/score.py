@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkdlp.functions import patterns as P
 from sparkdlp.functions.patterns import SPACE, java_form
-from sparkdlp.functions.text import fold, gate, matches
+from sparkdlp.functions.text import fold, gate, matches, settle
 from sparkdlp.operators.inject import N_PHRASES, PHRASE_BITS, phrase_mask
 
 # --- fixed values: weights of the heuristic score -----------------------------
@@ -129,7 +129,7 @@ def heuristic_score(df: DataFrame, text: str = "text", out: str = "score") -> Da
             "_capitals": capitals(F.col("_t")),
         }
     )
-    return step.select(
+    return settle(step.drop("_t", "_fold"), "_mask", "_letters", "_capitals").select(
         *keep, combine(F.col("_mask"), F.col("_letters"), F.col("_capitals")).alias(out)
     )
 

@@ -26,12 +26,16 @@ _STATE = "held string, stopped boolean, named boolean, last_seq bigint"
 
 
 def scan_chunk_stream(
-    chunks: DataFrame, cfg: GuardConfig = GuardConfig(), token: str | None = "token"
+    chunks: DataFrame,
+    cfg: GuardConfig = GuardConfig(),
+    token: str | None = "token",
+    idle_ms: int = 3_600_000,
 ) -> DataFrame:
     """The batch operator's rows, for a stream of chunks.
 
     ``token`` names the column that carries the request's canary.  Chunks seen
-    again (``seq`` not above the last one) are dropped.
+    again (``seq`` not above the last one) are dropped.  A request silent for
+    ``idle_ms`` is forgotten; what it still held back is never released.
     """
     buffer, strict = cfg.buffer_chars, cfg.strict_streaming
     keep = buffer if strict else 2 * buffer
@@ -44,6 +48,9 @@ def scan_chunk_stream(
     )
 
     def step(ids, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         patterns = [re.compile(p) for p in SECRET_PATTERNS.values()] if secrets else []
 
         def verdict(text: str, tok: str) -> str | None:
@@ -80,13 +87,14 @@ def scan_chunk_stream(
                 finish, named = row.finish_reason, True
             out.append((ids[0], row.seq, raw, reason is not None, reason, finish))
         state.update((held, stopped, named, last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
             out, columns=["request_id", "seq", "raw", "blocked", "reason", "finish"]
         )
 
     id_type = rows.schema["request_id"].dataType.simpleString()
     live = rows.groupBy("request_id").applyInPandasWithState(
-        step, _OUT.format(id=id_type), _STATE, "append", GroupStateTimeout.NoTimeout
+        step, _OUT.format(id=id_type), _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
     if not secrets:
         return live.withColumnRenamed("raw", "release")
