@@ -17,8 +17,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from sparkdlp.config import GuardConfig, materialize
 
@@ -109,6 +110,13 @@ def apply_transfer(pieces: Iterable[Piece], units: int) -> int:
     raise ValueError("units outside the bucket")
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970, for timestamps with and without a time zone."""
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(F.col(ts))
+
+
 def _heavy_keys(arrivals: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     counted = arrivals.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return counted.where(F.col("_n") > chunk_rows)
@@ -157,7 +165,7 @@ def token_bucket(
     Arrivals at the same time are taken in the order of ``row_id``.
     """
     narrow = arrivals.select(
-        F.col(row_id).alias("_tie"), F.col(key), F.unix_micros(F.col(ts)).alias("_us")
+        F.col(row_id).alias("_tie"), F.col(key), micros(arrivals, ts).alias("_us")
     )
     heavy = _heavy_keys(narrow, key, chunk_rows)
     heavy_rows = heavy.agg(F.sum("_n")).first()[0]  # one number; plans the chunks

@@ -219,13 +219,13 @@ def findings_table(scanned: DataFrame, *ids: str, findings: str = "findings") ->
     )
 
 
-def findings_by_label(scanned: DataFrame, row_id: str, findings: str = "findings") -> DataFrame:
+def findings_by_label(scanned: DataFrame, findings: str = "findings") -> DataFrame:
     """Matches and rows per (kind, label).
 
     Counted within each row first, so the shuffle carries partial sums and no
     distinct over row ids is needed.
     """
-    per_row = scanned.select(row_id, findings).select(
+    per_row = scanned.select(
         F.explode(
             F.transform(
                 F.array_distinct(

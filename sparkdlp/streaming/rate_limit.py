@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sparkdlp.operators.rate_limit import Bucket
+from sparkdlp.operators.rate_limit import Bucket, micros
 
 
 def token_bucket_stream(
@@ -27,7 +27,7 @@ def token_bucket_stream(
     """(row_id, key, allowed, wait_seconds, retry_after), as the batch operator gives."""
     narrow = arrivals.select(
         F.col(row_id).alias("_tie"), F.col(key).alias("_key"),
-        F.unix_micros(F.col(ts)).alias("_us"),
+        micros(arrivals, ts).alias("_us"),
     )
 
     def step(ids, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
