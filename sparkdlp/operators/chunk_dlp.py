@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdlp.config import GuardConfig
+from sparkdlp.functions import sqltext as sql
 from sparkdlp.operators.canary import leaks
 from sparkdlp.operators.output import LEAK_REASON, finish_reason
 from sparkdlp.operators.redact import has_secret, redact
@@ -137,7 +138,9 @@ def scan_chunks(
     seen = seen.withColumns({"_look": looked_at, "_raw": raw})
 
     leaked = leaks(F.col("_look"), F.col("token"))
-    secret = has_secret(F.col("_look")) if cfg.output_secret_scan else F.lit(False)
+    secret = (
+        F.expr(has_secret("_look", sql.fold("_look"))) if cfg.output_secret_scan else F.lit(False)
+    )
     seen = seen.withColumn(
         "reason", F.when(leaked, F.lit(LEAK_REASON)).when(secret, F.lit(SECRET_REASON))
     ).select(*_KEYS, "seq", "is_control", "is_done", "finish_reason", "reason", "_raw")

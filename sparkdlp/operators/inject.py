@@ -2,48 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdlp.functions import patterns as P
-from sparkdlp.functions.text import fold, gate, matches, settle
+from sparkdlp.functions import sqltext as sql
+from sparkdlp.functions.text import settle
 from sparkdlp.operators.normalize import normalize
-from sparkdlp.operators.redact import FINDINGS, finding, redact
+from sparkdlp.operators.redact import FINDINGS, redact
 
 N_PHRASES = len(P.INJECTION_PATTERNS)
 PHRASE_BITS = (1 << N_PHRASES) - 1
 
 
-def phrase_mask(text: Column, folded: Column) -> Column:
-    """Integer with bit ``i`` set where phrase pattern ``i`` occurs in the text."""
-    mask = F.lit(0)
-    for i, (pattern, g) in enumerate(zip(P.INJECTION_PATTERNS, P.INJECTION_GATES)):
-        hit = gate(g, text, folded) & matches(pattern, text)
-        mask = mask.bitwiseOR(F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)))
-    return mask
+def phrase_mask(x: str, folded: str) -> str:
+    """SQL text of an integer with bit ``i`` set where phrase pattern ``i`` occurs."""
+    bits = (
+        f"if({sql.gate(g, x, folded)} AND {sql.matches(p, x)}, {1 << i}, 0)"
+        for i, (p, g) in enumerate(zip(P.INJECTION_PATTERNS, P.INJECTION_GATES))
+    )
+    return "(" + " | ".join(bits) + ")"
 
 
-def mask_findings(mask: Column) -> Column:
-    """One finding per set phrase bit, in catalog order."""
-    flagged = [
-        F.when(
-            mask.bitwiseAND(F.lit(1 << i)) != 0,
-            finding("injection_heuristic", P.injection_label(p), P.INJECTION_PREVIEW),
-        )
-        for i, p in enumerate(P.INJECTION_PATTERNS)
-    ]
-    return F.when(mask != 0, F.array_compact(F.array(*flagged))).otherwise(
-        F.array().cast(FINDINGS)
+def mask_findings(mask: str) -> str:
+    """SQL text of one finding per set phrase bit, in catalog order."""
+    labels = "array(" + ", ".join(sql.raw(P.injection_label(p)) for p in P.INJECTION_PATTERNS) + ")"
+    return (
+        f"if({mask} = 0, cast(array() AS {FINDINGS}), transform(filter(sequence(0, {N_PHRASES - 1}), "
+        f"i -> ({mask} & shiftleft(1, i)) <> 0), i -> named_struct('kind', 'injection_heuristic', "
+        f"'label', {labels}[i], 'preview', '{P.INJECTION_PREVIEW}')))"
     )
 
 
 def injection_hits(targets: DataFrame, *ids: str, target: str = "target") -> DataFrame:
     """(ids, label) for every pattern found in every scan target."""
-    masked = targets.withColumn("_fold", fold(F.col(target))).withColumn(
-        "_mask", phrase_mask(F.col(target), F.col("_fold"))
+    masked = targets.withColumn("_fold", F.expr(sql.fold(f"`{target}`"))).withColumn(
+        "_mask", F.expr(phrase_mask(f"`{target}`", "_fold"))
     )
     return settle(masked, "_mask").where(F.col("_mask") != 0).select(
-        *ids, F.explode(mask_findings(F.col("_mask"))["label"]).alias("label")
+        *ids, F.explode(F.expr(f"({mask_findings('_mask')}).label")).alias("label")
     )
 
 
@@ -54,26 +51,24 @@ def scan_text(df: DataFrame, text: str = "text", decode: bool = True) -> DataFra
     and in every decoded payload.  One narrow stage, whatever the table size.
     """
     view = redact(normalize(df, text, decode), text)
-    view = view.withColumn("_fold", fold(F.col("normalized"))).withColumn(
-        "_mask", phrase_mask(F.col("normalized"), F.col("_fold"))
+    view = view.withColumn("_fold", F.expr(sql.fold("normalized")))
+    in_variants = (
+        f"if(size(variants) = 0, cast(array() AS array<int>), "
+        f"transform(variants, v -> {phrase_mask('v', sql.fold('v'))}))"
     )
-    view = view.withColumn(
-        "_vmasks",
-        F.when(
-            F.size("variants") > 0,
-            F.transform("variants", lambda v: phrase_mask(v, fold(v))),
-        ).otherwise(F.array().cast("array<int>")),
+    view = view.withColumns(
+        {
+            "_mask": F.expr(phrase_mask("normalized", "_fold")),
+            "_vmasks": F.expr(in_variants),
+        }
     )
-    phrases = F.concat(
-        mask_findings(F.col("_mask")), F.flatten(F.transform("_vmasks", mask_findings))
+    view = settle(view.drop("_fold"), "_mask", "_vmasks")
+    phrases = (
+        f"concat({mask_findings('_mask')}, "
+        f"flatten(transform(_vmasks, vm -> {mask_findings('vm')})))"
     )
-    view = settle(view, "_mask", "_vmasks")
-    hit = (F.col("_mask") != 0) | F.exists("_vmasks", lambda m: m != 0)
     return (
-        view.withColumn("inj_hit", hit)
-        .withColumn(
-            "findings",
-            F.when(F.col("inj_hit"), F.concat("findings", phrases)).otherwise(F.col("findings")),
-        )
-        .drop("_fold", "_mask", "_vmasks")
+        view.withColumn("inj_hit", F.expr("_mask <> 0 OR exists(_vmasks, m -> m <> 0)"))
+        .withColumn("findings", F.expr(f"if(inj_hit, concat(findings, {phrases}), findings)"))
+        .drop("_mask", "_vmasks")
     )

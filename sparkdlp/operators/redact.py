@@ -2,7 +2,7 @@
 
 Everything is a projection: no shuffle, no Python worker.  A pattern runs only on
 rows that hold its literals (``patterns.SECRET_GATES``), each on the output of the
-one before it.
+one before it.  Results leave through a one-row generator (see ``text.settle``).
 """
 
 from __future__ import annotations
@@ -14,20 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdlp.functions import patterns as P
-from sparkdlp.functions.text import (
-    empty_strings, find_all, fold, gate, let, matches, settle, substitute, substitute_before_last,
-)
+from sparkdlp.functions import sqltext as sql
+from sparkdlp.functions.text import find_all, let, matches, substitute, substitute_before_last
 
 FINDINGS = "array<struct<kind:string,label:string,preview:string>>"
 
 _KEY_END = "PRIVATE KEY-----"
 
 
-def finding(kind: str, label: str, preview: str | Column) -> Column:
-    shown = F.lit(preview) if isinstance(preview, str) else preview
-    return F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), shown.alias("preview"))
-
-
 @cache
 def _decimal_digits() -> tuple[str, str]:
     """Every decimal digit outside ASCII, and the ASCII digit of the same value."""
@@ -51,14 +45,6 @@ def luhn_valid(candidate: Column) -> Column:
     return let(F.regexp_replace(candidate, r"\P{Nd}+", ""), check)
 
 
-def _secret_finding(label: str):
-    def build(match: Column) -> Column:
-        shown = F.substring(match, 1, P.SECRET_PREVIEW_CHARS)
-        return finding("secret", label, F.concat(shown, F.lit(P.SECRET_PREVIEW_SUFFIX)))
-
-    return build
-
-
 def _substitute_secret(label: str, text: Column) -> Column:
     pattern = P.SECRET_PATTERNS[label]
     if label == "private_key_block":
@@ -93,13 +79,12 @@ def redact_cards(text: Column) -> Column:
     )
 
 
-def has_secret(text: Column, folded: Column | None = None) -> Column:
-    """True where any secret pattern matches (what the redaction chain would find)."""
-    folded = fold(text) if folded is None else folded
-    hit = F.lit(False)
-    for label, pattern in P.SECRET_PATTERNS.items():
-        hit = hit | (gate(P.SECRET_GATES[label], text, folded) & matches(pattern, text))
-    return hit
+def has_secret(x: str, folded: str) -> str:
+    """SQL text: does any secret pattern match (what the redaction would find)?"""
+    return "(" + " OR ".join(
+        f"({sql.gate(P.SECRET_GATES[label], x, folded)} AND {sql.matches(pattern, x)})"
+        for label, pattern in P.SECRET_PATTERNS.items()
+    ) + ")"
 
 
 def redact_text(text: Column) -> Column:
@@ -108,45 +93,104 @@ def redact_text(text: Column) -> Column:
     def chain(t: Column) -> Column:
         out = t
         for label in P.SECRET_PATTERNS:
-            out = substitute(P.SECRET_PATTERNS[label], out, P.REDACTED_SECRET)
-        secrets_done = F.when(has_secret(t), out).otherwise(t)
-        return redact_cards(redact_email(redact_ssn(secrets_done)))
+            out = _substitute_secret(label, out)
+        return redact_cards(redact_email(redact_ssn(out)))
 
     return let(text, chain)
 
 
+_NONE = f"cast(array() AS {FINDINGS})"
+_STATE = "named_struct('t', {t}, 'f', {f})"
+
+
+def _secret_chain(x: str, folded: str) -> str:
+    """SQL text of struct(t, f): text and findings after all secret patterns."""
+    state = _STATE.format(t=x, f=_NONE)
+    for k, (label, pattern) in enumerate(P.SECRET_PATTERNS.items()):
+        s, m = f"s{k}", f"m{k}"
+        found = sql.let(
+            f"if({sql.gate(P.SECRET_GATES[label], x, folded)}, "
+            f"{sql.find_all(pattern, s + '.t')}, cast(array() AS array<string>))",
+            m,
+            f"if(size({m}) = 0, {s}, "
+            + _STATE.format(
+                t=sql.substitute(pattern, s + ".t", P.REDACTED_SECRET),
+                f=f"concat({s}.f, transform({m}, h -> named_struct('kind', 'secret', 'label', "
+                f"{sql.raw(label)}, 'preview', concat(substring(h, 1, {P.SECRET_PREVIEW_CHARS}), "
+                f"{sql.raw(P.SECRET_PREVIEW_SUFFIX)}))))",
+            )
+            + ")",
+        )
+        state = sql.let(state, s, found)
+    return state
+
+
 def redact_secrets(
     df: DataFrame, text: str = "text", out: str = "sanitized", findings: str = "findings"
 ) -> DataFrame:
-    """Twelve patterns in catalog order; one finding per match."""
+    """Twelve patterns in catalog order; one finding per match.
+
+    Rows without any literal of any pattern pass in one scan per literal.
+    """
     keep = [c for c in df.columns if c not in (out, findings)]
-    source = F.col(text)
-    step = df.select(*keep, source.alias("_t"), fold(source).alias("_fold"))
-    gates = {
-        f"_g{i}": gate(P.SECRET_GATES[label], F.col("_t"), F.col("_fold"))
-        for i, label in enumerate(P.SECRET_PATTERNS)
-    }
-    step = step.select(*keep, "_t", *(c.alias(n) for n, c in gates.items()))
-    found = []
-    for i, (label, pattern) in enumerate(P.SECRET_PATTERNS.items()):
-        hits = F.when(F.col(f"_g{i}"), find_all(pattern, F.col("_t"))).otherwise(empty_strings())
-        step = step.withColumn(f"_m{i}", hits)
-        step = step.withColumn(
-            "_t",
-            F.when(F.size(f"_m{i}") > 0, _substitute_secret(label, F.col("_t"))).otherwise(
-                F.col("_t")
-            ),
+    step = df.select(*keep, F.col(text).alias("_t")).withColumn("_fold", F.expr(sql.fold("_t")))
+    possible = " OR ".join(sql.gate(g, "_t", "_fold") for g in P.SECRET_GATES.values())
+    unchanged = _STATE.format(t="_t", f=_NONE)
+    done = f"if({possible}, {_secret_chain('_t', '_fold')}, {unchanged})"
+    return step.select(*keep, F.expr(f"inline(array({done}))").alias(out, findings))
+
+
+def _pii_chain(x: str) -> str:
+    """SQL text of struct(t, f): text and findings after SSN, e-mail and cards."""
+
+    def counted(pattern: str, needle: str, t: str) -> str:
+        return f"if(contains({t}, '{needle}'), size({sql.find_all(pattern, t)}), 0)"
+
+    def replaced(n: str, pattern: str, t: str, replacement: str) -> str:
+        return f"if({n} > 0, {sql.substitute(pattern, t, replacement)}, {t})"
+
+    def repeated(label: str, preview: str, n: str) -> str:
+        item = f"named_struct('kind', 'pii', 'label', '{label}', 'preview', {sql.raw(preview)})"
+        return f"array_repeat({item}, {n})"
+
+    digits = r"regexp_replace(m, r'\P{Nd}+', '')"
+    foreign, native = _decimal_digits()
+    valid = sql.let(
+        digits,
+        "d",
+        f"length(d) BETWEEN 13 AND 19 AND luhn_check(if({sql.is_ascii('d')}, d, "
+        f"translate(d, '{foreign}', '{native}')))",
+    )
+    card = sql.raw(P.REDACTED_CARD)
+    cards = (
+        f"if(n3 = 0, t2, array_join(zip_with(split(t2, {sql.pattern(P.CARD_PATTERN)}, -1), "
+        "concat(shown, array('')), (g, m) -> concat(g, m)), ''))"
+    )
+    labels = ", ".join(
+        repeated(*item)
+        for item in (
+            ("ssn", P.SSN_PREVIEW, "n1"),
+            ("email", P.EMAIL_PREVIEW, "n2"),
+            ("credit_card", P.CARD_PREVIEW, "n3"),
         )
-        found.append(F.transform(F.col(f"_m{i}"), _secret_finding(label)))
-    any_match = F.greatest(*(F.size(f"_m{i}") for i in range(len(found)))) > 0
-    done = step.select(
-        *keep,
-        F.col("_t").alias(out),
-        F.when(any_match, F.flatten(F.array(*found)))
-        .otherwise(F.array().cast(FINDINGS))
-        .alias(findings),
     )
-    return settle(done, out, findings)
+    found = f"if(n1 + n2 + n3 = 0, {_NONE}, concat({labels}))"
+    body = _STATE.format(t=cards, f=found)
+    for value, name in (
+        (f"size(filter(shown, c -> c = {card}))", "n3"),
+        (
+            f"if(size(cs) = 0, cs, transform(cs, m -> if({valid}, {card}, m)))",
+            "shown",
+        ),
+        (sql.find_all(P.CARD_PATTERN, "t2"), "cs"),
+        (replaced("n2", P.EMAIL_PATTERN, "t1", P.REDACTED_EMAIL), "t2"),
+        (counted(P.EMAIL_PATTERN, "@", "t1"), "n2"),
+        (replaced("n1", P.SSN_PATTERN, "t0", P.REDACTED_SSN), "t1"),
+        (counted(P.SSN_PATTERN, "-", "t0"), "n1"),
+        (x, "t0"),
+    ):
+        body = sql.let(value, name, body)
+    return body
 
 
 def redact_pii(
@@ -155,61 +199,18 @@ def redact_pii(
     """SSN, then e-mail, then cards that pass the checksum."""
     keep = [c for c in df.columns if c not in (out, findings)]
     step = df.select(*keep, F.col(text).alias("_t"))
-    simple = (
-        ("ssn", P.SSN_PATTERN, "-", P.REDACTED_SSN),
-        ("email", P.EMAIL_PATTERN, "@", P.REDACTED_EMAIL),
-    )
-    for name, pattern, needle, replacement in simple:
-        t = F.col("_t")
-        present = F.contains(t, F.lit(needle)) & matches(pattern, t)
-        step = step.withColumn(
-            f"_n_{name}",
-            F.when(present, F.regexp_count(t, F.lit(P.java_form(pattern)))).otherwise(F.lit(0)),
-        )
-        step = step.withColumn(
-            "_t",
-            F.when(F.col(f"_n_{name}") > 0, substitute(pattern, t, replacement)).otherwise(t),
-        )
-    step = step.withColumn("_cards", find_all(P.CARD_PATTERN, F.col("_t")))
-    step = step.withColumn(
-        "_n_card",
-        F.when(
-            F.size("_cards") > 0, F.size(F.filter(F.col("_cards"), luhn_valid))
-        ).otherwise(F.lit(0)),
-    )
-    step = step.withColumn(
-        "_t",
-        F.when(F.col("_n_card") > 0, _replace_cards(F.col("_t"), F.col("_cards"))).otherwise(
-            F.col("_t")
-        ),
-    )
-    repeated = F.concat(
-        F.array_repeat(finding("pii", "ssn", P.SSN_PREVIEW), F.col("_n_ssn")),
-        F.array_repeat(finding("pii", "email", P.EMAIL_PREVIEW), F.col("_n_email")),
-        F.array_repeat(finding("pii", "credit_card", P.CARD_PREVIEW), F.col("_n_card")),
-    )
-    any_match = (F.col("_n_ssn") + F.col("_n_email") + F.col("_n_card")) > 0
-    done = step.select(
-        *keep,
-        F.col("_t").alias(out),
-        F.when(any_match, repeated).otherwise(F.array().cast(FINDINGS)).alias(findings),
-    )
-    return settle(done, out, findings)
+    return step.select(*keep, F.expr(f"inline(array({_pii_chain('_t')}))").alias(out, findings))
 
 
 def redact(
     df: DataFrame, text: str = "text", out: str = "sanitized", findings: str = "findings"
 ) -> DataFrame:
     """Secrets, then personal data on the secret-free text."""
-    secrets = redact_secrets(df, text, "_secret_free", "_secret_findings")
-    both = redact_pii(secrets, "_secret_free", out, "_pii_findings")
-    merged = F.when(
-        F.size("_pii_findings") + F.size("_secret_findings") > 0,
-        F.concat(F.col("_secret_findings"), F.col("_pii_findings")),
-    ).otherwise(F.array().cast(FINDINGS))
-    return both.withColumn(findings, merged).drop(
-        "_secret_free", "_secret_findings", "_pii_findings"
-    )
+    keep = [c for c in df.columns if c not in (out, findings)]
+    secrets = redact_secrets(df, text, "_secret_free", "_secrets")
+    both = redact_pii(secrets, "_secret_free", out, "_pii")
+    merged = f"if(size(_secrets) + size(_pii) = 0, {_NONE}, concat(_secrets, _pii))"
+    return both.select(*keep, out, F.expr(merged).alias(findings))
 
 
 def findings_table(scanned: DataFrame, *ids: str, findings: str = "findings") -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from sparkdlp.config import GuardConfig
-from sparkdlp.functions.text import fold, settle
+from sparkdlp.functions import sqltext as sql
+from sparkdlp.functions.text import settle
 from sparkdlp.operators import score as S
 from sparkdlp.operators.audit import merge_summaries, preview_summary, summary_preview
 from sparkdlp.operators.inject import scan_text
@@ -167,14 +168,18 @@ def ordered_text(parts: DataFrame, column: str = "forwarded") -> DataFrame:
 
 def with_features(parts: DataFrame, text: str = "scored_text") -> DataFrame:
     """Mergeable score facts per part; null text gives neutral facts."""
-    step = parts.withColumn("_fold", fold(F.col(text)))
-    t, folded, present = F.col(text), F.col("_fold"), F.col(text).isNotNull()
+    x = f"`{text}`"
+    step = parts.withColumn("_fold", F.expr(sql.fold(x)))
+
+    def fact(value: str, neutral: str) -> Column:
+        return F.expr(f"if({x} IS NULL, {neutral}, {value})")
+
     facts = step.withColumns(
         {
-            "f_mask": F.when(present, S.feature_mask(t, folded)).otherwise(F.lit(0)),
-            "f_letters": F.when(present, S.letters(t)).otherwise(F.lit(0)),
-            "f_capitals": F.when(present, S.capitals(t)).otherwise(F.lit(0)),
-            "f_edge": F.when(present, S.edge(t, folded)),
+            "f_mask": fact(S.feature_mask(x, "_fold"), "0"),
+            "f_letters": fact(S.letters(x), "0"),
+            "f_capitals": fact(S.capitals(x), "0"),
+            "f_edge": fact(S.edge(x, "_fold"), "NULL"),
         }
     ).drop("_fold")
     return settle(facts, "f_mask", "f_letters", "f_capitals", "f_edge")

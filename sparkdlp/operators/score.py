@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkdlp.functions import patterns as P
 from sparkdlp.functions.patterns import SPACE, java_form
-from sparkdlp.functions.text import fold, gate, matches, settle
+from sparkdlp.functions import sqltext as sql
+from sparkdlp.functions.text import matches, settle
 from sparkdlp.operators.inject import N_PHRASES, PHRASE_BITS, phrase_mask
 
 # --- fixed values: weights of the heuristic score -----------------------------
@@ -37,36 +38,33 @@ _ONLY_PROMPT = rf"(?iu)\A{SPACE}*prompt{SPACE}*\z"
 _INERT = "|"
 
 
-def feature_mask(text: Column, folded: Column) -> Column:
-    """Phrase bits plus the role-play, imperative and punctuation bits."""
-    mask = phrase_mask(text, folded)
-    for bit, pattern, g in (
-        (_ROLEPLAY, P.ROLEPLAY_PATTERN, P.ROLEPLAY_GATE),
-        (_IMPERATIVE, P.IMPERATIVE_PATTERN, P.IMPERATIVE_GATE),
-        (_PUNCTUATION, P.PUNCTUATION_PATTERN, P.PUNCTUATION_GATE),
-    ):
-        hit = gate(g, text, folded) & matches(pattern, text)
-        mask = mask.bitwiseOR(F.when(hit, F.lit(bit)).otherwise(F.lit(0)))
-    return mask
+def feature_mask(x: str, folded: str) -> str:
+    """SQL text: phrase bits plus the role-play, imperative and punctuation bits."""
+    bits = (
+        f"if({sql.gate(g, x, folded)} AND {sql.matches(p, x)}, {bit}, 0)"
+        for bit, p, g in (
+            (_ROLEPLAY, P.ROLEPLAY_PATTERN, P.ROLEPLAY_GATE),
+            (_IMPERATIVE, P.IMPERATIVE_PATTERN, P.IMPERATIVE_GATE),
+            (_PUNCTUATION, P.PUNCTUATION_PATTERN, P.PUNCTUATION_GATE),
+        )
+    )
+    return f"({phrase_mask(x, folded)} | {' | '.join(bits)})"
 
 
-def edge(text: Column, folded: Column) -> Column:
-    """What a part can give to a phrase that crosses its first or last line.
+def edge(x: str, folded: str) -> str:
+    """SQL text: what a part can give to a phrase that crosses its first or last line.
 
     Empty for a blank part, ``|`` for a part that gives nothing, else the words at
     its edges around a ``|``.
     """
-    live = None
-    for word in _EDGE_WORDS:
-        found = F.contains(folded, F.lit(word))
-        live = found if live is None else live | found
-    words = F.when(text.rlike(_ONLY_PROMPT), F.lit("prompt")).otherwise(
-        F.concat(
-            F.regexp_extract(text, _HEAD, 1), F.lit(_INERT), F.regexp_extract(text, _TAIL, 1)
-        )
+    live = " OR ".join(f"contains({folded}, '{word}')" for word in _EDGE_WORDS)
+    visible = sql.raw(SPACE.replace("[", "[^", 1))
+    return (
+        f"CASE WHEN NOT {x} RLIKE {visible} THEN '' WHEN NOT ({live}) THEN '{_INERT}' "
+        f"WHEN {x} RLIKE {sql.raw(_ONLY_PROMPT)} THEN 'prompt' "
+        f"ELSE concat(regexp_extract({x}, {sql.raw(_HEAD)}, 1), '{_INERT}', "
+        f"regexp_extract({x}, {sql.raw(_TAIL)}, 1)) END"
     )
-    blank = ~text.rlike(SPACE.replace("[", "[^", 1))
-    return F.when(blank, F.lit("")).when(live, words).otherwise(F.lit(_INERT))
 
 
 def squeeze_edges(edges: Column) -> Column:
@@ -83,12 +81,12 @@ def crossing_mask(edges: Column) -> Column:
     return F.when(edges.isNull() | (F.length(edges) < 6), F.lit(0)).otherwise(mask)
 
 
-def letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+def letters(x: str) -> str:
+    return f"length(regexp_replace({x}, r'[^\\p{{L}}]+', ''))"
 
 
-def capitals(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+def capitals(x: str) -> str:
+    return f"length(regexp_replace({x}, r'[^\\p{{Lu}}]+', ''))"
 
 
 def phrase_count(mask: Column) -> Column:
@@ -121,12 +119,12 @@ def heuristic_score(df: DataFrame, text: str = "text", out: str = "score") -> Da
     """Score of each row's text; empty and null texts score 0."""
     keep = [c for c in df.columns if c != out]
     t = F.coalesce(F.col(text), F.lit(""))
-    step = df.select(*keep, t.alias("_t")).withColumn("_fold", fold(F.col("_t")))
+    step = df.select(*keep, t.alias("_t")).withColumn("_fold", F.expr(sql.fold("_t")))
     step = step.withColumns(
         {
-            "_mask": feature_mask(F.col("_t"), F.col("_fold")),
-            "_letters": letters(F.col("_t")),
-            "_capitals": capitals(F.col("_t")),
+            "_mask": F.expr(feature_mask("_t", "_fold")),
+            "_letters": F.expr(letters("_t")),
+            "_capitals": F.expr(capitals("_t")),
         }
     )
     return settle(step.drop("_t", "_fold"), "_mask", "_letters", "_capitals").select(
