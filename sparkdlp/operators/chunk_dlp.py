@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkdlp.config import GuardConfig
 from sparkdlp.functions import sqltext as sql
+from sparkdlp.functions.text import settle
 from sparkdlp.operators.canary import leaks
 from sparkdlp.operators.output import LEAK_REASON, finish_reason
 from sparkdlp.operators.redact import has_secret, redact
@@ -26,74 +27,113 @@ SECRET_REASON = "secret_detected_in_output_stream"
 _KEYS = ("request_id", "_block")
 
 
-def _preceding_text(
+def _block_facts(
     rows: DataFrame, lookback: int, resets: bool, tokens: DataFrame | None
 ) -> DataFrame:
-    """``_before``: the last ``lookback`` characters ahead of each chunk, and ``token``.
+    """Per (request, block): ``_carry``, ``token``, ``_more`` and ``_many``.
 
-    With ``resets`` a control chunk empties what came before it.  What a request
-    knows (its token) reaches the chunks by block, like the carried characters.
+    ``_carry`` is the text that earlier blocks hold back for this one, ``_more``
+    tells whether later blocks exist and ``_many`` whether any other does.
     """
-    in_block = Window.partitionBy(*_KEYS).orderBy("seq")
-    if resets:
-        # A control chunk closes its segment, so it still sees the text before it.
-        rows = rows.withColumn(
-            "_segment",
-            F.coalesce(
-                F.sum(F.col("is_control").cast("int")).over(
-                    in_block.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-    else:
-        # Control chunks are passed over: count text chunks only.
-        rows = rows.withColumn("_segment", F.lit(0))
-    segment = Window.partitionBy(*_KEYS, "_segment").orderBy("seq")
-    if not resets:
-        segment = Window.partitionBy(*_KEYS, "is_control").orderBy("seq")
-    local = F.array_join(
-        F.collect_list("text_delta").over(segment.rowsBetween(-lookback, -1)), ""
-    )
-    rows = rows.withColumn("_local", F.right(local, F.lit(lookback)))
-
-    after = F.when(F.lit(resets) & F.col("is_control"), F.lit("")).otherwise(
-        F.right(F.concat("_local", "text_delta"), F.lit(lookback))
-    )
-    counted = F.lit(True) if resets else ~F.col("is_control")
+    # Only a block's last ``lookback`` chunks can reach into the next block.
+    chunk = F.struct("seq", "is_control", "text_delta")
+    counts = F.lit(True) if resets else ~F.col("is_control")
     blocks = rows.groupBy(*_KEYS).agg(
-        F.max_by(F.when(counted, after), F.when(counted, F.col("seq"))).alias("_suffix"),
+        F.array_sort(F.collect_list(F.when(counts, chunk))).alias("_chunks"),
         (F.bool_or("is_control") & F.lit(resets)).alias("_reset"),
     )
-    earlier = (
-        Window.partitionBy("request_id").orderBy("_block").rowsBetween(-lookback, -1)
+    last = F.slice("_chunks", F.greatest(F.size("_chunks") - lookback, F.lit(0)) + 1, lookback)
+    suffix = F.aggregate(
+        last,
+        F.lit(""),
+        lambda acc, c: F.when(c["is_control"], F.lit("")).otherwise(
+            F.right(F.concat(acc, c["text_delta"]), F.lit(lookback))
+        ),
     )
+    blocks = blocks.select(
+        *_KEYS, "_reset", F.when(F.size("_chunks") > 0, suffix).alias("_suffix")
+    )
+    in_order = Window.partitionBy("request_id").orderBy("_block")
     # A block of text without a reset holds a character per chunk, so no more of
-    # them than characters can matter; blocks that carry nothing are left out.
-    carrying = blocks.where(F.col("_suffix").isNotNull())
-    states = F.collect_list(
-        F.struct(F.col("_reset").alias("reset"), F.col("_suffix").alias("suffix"))
-    ).over(earlier)
+    # them than characters can matter; blocks that carry nothing are stepped over.
+    earlier = Window.partitionBy("request_id", F.col("_suffix").isNull()).orderBy("_block")
+    states = F.collect_list(F.struct("_reset", "_suffix")).over(earlier.rowsBetween(-lookback, -1))
     carry = F.aggregate(
         states,
         F.lit(""),
-        lambda acc, s: F.when(s["reset"], s["suffix"]).otherwise(
-            F.right(F.concat(acc, s["suffix"]), F.lit(lookback))
+        lambda acc, s: F.when(s["_reset"], s["_suffix"]).otherwise(
+            F.right(F.concat(acc, s["_suffix"]), F.lit(lookback))
         ),
     )
-    known = carrying.select(*_KEYS, carry.alias("_carry"))
+    facts = blocks.select(
+        *_KEYS,
+        F.when(F.col("_suffix").isNotNull(), carry).otherwise(F.lit("")).alias("_carry"),
+        F.lead("_block").over(in_order).isNotNull().alias("_more"),
+        F.lag("_block").over(in_order).isNotNull().alias("_follows"),
+    )
+    facts = facts.withColumn("_many", F.col("_more") | F.col("_follows")).drop("_follows")
     if tokens is None:
-        known = known.withColumn("token", F.lit(None).cast("string"))
+        return facts.withColumn("token", F.lit(None).cast("string"))
+    return facts.join(tokens.select("request_id", "token"), "request_id", "left")
+
+
+def _preceding_text(rows: DataFrame, lookback: int, resets: bool) -> DataFrame:
+    """``_before``: the last ``lookback`` characters ahead of each chunk.
+
+    With ``resets`` a control chunk empties what came before it.
+    """
+    if resets:
+        # A control chunk closes its segment, so it still sees the text before it.
+        in_block = Window.partitionBy(*_KEYS).orderBy("seq")
+        closed = F.sum(F.col("is_control").cast("int")).over(
+            in_block.rowsBetween(Window.unboundedPreceding, -1)
+        )
+        rows = rows.withColumn("_segment", F.coalesce(closed, F.lit(0)))
+        segment = Window.partitionBy(*_KEYS, "_segment")
+    else:
+        # Control chunks are passed over.
+        rows = rows.withColumn("_segment", F.lit(0))
+        segment = Window.partitionBy(*_KEYS, "is_control")
+    frame = segment.orderBy("seq").rowsBetween(-lookback, -1)
+    local = F.array_join(F.collect_list("text_delta").over(frame), "")
+    carried = F.when(F.col("_segment") == 0, F.concat("_carry", "_local")).otherwise(
+        F.col("_local")
+    )
+    return (
+        rows.withColumn("_local", local)
+        .withColumn("_before", F.right(carried, F.lit(lookback)))
+        .drop("_local", "_carry", "_segment")
+    )
+
+
+def _judge(rows: DataFrame, cfg: GuardConfig) -> DataFrame:
+    """``_raw`` (what a chunk would release) and ``reason`` (why it must not)."""
+    buffer, strict = cfg.buffer_chars, cfg.strict_streaming
+    seen = _preceding_text(rows, buffer if strict else 2 * buffer, strict)
+    joined = F.concat("_before", "text_delta")
+    if strict:
+        looked_at = joined
+        raw = F.when(F.col("is_control"), F.col("_before")).otherwise(
+            F.left(joined, F.greatest(F.length(joined) - buffer, F.lit(0)))
+        )
     else:
-        known = known.join(tokens.select("request_id", "token"), "request_id", "left")
-    joined = rows.join(known, list(_KEYS), "left")
-    return joined.withColumn(
-        "_before",
-        F.when(
-            F.col("_segment") == 0,
-            F.right(F.concat(F.coalesce("_carry", F.lit("")), "_local"), F.lit(lookback)),
-        ).otherwise(F.col("_local")),
-    ).drop("_local", "_carry", "_segment")
+        looked_at = F.when(F.col("is_control"), F.lit("")).otherwise(
+            F.right(joined, F.lit(2 * buffer))
+        )
+        raw = F.col("text_delta")
+    seen = seen.withColumns({"_look": looked_at, "_raw": raw})
+    secret = (
+        F.expr(has_secret("_look", sql.fold("_look"))) if cfg.output_secret_scan else F.lit(False)
+    )
+    reason = F.when(leaks(F.col("_look"), F.col("token")), F.lit(LEAK_REASON)).when(
+        secret, F.lit(SECRET_REASON)
+    )
+    judged = seen.withColumn("reason", reason).drop("_look", "_before", "text_delta", "token")
+    return settle(judged, "_raw", "reason")
+
+
+_ENDS = "reason IS NOT NULL OR is_done"
+_NAMES = "is_control AND NOT is_done AND finish_reason <> ''"
 
 
 def scan_chunks(
@@ -105,62 +145,64 @@ def scan_chunks(
 
     ``finish`` is the finish reason sent to the client at that chunk, if any.
     """
-    buffer, strict = cfg.buffer_chars, cfg.strict_streaming
+    lookback = cfg.buffer_chars if cfg.strict_streaming else 2 * cfg.buffer_chars
+    control = "is_done OR text_delta = ''"
     rows = chunks.select(
         "request_id",
         "seq",
         F.coalesce("text_delta", F.lit("")).alias("text_delta"),
         F.coalesce("is_done", F.lit(False)).alias("is_done"),
         "finish_reason",
+        F.floor(F.col("seq") / BLOCK).alias("_block"),
     ).withColumns(
         {
-            "is_control": F.col("is_done") | (F.col("text_delta") == ""),
-            "_block": F.floor(F.col("seq") / BLOCK),
+            "is_control": F.expr(control),
+            "text_delta": F.expr(f"if({control}, '', text_delta)"),
         }
     )
-    rows = rows.withColumn(
-        "text_delta", F.when(F.col("is_control"), F.lit("")).otherwise(F.col("text_delta"))
-    )
     tokens = canaries if cfg.canary else None
-    seen = _preceding_text(rows, buffer if strict else 2 * buffer, strict, tokens)
+    known = _block_facts(rows, lookback, cfg.strict_streaming, tokens)
+    rows = rows.join(known, list(_KEYS))
+    judged = _judge(rows, cfg)
 
-    joined = F.concat("_before", "text_delta")
-    if strict:
-        looked_at = joined
-        raw = F.when(F.col("is_control"), F.col("_before")).otherwise(
-            F.left(joined, F.greatest(F.length(joined) - buffer, F.lit(0)))
-        )
-    else:
-        looked_at = F.when(F.col("is_control"), F.lit("")).otherwise(
-            F.right(joined, F.lit(2 * buffer))
+    # Stops within a block come from a window on the layout at hand.  Stops in
+    # earlier blocks exist only for requests of more than one block; their blocks
+    # are judged a second time, for the two minima alone.
+    firsts = (
+        _judge(rows.where("_more"), cfg)
+        .groupBy(*_KEYS)
+        .agg(
+            F.expr(f"min(if({_ENDS}, seq, NULL))").alias("_end"),
+            F.expr(f"min(if({_NAMES}, seq, NULL))").alias("_name"),
         )
-        raw = F.col("text_delta")
-    seen = seen.withColumns({"_look": looked_at, "_raw": raw})
-
-    leaked = leaks(F.col("_look"), F.col("token"))
-    secret = (
-        F.expr(has_secret("_look", sql.fold("_look"))) if cfg.output_secret_scan else F.lit(False)
     )
-    seen = seen.withColumn(
-        "reason", F.when(leaked, F.lit(LEAK_REASON)).when(secret, F.lit(SECRET_REASON))
-    ).select(*_KEYS, "seq", "is_control", "is_done", "finish_reason", "reason", "_raw")
-
-    # Minima per block, then per request over the block rows, then back by block:
-    # no join key is heavier than one block.
-    ends = F.col("reason").isNotNull() | F.col("is_done")
-    names = F.col("is_control") & ~F.col("is_done") & (F.col("finish_reason") != "")
-    blocks = seen.groupBy(*_KEYS).agg(
-        F.min(F.when(ends, F.col("seq"))).alias("_end"),
-        F.min(F.when(names, F.col("seq"))).alias("_named"),
+    before = (
+        Window.partitionBy("request_id")
+        .orderBy("_block")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    whole = Window.partitionBy("request_id")
-    blocks = blocks.select(
-        *_KEYS,
-        F.min("_end").over(whole).alias("_stop"),
-        F.min("_named").over(whole).alias("_named"),
+    earlier = (
+        known.where("_many")
+        .select(*_KEYS)
+        .join(firsts, list(_KEYS), "left")
+        .select(
+            *_KEYS,
+            F.min("_end").over(before).alias("_end0"),
+            F.min("_name").over(before).alias("_name0"),
+        )
+        .where("_end0 IS NOT NULL OR _name0 IS NOT NULL")
     )
-    live = seen.join(blocks, list(_KEYS)).where(
-        F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))
+    block = Window.partitionBy(*_KEYS)
+    bounded = judged.withColumns(
+        {
+            "_end": F.expr(f"if({_ENDS}, seq, NULL)"),
+            "_name": F.expr(f"if({_NAMES}, seq, NULL)"),
+        }
+    ).withColumns({"_end": F.min("_end").over(block), "_name": F.min("_name").over(block)})
+    bounded = bounded.join(earlier, list(_KEYS), "left")
+    stop, named = F.least("_end0", "_end"), F.least("_name0", "_name")
+    live = bounded.withColumns({"_stop": stop, "_named": named}).where(
+        "_stop IS NULL OR seq <= _stop"
     )
     blocked = F.col("reason").isNotNull()
     finish = F.when(

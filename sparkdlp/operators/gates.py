@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdlp.config import GuardConfig
 from sparkdlp.functions.text import strip
 
 
@@ -20,6 +21,12 @@ def rate_key(key: Column, host: Column) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), host, F.lit("unknown"))
 
 
+def known_keys(spark: SparkSession, cfg: GuardConfig) -> DataFrame:
+    """The configured keys as a table small enough to plan with."""
+    keys = F.array(*(F.lit(k) for k in cfg.known_keys)).cast("array<string>")
+    return spark.range(1).select(F.explode(keys).alias("client_key"))
+
+
 def _usable(keys: DataFrame) -> DataFrame:
     return keys.where(F.col("client_key") != "").select("client_key").distinct()
 
