@@ -127,7 +127,7 @@ def _chunk_starts(chunked: DataFrame, key: str, bucket: Bucket) -> DataFrame:
     summary = f"`{key}` {chunked.schema[key].dataType.simpleString()}, _chunk int, "
     piece = "array<struct<lo:bigint,hi:bigint,slope:int,value:bigint>>"
 
-    def reduce_chunk(ids, pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce_chunk(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = pdf.sort_values(["_us", "_tie"])["_us"].tolist()
         rows = [
             dict(zip(("lo", "hi", "slope", "value"), p)) for p in transfer(times, bucket)
@@ -137,7 +137,7 @@ def _chunk_starts(chunked: DataFrame, key: str, bucket: Bucket) -> DataFrame:
              "pieces": [rows]}
         )
 
-    def chain(ids, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         units, last, starts = bucket.full, None, []
         for row in pdf.sort_values("_chunk").itertuples(index=False):
             starts.append((ids[0], row[1], units, row.first if last is None else last))
