@@ -29,13 +29,15 @@ def scan_chunk_stream(
     chunks: DataFrame,
     cfg: GuardConfig = GuardConfig(),
     token: str | None = "token",
-    idle_ms: int = 3_600_000,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """The batch operator's rows, for a stream of chunks.
 
     ``token`` names the column that carries the request's canary.  Chunks seen
-    again (``seq`` not above the last one) are dropped.  A request silent for
-    ``idle_ms`` is forgotten; what it still held back is never released.
+    again (``seq`` not above the last one) are dropped.  With ``idle_ms``, a
+    request silent for that long is forgotten, so state stays bounded on a stream
+    that never ends (its batches then go on without new data, so it does not suit
+    ``availableNow``); what such a request still held back is never released.
     """
     buffer, strict = cfg.buffer_chars, cfg.strict_streaming
     keep = buffer if strict else 2 * buffer
@@ -87,14 +89,18 @@ def scan_chunk_stream(
                 finish, named = row.finish_reason, True
             out.append((ids[0], row.seq, raw, reason is not None, reason, finish))
         state.update((held, stopped, named, last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
             out, columns=["request_id", "seq", "raw", "blocked", "reason", "finish"]
         )
 
+    timeout = (
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    )
     id_type = rows.schema["request_id"].dataType.simpleString()
     live = rows.groupBy("request_id").applyInPandasWithState(
-        step, _OUT.format(id=id_type), _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, _OUT.format(id=id_type), _STATE, "append", timeout
     )
     if not secrets:
         return live.withColumnRenamed("raw", "release")
