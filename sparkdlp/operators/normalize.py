@@ -24,13 +24,15 @@ from sparkdlp.functions.text import (
     STRINGS, empty_strings, find_all, is_ascii, let, settle, substitute, substitute_before_last,
 )
 
-# Every zero-width mark and look-alike letter lies above the combining marks of
-# the Latin blocks, so texts in Latin script skip those steps after one scan.
-_ABOVE_LATIN = r"[^\x00-\x{36F}]"
+# Characters that no repair, folding or removal touches: printable ASCII, tab, line
+# feed, form feed and the Latin-1 letters.  Texts of nothing else skip the Unicode
+# steps after one scan.
+# (One possessive run is by far the quickest way to ask this of a Java pattern.)
+_INERT_ONLY = r"\A[\t\n\f\x20-\x7E\xC0-\xFF]*+\z"
 
 
-def above_latin(text: Column) -> Column:
-    return ~is_ascii(text) & text.rlike(_ABOVE_LATIN)
+def is_special(text: Column) -> Column:
+    return ~text.rlike(_INERT_ONLY)
 
 
 # --- N1: text repair ----------------------------------------------------------
@@ -49,7 +51,6 @@ _CURLY = {
     "“": '"', "”": '"', "„": '"', "‟": '"',
 }
 _CONTROL = r"[\x00-\x08\x0B\x0E-\x1F\x7F⁪-⁯﻿￹-￼]"
-_ASCII_CONTROL = r"[\x00-\x08\x0B\x0D-\x1F\x7F]"
 _NEEDS_CLEANING = r"[\x00-\x08\x0B\x0D-\x1F\x7F\x85\x{2BC}\x{2018}-\x{206F}\x{FEFF}-\x{FFFC}]"
 _LINE_BREAK = r"\r\n|[\r\x85  ]"
 _ENTITY = r"&#?[0-9A-Za-z]{1,24};"
@@ -135,21 +136,25 @@ def repair_text(text: Column) -> Column:
         lines = F.regexp_replace(straight, _LINE_BREAK, "\n")
         return F.regexp_replace(lines, rf"\x1B\[[0-9;]*[A-Za-z]|{_CONTROL}", "")
 
-    fixed = let(unescape_entities(text), encoding)
-    return let(
-        fixed,
-        lambda t: F.when(
-            F.when(is_ascii(t), t.rlike(_ASCII_CONTROL)).otherwise(t.rlike(_NEEDS_CLEANING)),
-            clean(t),
-        ).otherwise(t),
-    )
+    def whole(t: Column) -> Column:
+        return let(
+            let(unescape_entities(t), encoding),
+            lambda u: F.when(u.rlike(_NEEDS_CLEANING), clean(u)).otherwise(u),
+        )
+
+    return F.when(may_change(text), let(text, whole)).otherwise(text)
+
+
+def may_change(text: Column) -> Column:
+    """False only for texts that the repair and the Unicode steps leave as they are."""
+    return F.contains(text, F.lit("&")) | is_special(text)
 
 
 # --- N2, N3, N5, N6 -----------------------------------------------------------
 
 
 def strip_zero_width(text: Column) -> Column:
-    return F.when(above_latin(text), substitute(P.ZERO_WIDTH_PATTERN, text, "")).otherwise(text)
+    return F.when(is_special(text), substitute(P.ZERO_WIDTH_PATTERN, text, "")).otherwise(text)
 
 
 def strip_html(text: Column) -> Column:
@@ -166,7 +171,7 @@ def strip_html(text: Column) -> Column:
 
 def fold_homoglyphs(text: Column) -> Column:
     folded = F.translate(text, "".join(P.HOMOGLYPHS), "".join(P.HOMOGLYPHS.values()))
-    return F.when(above_latin(text), folded).otherwise(text)
+    return F.when(is_special(text), folded).otherwise(text)
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -215,7 +220,7 @@ def _stable_ranges() -> str:
 def needs_nfkc(text: Column) -> Column:
     return (
         ~is_ascii(text)
-        & text.rlike(r"[^\x00-\x7F\xC0-\xFF]")
+        & is_special(text)
         & text.rlike(f"[^\\x00-\\x7F{_stable_ranges()}]")
     )
 
@@ -225,9 +230,11 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-def fold_compatibility(df: DataFrame, column: str) -> DataFrame:
+def fold_compatibility(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
     """NFKC of ``column``; rows that it cannot change send only a null to Python."""
-    folded = _nfkc(F.when(needs_nfkc(F.col(column)), F.col(column)))
+    needed = needs_nfkc(F.col(column))
+    needed = needed if where is None else where & needed
+    folded = _nfkc(F.when(needed, F.col(column)))
     return df.withColumn("_nfkc", folded).withColumn(
         column, F.coalesce("_nfkc", column)
     ).drop("_nfkc")
@@ -287,12 +294,17 @@ def decode_percent(text: Column) -> Column:
 
 def normalize(df: DataFrame, text: str = "text", decode: bool = True) -> DataFrame:
     """Adds ``normalized``, ``variants`` and ``signals``."""
-    source = F.col(text)
-    view = df.withColumn("normalized", repair_text(source))
-    view = view.withColumn("normalized", strip_zero_width(F.col("normalized")))
-    view = view.withColumn("normalized", strip_html(F.col("normalized")))
-    view = fold_compatibility(view, "normalized")
-    view = view.withColumn("normalized", collapse_spaces(fold_homoglyphs(F.col("normalized"))))
+    source, flag, view = F.col(text), F.col("_flag"), F.col("normalized")
+
+    def when_flagged(value: Column) -> Column:
+        return F.when(flag, value).otherwise(view)
+
+    step = df.withColumns({"_flag": may_change(source), "normalized": source})
+    step = step.withColumn("normalized", when_flagged(strip_zero_width(repair_text(source))))
+    step = step.withColumn("normalized", strip_html(view))
+    step = fold_compatibility(step, "normalized", flag)
+    step = step.withColumn("normalized", when_flagged(fold_homoglyphs(view)))
+    view = step.withColumn("normalized", collapse_spaces(view)).drop("_flag")
     if not decode:
         return settle(view, "normalized").withColumns(
             {"variants": empty_strings(), "signals": empty_strings()}
