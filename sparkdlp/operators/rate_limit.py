@@ -4,7 +4,8 @@ Tokens are counted in whole units of ``1 / period`` token, so refills are intege
 and the result does not depend on where a key's timeline is cut.
 
 A bucket is a fold over a key's arrivals in order.  Keys of ordinary size are
-folded whole.  The timeline of a heavier key is range-partitioned into chunks of
+folded whole, one after the other in a sorted partition, so that neither a key nor
+a partition has to fit in memory.  The timeline of a heavier key is range-partitioned into chunks of
 about ``chunk_rows`` arrivals that are folded in parallel: a chunk is first
 reduced to the function from the tokens at its start to the tokens at its end,
 the functions of a key are applied one after the other, and then every chunk is
@@ -13,9 +14,10 @@ folded again from its now known start.  Results are the same row for row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,20 +191,32 @@ def token_bucket(
              "_last": F.lit(None).cast("bigint")}
         )
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_tie"])
-        times = pdf["_us"].tolist()
-        known = pd.notna(pdf["_units"].iloc[0])
-        units = int(pdf["_units"].iloc[0]) if known else bucket.full
-        last = int(pdf["_last"].iloc[0]) if known else times[0]
-        allowed, waits, _, _ = bucket.fold(times, units, last)
-        return pd.DataFrame(
-            {"_tie": pdf["_tie"], key: pdf[key], "allowed": allowed,
-             "retry_after_us": [float(w) for w in waits]}
-        )
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows, key after key; only the running state crosses batches."""
+        current, units, last = None, 0, 0
+        for pdf in batches:
+            keys, chunks = pdf[key].to_numpy(), pdf["_chunk"].to_numpy()
+            new = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+            edges = [0, *new.tolist(), len(pdf)]
+            times, known = pdf["_us"].tolist(), pdf["_units"].notna().tolist()
+            starts, lasts = pdf["_units"].tolist(), pdf["_last"].tolist()
+            allowed, waits = [], []
+            for lo, hi in zip(edges, edges[1:]):
+                if (keys[lo], chunks[lo]) != current:
+                    current = (keys[lo], chunks[lo])
+                    units = int(starts[lo]) if known[lo] else bucket.full
+                    last = int(lasts[lo]) if known[lo] else times[lo]
+                oks, delays, units, last = bucket.fold(times[lo:hi], units, last)
+                allowed += oks
+                waits += delays
+            yield pd.DataFrame(
+                {"_tie": pdf["_tie"], key: pdf[key], "allowed": allowed,
+                 "retry_after_us": np.array(waits, dtype=float)}
+            )
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    decided = rows.groupBy(key, "_chunk").applyInPandas(
+    placed = rows.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", "_us", "_tie")
+    decided = placed.mapInPandas(
         replay,
         f"_tie {types['_tie']}, `{key}` {types[key]}, allowed boolean, retry_after_us double",
     )
