@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparkdlp.llm import lang_id, line_dedup
+from sparkdlp.llm import lang_id, line_dedup, order_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +15,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op6_order_minhash": op6_order_minhash,
     "op8_language_id": op8_language_id,
 }
 
