@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdlp.llm import decontaminate, lang_id, line_dedup, order_minhash
+from sparkdlp.llm import bpe, decontaminate, lang_id, line_dedup, order_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "n_words")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), finish="digest").drop("body")
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "n_links")
@@ -32,6 +36,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_bpe": op4_bpe,
     "op6_order_minhash": op6_order_minhash,
     "op8_language_id": op8_language_id,
 }

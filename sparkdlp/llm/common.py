@@ -40,9 +40,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits(rows: int, row_bytes: int) -> bool:
+    """Whether counted rows are within the bound for a broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Marks saved rows for broadcast if their counted size is within the bound, else leaves the join to Spark."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(df.count(), row_bytes) else df
 
 
 def hashes(text: Column) -> tuple[Column, Column]:
