@@ -1,21 +1,57 @@
-"""From raw documents to encoded training rows in five stages."""
+"""From raw documents to encoded training rows: language, boilerplate lines, near-duplicates, benchmark leaks, token ids.
+
+Every stage reads all that its predecessor kept. The first four return the columns of documents, the last one
+returns one row of token ids for each document that is left.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparkdlp.llm import lang_id, line_dedup
+import sparkdlp
+from sparkdlp.llm import bpe, decontaminate, lang_id, line_dedup, order_minhash
 
+cloudpickle.register_pickle_by_value(sparkdlp)  # workers get the functions with the plan
 
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose language is not recognised."""
+    return lang_id.keep_known(docs)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many sources share; n_chars follows the text."""
+    return line_dedup.cleaned(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return order_minhash.keep_one(docs)
+
+
+def without_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that overlap a benchmark item."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every document that is left."""
+    return bpe.encode(docs).drop("body")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("language_id", keep_known_languages)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", known_language),
+    ("line_dedup", without_boilerplate),
+    ("minhash_near_dedup", without_near_duplicates),
+    ("decontamination", without_benchmark_leaks),
+    ("bpe_encoding", encoded),
+]
+
+#: Profiles, sketches, alignments and token ids have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkdlp.llm.common import fresh
+
 #: n-grams in a language profile, and n-grams of a document that are compared.
 PROFILE_SIZE = 400
 DOC_SIZE = 300
 #: Labelled rows per language that a profile is fitted on; a documented bound, chosen by hash of the id.
 TRAIN_ROWS = 20_000
+#: Below this score no profile is near enough to call the text that language.
+MIN_SCORE = 0.3
 UNKNOWN = "und"
 
 _FLUSH = 400_000
@@ -124,14 +128,16 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keys: list[str], te
     places = np.full((max(1, len(names)), len(known)), size, dtype=np.int64)
     for i, name in enumerate(names):
         places[i, np.searchsorted(known, np.asarray(profiles[name], dtype=np.int64))] = np.arange(len(profiles[name]))
-    rows = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("body"))
-    kinds = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
+    rows = docs.select(*keys) if text in keys else docs.select(*keys, text)
+    at = rows.columns.index(text)
+    said_name, score_name = fresh("lang_pred", keys), fresh("score", keys)
+    kinds = docs.select(*keys).schema.add(said_name, "string").add(score_name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = letter_table()
         for batch in batches:
             said, scores = [], []
-            for body in batch.column(len(keys)):
+            for body in batch.column(at):
                 doc = ranked(grams(body.as_py() or "", table), doc_size)
                 if not len(doc) or not names:
                     said.append(UNKNOWN)
@@ -141,10 +147,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keys: list[str], te
                 said.append(names[int(np.argmin(far))])
                 scores.append(float(1 - far.min()))
             columns = [*batch.columns[: len(keys)], pa.array(said, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: len(keys)], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, kinds.names)
 
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double" if keys else "lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "lang_pred", "score")
+    return rows.mapInArrow(run, kinds)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -157,3 +162,11 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     trained = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()), **options)
     marked = docs.select("doc_id", "text", held_out().alias("held_out"))
     return predict(marked, trained, ["doc_id", "held_out"])
+
+
+def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", least: float = MIN_SCORE) -> DataFrame:
+    """The documents whose language is recognised with at least this score; columns as they came."""
+    trained = fit(docs.where(~held_out(key) & F.col(key).isNotNull()), text, lang, key)
+    found = predict(docs, trained, docs.columns, text)
+    said, score = found.columns[-2:]
+    return found.where((F.col(said) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

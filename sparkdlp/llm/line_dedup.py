@@ -82,6 +82,16 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: st
     )
 
 
+def cleaned(docs: DataFrame, n_chars: str = "n_chars", **options) -> DataFrame:
+    """The documents' own columns after `remove`; n_chars follows the text where it was changed."""
+    out = remove(docs, **options)
+    text, gone = options.get("text", "text"), out.columns[-1]
+    if n_chars in docs.columns:
+        kind = docs.schema[n_chars].dataType
+        out = out.withColumn(n_chars, F.when(F.col(gone) > 0, F.length(F.col(text)).cast(kind)).otherwise(F.col(n_chars)))
+    return out.select(*docs.columns)
+
+
 #: What `remove` gives on documents, with exact counts throughout.
 SQL = """
 WITH lines AS (
