@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdlp.llm import bpe, decontaminate, lang_id, line_dedup, order_minhash, quality_rules, sharding
+from sparkdlp.llm import bpe, cotraining, decontaminate, lang_id, line_dedup, order_minhash, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), finish="digest").drop("body")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "n_links")
@@ -47,6 +52,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_order_minhash": op6_order_minhash,
     "op8_language_id": op8_language_id,
     "op10_sharding": op10_sharding,
