@@ -10,9 +10,10 @@ both texts (L), where partners may not be farther apart than a similar pair allo
 L / (n1 + n2 - L); a pair is linked from 0.8 on, and classes are the connected components of the links.
 
 No bucket is collected or paired with itself. Texts with the same words are one node first. Then every bucket
-member is compared with the bucket's leader only, which settles groups of copies of any size in linear work;
-members that end in another class than their leader get a new leader, and what is left after that is compared
-in blocks, where only pairs with enough equal sketches go on.
+member is compared with the bucket's leader only (the member that meets most others), which settles groups of
+copies in linear work; members that end in another class than their leader get a new leader, and what is left
+after that is compared in blocks, where only pairs go on whose minima in 256 bins of hash values let a similarity
+of 0.8 seem possible, four standard deviations allowed.
 
 Defined cases: texts of one to four words have one shingle of all of them; texts without a word, null included,
 are linked to nothing. Classes carry the lowest document id as class_id. Rows that repeat an id are treated by
@@ -28,10 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
-from sparkdlp.llm.common import fresh, mix, saved, small, span_hashes, utf8, word_spans
+from sparkdlp.llm.common import fresh, mix, same, saved, small, span_hashes, utf8, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,16 +43,16 @@ ROWS = 3
 BANDS = 20
 #: Rounds of comparing bucket members with leaders before the rest is compared in blocks.
 STAR_ROUNDS = 2
-#: Members in a block, and equal sketches (of ROWS * BANDS) that a pair of a block needs to be verified. Pairs of
-#: similarity 0.8 agree on 38 of 60 on average, so a miss is beyond six standard deviations.
+#: Members in a block, bins of hash values, and the deviations below 0.8 that a pair of a block may seem to have.
 BLOCK = 256
-AGREE = 14
+BINS = 256
+DEVIATIONS = 4.0
 
 
-def words_hash(text: Column) -> Column:
+def words_hash(text: str | None) -> int | None:
     """64 bits of the words without regard to the white space between them; null if there is no word."""
-    plain = F.trim(F.regexp_replace(text, "[\\x09-\\x0D\\x20]+", " "))
-    return F.when(plain != "", F.xxhash64(plain))
+    words = utf8(text).tobytes().split()
+    return int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "little", signed=True) if words else None
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -127,24 +130,36 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return found if found >= least - 1e-12 else 0.0
 
 
+def bin_minima(codes: np.ndarray) -> np.ndarray:
+    """One byte of the smallest code in each of BINS bins; empty bins are 0."""
+    out = np.zeros(BINS, dtype=np.uint8)
+    ordered = np.sort(codes)[::-1]
+    out[(ordered % np.uint64(BINS)).astype(np.int64)] = (ordered >> np.uint64(11)).astype(np.uint8) | np.uint8(1)
+    return out
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nothing = np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         for batch in batches:
-            sizes, bands, marks = [], [], []
-            for body in batch.column(1):
-                codes = shingles(body.as_py())
-                all_of_them = sketches(codes)
-                grouped = all_of_them.reshape(BANDS, ROWS)
+            nodes, sizes, bands, marks = [], [], [], []
+            for body in batch.column("text"):
+                text = body.as_py()
+                nodes.append(words_hash(text))
+                codes = shingles(text)
+                sizes.append(len(codes))
+                if not len(codes):
+                    bands.append(nothing)
+                    marks.append(b"")
+                    continue
+                grouped = sketches(codes).reshape(BANDS, ROWS)
                 code = np.arange(BANDS, dtype=np.uint64)
                 for row in grouped.T:
                     code = mix(code * np.uint64(0x9E3779B97F4A7C15) + row)
-                sizes.append(len(codes))
                 bands.append(code.view(np.int64))
-                marks.append(all_of_them.astype(np.uint8).tobytes())
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary())], ["node", "n", "bands", "marks"])
+                marks.append(code.astype(np.uint32).tobytes() + bin_minima(codes).tobytes())
+            arrays = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), *arrays], ["id", "body", "node", "n", "bands", "marks"])
 
 
 def _verify(least: float):
@@ -166,11 +181,12 @@ def _verify(least: float):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b: nodes) whose texts align; texts: rows of node and text, several of a node at most alike."""
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Those pairs (a, b: nodes) whose texts align. texts: id, body, text; nodes: node and the id, body of a text."""
     pairs = saved(pairs)
-    nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    own = texts.join(small(nodes, 16), "node").dropDuplicates(["node"])
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = small(saved(nodes.join(ends, "node").select("node", "id", "body")), 48)
+    own = texts.join(wanted, same(texts, wanted, [("id", "id"), ("body", "body")])).select("node", "text").dropDuplicates(["node"])
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     checked = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long, similarity double")
@@ -193,62 +209,67 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return nodes.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _agreeing(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair that are in different classes and agree on enough sketches."""
-    rows = rows.sort_values("node")
+def _possible(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block pair that are in different classes and may be similar; each in its first common bucket only."""
     marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(len(rows), -1)
+    bands, bins = np.ascontiguousarray(marks[:, : 4 * BANDS]).view(np.uint32), marks[:, 4 * BANDS :]
     node, label, n, part = (rows[c].to_numpy() for c in ("node", "label", "n", "part"))
-    apart = rows["i"].iat[0] != rows["j"].iat[0]
+    band, apart = rows["band"].iat[0], rows["i"].iat[0] != rows["j"].iat[0]
     a, b = [], []
     for x in range(len(rows)):
         rest = slice(x + 1, None)
-        equal = (marks[rest] == marks[x]).sum(axis=1)
-        fit = (equal >= AGREE) & (label[rest] != label[x])
+        fit = label[rest] != label[x]
         fit &= np.minimum(n[rest], n[x]) >= SIMILARITY * np.maximum(n[rest], n[x])
         if apart:
             fit &= part[rest] != part[x]
-        hits = np.flatnonzero(fit) + x + 1
-        a += [node[x]] * len(hits)
-        b += node[hits].tolist()
-    return pd.DataFrame({"a": np.asarray(a, dtype=np.int64), "b": np.asarray(b, dtype=np.int64)})
-
-
-def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links and the label of every node; texts: node (not null) and text, several rows of a node alike."""
-    own = texts.mapInArrow(_sketch_rows, "node long, n int, bands array<long>, marks binary")
-    own = saved(own.dropDuplicates(["node"]))
-    buckets = own.select("node", "n", F.explode("bands").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("leader"))
-    # Members of buckets that more than one node is in.
-    rest = saved(buckets.join(crowded.where("members > 1"), "bucket").select("bucket", "node", "n", "leader"))
-    members, nodes, edges = rest.select("bucket", "node", "n"), own.select("node"), None
-    labels = nodes.select("node", F.col("node").alias("label"))
-    for turn in range(STAR_ROUNDS):
-        if turn:
-            rest = rest.join(rest.groupBy("bucket").agg(F.min("node").alias("leader")), "bucket")
-        # A pair of different lengths cannot be similar; the node stays for later leaders.
-        pairs = rest.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        near = np.flatnonzero(fit) + x + 1
+        near = near[(bands[near] == bands[x]).argmax(axis=1) == band]
+        if len(near):
+            filled = (bins[near] != 0) | (bins[x] != 0)
+            equal = ((bins[near] == bins[x]) & filled).sum(axis=1)
+            total = filled.sum(axis=1)
+            near = near[equal >= SIMILARITY * total - DEVIATIONS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * total)]
+        a += [node[x]] * len(near)
+        b += node[near].tolist()
+    a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links and the label of every node. texts: id, body, text; sketched: rows of _sketch_rows with a node."""
+    own = sketched.groupBy("node").agg(F.first(F.struct("id", "body", "n", "bands", "marks")).alias("one"))
+    own = saved(own.select("node", "one.*"))
+    buckets = own.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    # Members of buckets that more than one node is in, and how often they meet another.
+    members = saved(buckets.join(crowded, "bucket").select("bucket", "band", "node", "n", "members"))
+    met = members.groupBy("node").agg(F.sum("members").alias("met"))
+    rest = members.join(met, "node").select("bucket", "node", "met")
+    nodes, edges = own.select("node", "id", "body"), None
+    for _ in range(STAR_ROUNDS):
+        rest = saved(rest)
+        first = rest.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
+        led = saved(rest.join(first, "bucket"))
+        pairs = led.where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if edges is not None:
             pairs = pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        more = verified(pairs, texts)
+        more = verified(pairs, texts, nodes)
         edges = more if edges is None else saved(edges.union(more))
-        labels = saved(components(edges, nodes))
-        led = rest.join(labels, "node").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader")
-        rest = saved(led.where(F.col("label") != F.col("led")).select("bucket", "node", "n"))
+        labels = saved(components(edges, nodes.select("node")))
+        led = led.join(labels, "node").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader")
+        rest = led.where(F.col("label") != F.col("led")).select("bucket", "node", "met")
     # Buckets whose members are still in several classes: compare them in blocks.
-    mixed = members.join(labels, "node").join(rest.select("bucket").distinct(), "bucket")
-    mixed = mixed.join(own.select("node", "marks"), "node")
-    blocks = members.join(rest.select("bucket").distinct(), "bucket").groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    mixed = mixed.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mixed = members.join(saved(rest.select("bucket").distinct()), "bucket").join(labels, "node").join(own.select("node", "marks"), "node")
+    mixed = mixed.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     mixed = mixed.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    late = mixed.groupBy("bucket", "i", "j").applyInPandas(_agreeing, "a long, b long").distinct()
+    late = mixed.groupBy("bucket", "i", "j").applyInPandas(_possible, "a long, b long")
     late = saved(late.join(edges.select("a", "b"), ["a", "b"], "left_anti"))
     if late.limit(1).count():
-        more = verified(late, texts)
+        more = verified(late, texts, nodes)
         if more.limit(1).count():
             edges = saved(edges.union(more))
-            labels = saved(components(edges, nodes))
+            labels = saved(components(edges, nodes.select("node")))
     return edges, labels
 
 
@@ -257,11 +278,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     The label tells classes apart even where ids repeat; it is null without words.
     """
-    members = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), words_hash(F.col(text)).alias("node"))
-    texts = docs.select(words_hash(F.col(text)).alias("node"), F.col(text).alias("text")).where(F.col("node").isNotNull())
-    edges, labels = links(texts)
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
+    kinds = texts.select("id", "body").schema
+    kinds = kinds.add("node", LongType()).add("n", IntegerType()).add("bands", ArrayType(LongType())).add("marks", BinaryType())
+    sketched = saved(texts.mapInArrow(_sketch_rows, kinds))
+    edges, labels = links(texts, sketched.where(F.col("node").isNotNull()))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = saved(members.join(labels, "node", "left").join(ends, "node", "left"))
+    placed = sketched.select(F.col("id").alias("doc_id"), "body", "node").join(labels.join(ends, "node", "left"), "node", "left")
+    placed = saved(placed)
     totals = placed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = placed.join(totals, "label", "left")
     return out.select(
@@ -275,15 +299,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, that of its lowest id; rows without words all stay. Columns as they came."""
-    found = classes(docs, doc_id, text).where(F.col("label").isNotNull())
-    body, alone = (fresh(n, docs.columns) for n in ("dedup_body", "dedup_alone"))
-    keyed = docs.withColumn(body, F.xxhash64(F.col(text))).withColumn(alone, words_hash(F.col(text)).isNull())
-    # Of several rows with the lowest id of a class, one with the smallest hash of its text.
+    found = saved(classes(docs, doc_id, text))
+    body = fresh("dedup_body", docs.columns)
     rows = found.groupBy("label", "doc_id", "body").agg(F.count("*").alias("copies"))
-    heads = rows.groupBy("label").agg(F.min(F.struct("doc_id", "body", "copies")).alias("head"))
-    heads = saved(heads.select(F.col("head.doc_id").alias("head_id"), F.col("head.body").alias("head_body"), F.col("head.copies").alias("copies")))
-    wordy, near = keyed.where(~F.col(alone)), small(heads.drop("copies"), 32)
-    kept = wordy.join(near, wordy[doc_id].eqNullSafe(near["head_id"]) & (wordy[body] == near["head_body"]), "left_semi")
-    if heads.where("copies > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, body])
-    return kept.select(*docs.columns).unionByName(keyed.where(F.col(alone)).select(*docs.columns))
+    heads = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct("doc_id", "body", "copies")).alias("head"))
+    heads = heads.select("head.*").unionByName(rows.where(F.col("label").isNull()).select("doc_id", "body", F.lit(1).alias("copies")))
+    heads = saved(heads.select(F.col("doc_id").alias("head_id"), F.col("body").alias("head_body"), "copies"))
+    keyed, near = docs.withColumn(body, F.xxhash64(F.col(text))), small(heads.drop("copies"), 32)
+    kept = keyed.join(near, same(keyed, near, [(doc_id, "head_id"), (body, "head_body")]), "left_semi")
+    many = heads.where("copies > 1").select("head_id", "head_body")
+    if many.limit(1).count():
+        # Rows with the id and the text of a head: one of them stays.
+        alike = same(kept, many, [(doc_id, "head_id"), (body, "head_body")])
+        kept = kept.join(many, alike, "left_semi").dropDuplicates([doc_id, body]).unionByName(kept.join(many, alike, "left_anti"))
+    return kept.select(*docs.columns)
