@@ -32,8 +32,9 @@ BLOCK = 4
 GAPS = (0, 4, 8, 12, 16)
 WINDOW = 24
 ALLOWED = 4
-#: Bits of the table that thins out the documents' seeds.
-TABLE_BITS = 1 << 22
+#: Bits of the table that thins out the documents' seeds, and where in a seed's hash its three places are read.
+TABLE_BITS = 1 << 23
+SHIFTS = (0, 20, 40)
 
 
 def words(text: str | None) -> np.ndarray:
@@ -113,8 +114,10 @@ def _thin(table: np.ndarray, bits: int):
                 codes = words(text.as_py())
                 places, hashes, ends = [], [], []
                 for values, length in seeds(codes):
-                    low = values % np.uint64(bits)
-                    hit = np.flatnonzero((table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
+                    hit = np.arange(len(values))
+                    for shift in SHIFTS:
+                        low = (values[hit] >> np.uint64(shift)) % np.uint64(bits)
+                        hit = hit[((table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)) == 1]
                     places.append(hit)
                     hashes.append(values[hit])
                     ends.append(hit + length)
@@ -159,8 +162,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     tests = saved(rows.mapInArrow(_item_seeds, "item long, code array<long>, hash array<long>, place array<int>"))
     tests = tests.withColumn("key", F.xxhash64("item", "code"))
     seeded = tests.select("key", F.explode(F.arrays_zip("hash", "place")).alias("s")).select("key", F.col("s.hash").alias("hash"), F.col("s.place").alias("at"))
-    low = f"pmod(hash, {bits}L)"
-    packed = seeded.groupBy(F.expr(f"{low} div 64").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} % 64 as int)))").alias("mask"))
+    low = f"pmod(part, {bits}L)"
+    parts = seeded.select(F.explode(F.array(*[F.shiftrightunsigned("hash", s) for s in SHIFTS])).alias("part"))
+    packed = parts.groupBy(F.expr(f"{low} div 64").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} % 64 as int)))").alias("mask"))
     table = np.zeros(bits // 64, dtype=np.uint64)
     for cell, mask in packed.collect():  # at most bits / 64 rows
         table[cell] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
