@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdlp.llm import bpe, cotraining, decontaminate, lang_id, line_dedup, order_minhash, quality_rules, sharding
+from sparkdlp.llm import bpe, cotraining, decontaminate, lang_id, line_dedup, order_minhash, pii, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents")).drop("body", "found")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_order_minhash": op6_order_minhash,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
 
