@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdlp.llm import bpe, cotraining, decontaminate, lang_id, line_dedup, order_minhash, pii, quality_rules, sharding
+from sparkdlp.llm import bpe, cotraining, decontaminate, lang_id, line_dedup, order_minhash, pii, quality_rules, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts.recount(docs, token_counts.cleaning_edits(docs)).drop("body")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_order_minhash": op6_order_minhash,
+    "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
