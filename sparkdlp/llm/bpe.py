@@ -200,7 +200,7 @@ def shared_bodies(texts: DataFrame) -> DataFrame:
     """All places of bodies that occur at least twice: doc, body, start, end, h1, h2, owner (one place of each)."""
     places = texts.select("doc", "body", "text").mapInArrow(_chunk_rows, "doc string, body long, start long, end long, h1 long, h2 long")
     counted = places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "body", "start")).alias("first"))
-    again = counted.where("n > 1").drop("n")
+    again = saved(counted.where("n > 1").drop("n"))  # as rows of its own, so that a join with hot bodies can be split
     owner = F.struct("doc", "body", "start").eqNullSafe(F.col("first"))
     return places.join(again, ["h1", "h2"]).select("doc", "body", "start", "end", "h1", "h2", owner.alias("owner"))
 
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     if fits(places.where("owner").count(), 96):
         spans = F.broadcast(spans)
     owned = texts.join(spans, same(texts, spans, [("doc", "doc"), ("body", "body")])).select(texts["text"], "spans")
-    once = owned.mapInArrow(_encode_spans(vocabulary), "h1 long, h2 long, ids binary").dropDuplicates(["h1", "h2"])
+    once = saved(owned.mapInArrow(_encode_spans(vocabulary), "h1 long, h2 long, ids binary").dropDuplicates(["h1", "h2"]))
     filled = places.join(once, ["h1", "h2"]).groupBy("doc", "body").agg(F.collect_list(F.struct("start", "end", "ids")).alias("shared"))
     users = saved(places.select("doc", "body").distinct())
 
