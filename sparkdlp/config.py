@@ -61,6 +61,12 @@ class GuardConfig:
         return replace(self, **changes)
 
 
+def require_single_machine(spark: SparkSession) -> None:
+    """Refuses a cluster without a folder that all of its machines see."""
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage in the reliable checkpoint folder of the cluster.
 
@@ -74,6 +80,7 @@ def materialize(df: DataFrame) -> DataFrame:
         if folder is None:
             import tempfile
 
+            require_single_machine(spark)
             folder = tempfile.mkdtemp(prefix="sparkdlp-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -63,12 +63,25 @@ def merge_instruction(messages: Column, text: Column) -> Column:
     ).otherwise(F.concat(F.array(added), messages))
 
 
-def inject(requests: DataFrame, canaries: DataFrame) -> DataFrame:
+def with_token(rows: DataFrame, canaries: DataFrame | str) -> DataFrame:
+    """Adds ``token``.
+
+    ``canaries`` is the secret that keys the tokens, so that the token is a column
+    like any other, or a table of stored tokens, which costs a join of the rows.
+    """
+    if isinstance(canaries, str):
+        return rows.withColumn("token", token(F.col("request_id"), canaries))
+    return rows.join(canaries.select("request_id", "token"), "request_id", "left")
+
+
+def inject(requests: DataFrame, canaries: DataFrame | str) -> DataFrame:
     """Requests with the canary instruction merged into ``messages``."""
-    issued = canaries.select("request_id", "instruction")
-    return requests.join(issued, "request_id").withColumn(
-        "messages", merge_instruction(F.col("messages"), F.col("instruction"))
-    ).drop("instruction")
+    issued = with_token(requests, canaries)
+    if not isinstance(canaries, str):
+        issued = issued.where(F.col("token").isNotNull())
+    return issued.withColumn(
+        "messages", merge_instruction(F.col("messages"), instruction(F.col("token")))
+    ).drop("token")
 
 
 def leaks(text: Column, token_: Column) -> Column:
@@ -78,9 +91,9 @@ def leaks(text: Column, token_: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def leak_check(responses: DataFrame, canaries: DataFrame, text: str = "output_text") -> DataFrame:
-    """``leak`` per response; both sides are unique in ``request_id``."""
-    issued = canaries.select("request_id", "token")
-    return responses.join(issued, "request_id", "left").withColumn(
-        "leak", leaks(F.col(text), F.col("token"))
-    ).drop("token")
+def leak_check(
+    responses: DataFrame, canaries: DataFrame | str, text: str = "output_text"
+) -> DataFrame:
+    """``leak`` per response; stored tokens are unique in ``request_id``."""
+    issued = with_token(responses, canaries)
+    return issued.withColumn("leak", leaks(F.col(text), F.col("token"))).drop("token")

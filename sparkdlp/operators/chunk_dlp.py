@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkdlp.config import GuardConfig
 from sparkdlp.functions import sqltext as sql
 from sparkdlp.functions.text import settle
-from sparkdlp.operators.canary import leaks
+from sparkdlp.operators.canary import leaks, with_token
 from sparkdlp.operators.output import LEAK_REASON, finish_reason
 from sparkdlp.operators.redact import has_secret, redact
 
@@ -28,7 +28,7 @@ _KEYS = ("request_id", "_block")
 
 
 def _block_facts(
-    rows: DataFrame, lookback: int, resets: bool, tokens: DataFrame | None
+    rows: DataFrame, lookback: int, resets: bool, tokens: DataFrame | str | None
 ) -> DataFrame:
     """Per (request, block): ``_carry``, ``token``, ``_more`` and ``_many``.
 
@@ -36,7 +36,8 @@ def _block_facts(
     tells whether later blocks exist and ``_many`` whether any other does.
     """
     # Only a block's last ``lookback`` chunks can reach into the next block.
-    chunk = F.struct("seq", "is_control", "text_delta")
+    tail = F.right("text_delta", F.lit(lookback)).alias("text_delta")
+    chunk = F.struct("seq", "is_control", tail)
     counts = F.lit(True) if resets else ~F.col("is_control")
     blocks = rows.groupBy(*_KEYS).agg(
         F.array_sort(F.collect_list(F.when(counts, chunk))).alias("_chunks"),
@@ -74,7 +75,7 @@ def _block_facts(
     facts = facts.withColumn("_many", F.col("_more") | F.col("_follows")).drop("_follows")
     if tokens is None:
         return facts.withColumn("token", F.lit(None).cast("string"))
-    return facts.join(tokens.select("request_id", "token"), "request_id", "left")
+    return with_token(facts, tokens)
 
 
 def _preceding_text(rows: DataFrame, lookback: int, resets: bool) -> DataFrame:
@@ -95,7 +96,8 @@ def _preceding_text(rows: DataFrame, lookback: int, resets: bool) -> DataFrame:
         rows = rows.withColumn("_segment", F.lit(0))
         segment = Window.partitionBy(*_KEYS, "is_control")
     frame = segment.orderBy("seq").rowsBetween(-lookback, -1)
-    local = F.array_join(F.collect_list("text_delta").over(frame), "")
+    # No chunk can hand on more than its last characters, so only those are gathered.
+    local = F.array_join(F.collect_list(F.right("text_delta", F.lit(lookback))).over(frame), "")
     carried = F.when(F.col("_segment") == 0, F.concat("_carry", "_local")).otherwise(
         F.col("_local")
     )
@@ -138,7 +140,7 @@ _NAMES = "is_control AND NOT is_done AND finish_reason <> ''"
 
 def scan_chunks(
     chunks: DataFrame,
-    canaries: DataFrame | None,
+    canaries: DataFrame | str | None,
     cfg: GuardConfig = GuardConfig(),
 ) -> DataFrame:
     """(request_id, seq, release, blocked, reason, finish) up to where a stream stops.

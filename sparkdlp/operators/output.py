@@ -25,7 +25,7 @@ def finish_reason(stop_reason: Column, default: str | None = "stop") -> Column:
 
 
 def scan_outputs(
-    responses: DataFrame, canaries: DataFrame, cfg: GuardConfig = GuardConfig()
+    responses: DataFrame, canaries: DataFrame | str, cfg: GuardConfig = GuardConfig()
 ) -> DataFrame:
     """Adds ``leak``, ``sanitized_output``, ``output_findings``, ``block_reason``.
 
@@ -72,22 +72,38 @@ def chat_response(row: DataFrame, text: str = "sanitized_output") -> Column:
     )
 
 
-def replace_first_choice(body: Column, schema: str, text: Column) -> Column:
-    """Chat-completion JSON with the first choice's text replaced."""
-    parsed = F.from_json(body, schema)
-    choices = F.transform(
-        parsed["choices"],
-        lambda c, i: F.when(
-            i == 0, c.withField("message", c["message"].withField("content", text))
-        ).otherwise(c),
+_MEMBERS = "map<string,variant>"
+
+
+def with_member(members: Column, name: str, value: Column) -> Column:
+    """A map of JSON members with one of them set; the others stay whatever they are."""
+    others = F.map_filter(members, lambda k, _: k != name)
+    return F.map_concat(others, F.create_map(F.lit(name), value))
+
+
+def replace_first_choice(body: Column, text: Column) -> Column:
+    """Chat-completion JSON with the first choice's text replaced, all else kept."""
+    whole = F.try_parse_json(body)
+    choices = F.try_variant_get(whole, "$.choices", "array<variant>")
+
+    def answered(choice: Column) -> Column:
+        message = F.try_variant_get(choice, "$.message", _MEMBERS)
+        said = with_member(message, "content", text.cast("variant"))
+        return F.to_variant_object(
+            with_member(choice.cast(_MEMBERS), "message", F.to_variant_object(said))
+        )
+
+    edited = F.transform(choices, lambda c, i: F.when(i == 0, answered(c)).otherwise(c))
+    return F.to_json(
+        with_member(whole.cast(_MEMBERS), "choices", F.to_variant_object(edited))
     )
-    return F.to_json(parsed.withField("choices", choices))
 
 
-def replace_only_block(body: Column, schema: str, text: Column) -> Column:
-    """Messages-API JSON whose content is one text block holding ``text``."""
+def replace_only_block(body: Column, text: Column) -> Column:
+    """Messages-API JSON whose content is one text block holding ``text``, all else kept."""
     block = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
-    return F.to_json(F.from_json(body, schema).withField("content", block))
+    members = F.try_parse_json(body).cast(_MEMBERS)
+    return F.to_json(with_member(members, "content", F.to_variant_object(block)))
 
 
 def rewritten_bodies(scanned: DataFrame) -> DataFrame:
@@ -96,15 +112,13 @@ def rewritten_bodies(scanned: DataFrame) -> DataFrame:
     Messages-API responses always change shape; chat completions are rewritten
     only where something was redacted.
     """
-    from sparkdlp.sources.responses import CHAT_BODY
-
     return scanned.withColumn(
         "final_body",
         F.when(F.col("leak"), F.lit(None).cast("string"))
         .when(F.col("provider") == "anthropic", F.to_json(chat_response(scanned)))
         .when(
             F.size("output_findings") > 0,
-            replace_first_choice(F.col("body"), CHAT_BODY, F.col("sanitized_output")),
+            replace_first_choice(F.col("body"), F.col("sanitized_output")),
         )
         .otherwise(F.col("body")),
     )

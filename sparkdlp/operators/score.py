@@ -156,43 +156,6 @@ def model_score(
     return df.withColumn(out, run(F.col(text)))
 
 
-def onnx_factory(model_file: str, tokenizer_file: str, max_tokens: int = 512):
-    """Scorer factory for an ONNX sequence classifier shipped with ``addFile``.
-
-    ``tokenizer_file`` is a ``tokenizer.json``.
-    """
-
-    def build() -> Scorer:
-        import numpy as np
-        import onnxruntime
-        from pyspark import SparkFiles
-        from tokenizers import Tokenizer
-
-        session = onnxruntime.InferenceSession(
-            SparkFiles.get(model_file), providers=["CPUExecutionProvider"]
-        )
-        tokenizer = Tokenizer.from_file(SparkFiles.get(tokenizer_file))
-        tokenizer.enable_truncation(max_tokens)
-        tokenizer.enable_padding(length=max_tokens)
-        names = {i.name for i in session.get_inputs()}
-
-        def score(texts: pd.Series) -> pd.Series:
-            encoded = tokenizer.encode_batch(list(texts))
-            feed = {
-                "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
-                "attention_mask": np.array([e.attention_mask for e in encoded], dtype=np.int64),
-                "token_type_ids": np.array([e.type_ids for e in encoded], dtype=np.int64),
-            }
-            logits = session.run(None, {k: v for k, v in feed.items() if k in names})[0]
-            shifted = np.exp(logits - logits.max(axis=-1, keepdims=True))
-            chances = shifted / shifted.sum(axis=-1, keepdims=True)
-            return pd.Series(chances[:, 1 if chances.shape[-1] > 1 else 0].astype(float))
-
-        return score
-
-    return build
-
-
 def score(
     df: DataFrame,
     backend: str = "auto",

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdlp.config import GuardConfig
-from sparkdlp.operators import canary, gates, output, rate_limit
+from sparkdlp.operators import gates, output, rate_limit
+from sparkdlp.operators.chunk_dlp import chunk_outcome, scan_chunks
 from sparkdlp.operators.decision import decide
-from sparkdlp.operators.requests import rollup, scan_parts
+from sparkdlp.operators.requests import ordered_text, rollup, scan_parts
+from sparkdlp.operators.score import Scorer, model_score
 
 
 def admit(requests: DataFrame, keys: DataFrame, cfg: GuardConfig = GuardConfig()) -> DataFrame:
@@ -40,19 +44,40 @@ def outcomes(
     keys: DataFrame,
     responses: DataFrame,
     cfg: GuardConfig = GuardConfig(),
+    chunks: DataFrame | None = None,
+    scorer: Callable[[], Scorer] | None = None,
 ) -> DataFrame:
     """One row per request: flags, score, labels, decision, status, code, reason.
 
-    ``responses`` are parsed answers (``sources.responses``).  Requests without any
-    text keep score 0.  All joins are on ``request_id``, unique on every side.
+    ``responses`` are parsed whole answers (``sources.responses``), ``chunks`` the
+    ordered chunks of streamed ones (``sources.chunk_log``): a streamed answer with
+    a secret is stopped, a whole one is redacted.  Requests without any text keep
+    score 0.  ``scorer`` loads a model that scores each request's text instead of
+    the heuristic.  Canary tokens are columns, so no answer is moved to meet its
+    token; all joins are on ``request_id``, unique on every side, and carry no text
+    but the preview.
     """
+    if cfg.classifier == "onnx" and scorer is None:
+        raise RuntimeError("classifier 'onnx' needs a scorer; use 'auto' to fall back")
     admitted = admit(requests, keys, cfg)
     rolled = rollup(scan_parts(parts, cfg), cfg.preview_chars)
-    issued = canary.issue(requests, cfg.canary_secret)
+    if scorer is not None and cfg.classifier != "heuristic":
+        scored = model_score(ordered_text(scan_parts(parts, cfg), "scored_text"), scorer, "scan_text")
+        rolled = rolled.drop("score").join(scored.select("request_id", "score"), "request_id", "left")
     answers = output.scan_outputs(
-        responses.select("request_id", "output_text"), issued, cfg
-    ).select("request_id", "block_reason")
+        responses.select("request_id", "output_text"), cfg.canary_secret, cfg
+    ).select("request_id", F.col("block_reason").alias("_whole"))
     joined = admitted.join(rolled, "request_id", "left").join(answers, "request_id", "left")
+    if chunks is None:
+        streamed = F.lit(None).cast("string")
+    else:
+        ended = chunk_outcome(scan_chunks(chunks, cfg.canary_secret, cfg))
+        joined = joined.join(
+            ended.select("request_id", F.col("reason").alias("_streamed")), "request_id", "left"
+        )
+        streamed = F.col("_streamed")
+    block_reason = F.when(F.col("stream"), streamed).otherwise(F.col("_whole"))
+    joined = joined.withColumn("block_reason", block_reason).drop("_whole", "_streamed")
     no_labels = F.array().cast("array<string>")
     filled = joined.withColumns(
         {

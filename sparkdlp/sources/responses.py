@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bodies as logged.  Fields outside these schemas are not carried into rewritten
-# bodies; untouched bodies keep their text.
+# What is read of the bodies; rewritten bodies are made from their whole JSON.
 CHAT_BODY = (
     "id string, object string, created bigint, model string, "
     "choices array<struct<index:int,message:struct<role:string,content:string>,"
@@ -19,42 +18,47 @@ MESSAGES_BODY = (
 )
 
 
-def parse_chat(raw: DataFrame) -> DataFrame:
+_PARSED = ("output_text", "stop_reason", "response_id", "model", "prompt_tokens", "completion_tokens")
+
+
+def _chat(body: Column) -> tuple[Column, ...]:
     """First choice's text, or an empty one; other choices are left alone."""
-    parsed = raw.withColumn("_b", F.from_json("body", CHAT_BODY))
-    first = F.get(F.col("_b.choices"), F.lit(0))
-    return parsed.select(
-        *raw.columns,
-        F.coalesce(first["message"]["content"], F.lit("")).alias("output_text"),
-        first["finish_reason"].alias("stop_reason"),
-        F.col("_b.id").alias("response_id"),
-        F.col("_b.model").alias("model"),
-        F.col("_b.usage.prompt_tokens").alias("prompt_tokens"),
-        F.col("_b.usage.completion_tokens").alias("completion_tokens"),
-    )
+    b = F.from_json(body, CHAT_BODY)
+    first = F.get(b["choices"], F.lit(0))
+    text = F.coalesce(first["message"]["content"], F.lit(""))
+    usage = b["usage"]
+    return text, first["finish_reason"], b["id"], b["model"], usage["prompt_tokens"], usage["completion_tokens"]
 
 
-def parse_messages(raw: DataFrame) -> DataFrame:
+def _messages(body: Column) -> tuple[Column, ...]:
     """Text blocks joined."""
-    parsed = raw.withColumn("_b", F.from_json("body", MESSAGES_BODY))
+    b = F.from_json(body, MESSAGES_BODY)
     blocks = F.filter(
-        F.coalesce(F.col("_b.content"), F.array().cast("array<struct<type:string,text:string>>")),
-        lambda b: b["type"] == "text",
-    )
-    return parsed.select(
-        *raw.columns,
-        F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "").alias(
-            "output_text"
-        ),
-        F.col("_b.stop_reason").alias("stop_reason"),
-        F.col("_b.id").alias("response_id"),
-        F.col("_b.model").alias("model"),
-        F.col("_b.usage.input_tokens").alias("prompt_tokens"),
-        F.col("_b.usage.output_tokens").alias("completion_tokens"),
+        F.coalesce(b["content"], F.array().cast("array<struct<type:string,text:string>>")),
+        lambda block: block["type"] == "text",
     )
+    text = F.array_join(F.transform(blocks, lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    usage = b["usage"]
+    return text, b["stop_reason"], b["id"], b["model"], usage["input_tokens"], usage["output_tokens"]
+
+
+def _with_fields(raw: DataFrame, fields: tuple[Column, ...]) -> DataFrame:
+    return raw.select("*", *(c.alias(name) for name, c in zip(_PARSED, fields)))
+
+
+def parse_chat(raw: DataFrame) -> DataFrame:
+    return _with_fields(raw, _chat(F.col("body")))
+
+
+def parse_messages(raw: DataFrame) -> DataFrame:
+    return _with_fields(raw, _messages(F.col("body")))
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
-    """(…, provider, body) of either dialect to one shape."""
+    """(…, provider, body) of either dialect to one shape, in one pass over the log."""
     is_messages = F.coalesce(F.col("provider") == "anthropic", F.lit(False))
-    return parse_chat(raw.where(~is_messages)).unionByName(parse_messages(raw.where(is_messages)))
+    # A body is parsed by its own dialect only: the other parser gets a null.
+    chat = _chat(F.when(~is_messages, F.col("body")))
+    messages = _messages(F.when(is_messages, F.col("body")))
+    both = (F.when(is_messages, m).otherwise(c) for m, c in zip(messages, chat))
+    return _with_fields(raw, tuple(both))
