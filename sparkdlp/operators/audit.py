@@ -90,6 +90,23 @@ def summary_preview(s: Column, limit: int) -> Column:
     )
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """Rounds the exact value of a double, halves to even, as a correctly rounding library does.
+
+    The product with the power of ten is rounded itself; where it looks like a half,
+    its exact error (by splitting ``x``) says on which side of the half it lies.
+    """
+    scale = F.lit(float(10**digits))
+    product = x * scale
+    spread = x * F.lit(134217729.0)
+    high = spread - (spread - x)
+    error = (high * scale - product) + (x - high) * scale
+    low = F.floor(product).cast("double")
+    rest = product - low
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (low % 2 != 0))))
+    return F.when(up, low + 1).otherwise(low) / scale
+
+
 def audit_rows(outcomes: DataFrame, cfg: GuardConfig = GuardConfig()) -> DataFrame:
     """One row per decided request; labels only, never previews of findings."""
     decided = outcomes.where(~F.col("exit").isin(*UNAUDITED))
@@ -98,7 +115,7 @@ def audit_rows(outcomes: DataFrame, cfg: GuardConfig = GuardConfig()) -> DataFra
         (F.unix_micros("ts") / 1e6).alias("timestamp"),
         fingerprint(F.col("client_key")).alias("client_key_fingerprint"),
         "decision",
-        F.when(F.col("exit") != "blocked_secret_or_pii", F.bround("score", 4)).alias(
+        F.when(F.col("exit") != "blocked_secret_or_pii", round_binary(F.col("score"), 4)).alias(
             "layer2_score"
         ),
         F.col("inj_hit").alias("injection_heuristic_hit"),
@@ -106,7 +123,7 @@ def audit_rows(outcomes: DataFrame, cfg: GuardConfig = GuardConfig()) -> DataFra
         "pii_findings",
         "evasion_signals",
         "prompt_preview",
-        F.bround("latency_ms", 2).alias("latency_ms"),
+        round_binary(F.col("latency_ms"), 2).alias("latency_ms"),
         F.lit(cfg.provider).alias("upstream_provider"),
         "reason",
     )

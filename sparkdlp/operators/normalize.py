@@ -53,6 +53,10 @@ _CURLY = {
 _CONTROL = r"[\x00-\x08\x0B\x0E-\x1F\x7F⁪-⁯﻿￹-￼]"
 _NEEDS_CLEANING = r"[\x00-\x08\x0B\x0D-\x1F\x7F\x85\x{2BC}\x{2018}-\x{206F}\x{FEFF}-\x{FFFC}]"
 _LINE_BREAK = r"\r\n|[\r\x85  ]"
+_QUOTED_CAPITAL = "(?<=[A-Z])[À-Þ][»”’](?![a-zà-ÿ])"
+# Full-width forms of ASCII and the wide blank.
+_WIDE = "　" + "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = " " + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 _ENTITY = r"&#?[0-9A-Za-z]{1,24};"
 
 
@@ -61,7 +65,10 @@ def _reencode(line: Column) -> Column:
     latin = F.translate(line, _CP1252_CHARS, _C1_CHARS)
     fits = ~latin.rlike(r"[^\x00-\xFF]")
     again = F.try_validate_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
-    return F.when(~is_ascii(line) & fits, F.coalesce(again, line)).otherwise(line)
+    # A capital at the end of a word in capitals with a closing quote after it is good
+    # text, though its two bytes happen to be valid UTF-8.
+    suspicious = ~is_ascii(F.regexp_replace(line, _QUOTED_CAPITAL, ""))
+    return F.when(~is_ascii(line) & fits & suspicious, F.coalesce(again, line)).otherwise(line)
 
 
 @cache
@@ -76,11 +83,12 @@ def _entities() -> dict[str, str]:
 
 def _entity_text(entity: Column) -> Column:
     known = F.from_json(F.lit(json.dumps(_entities())), "map<string,string>")
-    digits = F.regexp_extract(entity, r"\A&#([xX]?[0-9A-Fa-f]{1,6});\z", 1)
-    number = F.when(
-        digits.rlike(r"\A[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10).cast("int")
-    ).otherwise(F.expr("null").cast("int"))
-    number = F.coalesce(number, F.when(digits.rlike(r"\A[0-9]{1,7}\z"), digits.cast("int")))
+    # Leading zeros are skipped, so padding does not hide a reference.
+    reference = r"\A&#([xX]?)0*([0-9A-Fa-f]{1,7});\z"
+    base, digits = (F.regexp_extract(entity, reference, i) for i in (1, 2))
+    number = F.when((base != "") & (digits != ""), F.conv(digits, 16, 10).cast("int")).when(
+        (base == "") & digits.rlike(r"\A[0-9]{1,7}\z"), digits.cast("int")
+    )
     sane = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
     decoded = F.when(sane, F.decode(utf32, "UTF-32"))
@@ -136,10 +144,19 @@ def repair_text(text: Column) -> Column:
         lines = F.regexp_replace(straight, _LINE_BREAK, "\n")
         return F.regexp_replace(lines, rf"\x1B\[[0-9;]*[A-Za-z]|{_CONTROL}", "")
 
+    def narrow(t: Column) -> Column:
+        """Width is repaired before tags are looked for, so wide brackets hide nothing."""
+        return let(
+            t,
+            lambda u: F.when(
+                u.rlike(r"[\x{3000}\x{FF01}-\x{FF5E}]"), F.translate(u, _WIDE, _NARROW)
+            ).otherwise(u),
+        )
+
     def whole(t: Column) -> Column:
         return let(
             let(unescape_entities(t), encoding),
-            lambda u: F.when(u.rlike(_NEEDS_CLEANING), clean(u)).otherwise(u),
+            lambda u: narrow(F.when(u.rlike(_NEEDS_CLEANING), clean(u)).otherwise(u)),
         )
 
     return F.when(may_change(text), let(text, whole)).otherwise(text)

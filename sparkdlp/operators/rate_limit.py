@@ -3,10 +3,10 @@
 Tokens are counted in whole units of ``1 / period`` token, so refills are integer
 and the result does not depend on where a key's timeline is cut.
 
-A bucket is a fold over a key's arrivals in order.  Keys of ordinary size are
-folded whole, one after the other in a sorted partition, so that neither a key nor
-a partition has to fit in memory.  The timeline of a heavier key is range-partitioned into chunks of
-about ``chunk_rows`` arrivals that are folded in parallel: a chunk is first
+A bucket is a fold over a key's arrivals in order.  Every key's timeline is cut into
+chunks of about ``chunk_rows`` arrivals, most of them into one.  Chunks are folded
+one after the other in a sorted partition, so that neither a key nor a partition has
+to fit in memory.  Where a key has several, they start in parallel: a chunk is first
 reduced to the function from the tokens at its start to the tokens at its end,
 the functions of a key are applied one after the other, and then every chunk is
 folded again from its now known start.  Results are the same row for row.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from sparkdlp.config import GuardConfig, materialize
+from sparkdlp.config import GuardConfig
 
 CHUNK_ROWS = 1_000_000
 
@@ -54,10 +54,11 @@ class Bucket:
         full, refill, one = self.full, self.refill, self.period_us
         allowed, waits = [], []
         for now in times:
-            units += (now - last) * refill
-            if units > full:
-                units = full
-            last = now
+            if now > last:  # the clock never goes back, whatever order arrivals come in
+                units += (now - last) * refill
+                if units > full:
+                    units = full
+                last = now
             if units >= one:
                 units -= one
                 allowed.append(True)
@@ -119,14 +120,29 @@ def micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def _heavy_keys(arrivals: DataFrame, key: str, chunk_rows: int) -> DataFrame:
-    counted = arrivals.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.where(F.col("_n") > chunk_rows)
+def _cut(arrivals: DataFrame, chunk_rows: int) -> DataFrame:
+    """Adds ``_chunk``: 0, or for keys with over ``chunk_rows`` arrivals a stretch of time.
 
-
-def _chunk_starts(chunked: DataFrame, key: str, bucket: Bucket) -> DataFrame:
-    """(key, chunk, units, last): the state each chunk of a heavy key starts from."""
-    summary = f"`{key}` {chunked.schema[key].dataType.simpleString()}, _chunk int, "
+    A heavy key's time is cut into as many equal stretches as it has chunks of
+    arrivals.  The borders come from its count and its first and last arrival, so
+    every run of the plan sees the same ones and no job runs while it is built.
+    There is at most one heavy key for every ``chunk_rows`` arrivals.
+    """
+    counted = arrivals.groupBy(F.col("_key").alias("_heavy")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi")
+    )
+    heavy = counted.where(F.col("_n") > chunk_rows)
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / chunk_rows))
+    chunk = F.floor((F.col("_us") - F.col("_lo")) / width).cast("int")
+    cut = arrivals.join(heavy, F.col("_key") == F.col("_heavy"), "left")
+    return cut.withColumns(
+        {"_chunk": F.coalesce(chunk, F.lit(0)), "_split": F.col("_heavy").isNotNull()}
+    ).drop("_heavy", "_n", "_lo", "_hi")
+
+
+def _chunk_starts(chunked: DataFrame, bucket: Bucket) -> DataFrame:
+    """(_key, _chunk, _units, _last): the state each chunk of a heavy key starts from."""
+    summary = "_key string, _chunk int, "
     piece = "array<struct<lo:bigint,hi:bigint,slope:int,value:bigint>>"
 
     def reduce_chunk(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +151,7 @@ def _chunk_starts(chunked: DataFrame, key: str, bucket: Bucket) -> DataFrame:
             dict(zip(("lo", "hi", "slope", "value"), p)) for p in transfer(times, bucket)
         ]
         return pd.DataFrame(
-            {key: [ids[0]], "_chunk": [ids[1]], "first": [times[0]], "last": [times[-1]],
+            {"_key": [ids[0]], "_chunk": [ids[1]], "first": [times[0]], "last": [times[-1]],
              "pieces": [rows]}
         )
 
@@ -146,12 +162,12 @@ def _chunk_starts(chunked: DataFrame, key: str, bucket: Bucket) -> DataFrame:
             at_first = units if last is None else bucket.refilled(units, row.first - last)
             pieces = [(p["lo"], p["hi"], p["slope"], p["value"]) for p in row.pieces]
             units, last = apply_transfer(pieces, at_first), row.last
-        return pd.DataFrame(starts, columns=[key, "_chunk", "_units", "_last"])
+        return pd.DataFrame(starts, columns=["_key", "_chunk", "_units", "_last"])
 
-    functions = chunked.groupBy(key, "_chunk").applyInPandas(
+    functions = chunked.groupBy("_key", "_chunk").applyInPandas(
         reduce_chunk, summary + f"first bigint, last bigint, pieces {piece}"
     )
-    return functions.groupBy(key).applyInPandas(chain, summary + "_units bigint, _last bigint")
+    return functions.groupBy("_key").applyInPandas(chain, summary + "_units bigint, _last bigint")
 
 
 def token_bucket(
@@ -166,36 +182,23 @@ def token_bucket(
 
     Arrivals at the same time are taken in the order of ``row_id``.
     """
-    narrow = arrivals.select(
-        F.col(row_id).alias("_tie"), F.col(key), micros(arrivals, ts).alias("_us")
+    # Keys travel as text that is never null: arrivals without a key share one bucket.
+    named = F.when(F.col(key).isNull(), F.lit("")).otherwise(
+        F.concat(F.lit("="), F.col(key).cast("string"))
     )
-    heavy = _heavy_keys(narrow, key, chunk_rows)
-    heavy_rows = heavy.agg(F.sum("_n")).first()[0]  # one number; plans the chunks
-    if heavy_rows:
-        heavy_rows = int(heavy_rows)
-        heavy = materialize(heavy.select(key))
-        chunks = max(2, -(-heavy_rows // chunk_rows))
-        split = (
-            narrow.join(heavy, key, "left_semi")
-            .repartitionByRange(chunks, key, "_us", "_tie")
-            .withColumn("_chunk", F.spark_partition_id())
-        )
-        # Both passes over the chunks must see the same borders.
-        split = materialize(split)
-        starts = _chunk_starts(split, key, bucket)
-        whole = narrow.join(heavy, key, "left_anti").withColumn("_chunk", F.lit(-1))
-        rows = whole.unionByName(split).join(starts, [key, "_chunk"], "left")
-    else:
-        rows = narrow.withColumns(
-            {"_chunk": F.lit(-1), "_units": F.lit(None).cast("bigint"),
-             "_last": F.lit(None).cast("bigint")}
-        )
+    narrow = arrivals.select(
+        F.col(row_id).alias("_tie"), F.col(key), named.alias("_key"),
+        micros(arrivals, ts).alias("_us"),
+    )
+    cut = _cut(narrow, chunk_rows)
+    starts = _chunk_starts(cut.where("_split"), bucket)
+    rows = cut.join(starts, ["_key", "_chunk"], "left")
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted rows, key after key; only the running state crosses batches."""
         current, units, last = None, 0, 0
         for pdf in batches:
-            keys, chunks = pdf[key].to_numpy(), pdf["_chunk"].to_numpy()
+            keys, chunks = pdf["_key"].to_numpy(), pdf["_chunk"].to_numpy()
             new = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
             edges = [0, *new.tolist(), len(pdf)]
             times, known = pdf["_us"].tolist(), pdf["_units"].notna().tolist()
@@ -215,7 +218,9 @@ def token_bucket(
             )
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    placed = rows.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", "_us", "_tie")
+    placed = rows.repartition("_key", "_chunk").sortWithinPartitions(
+        "_key", "_chunk", "_us", "_tie"
+    )
     decided = placed.mapInPandas(
         replay,
         f"_tie {types['_tie']}, `{key}` {types[key]}, allowed boolean, retry_after_us double",

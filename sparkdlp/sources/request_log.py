@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BODY = (
-    "model string, messages array<struct<role:string,content:variant,name:string>>, "
-    "stream boolean, temperature double, top_p double, max_tokens int, stop variant"
+    "model string, messages array<struct<role:string,content:variant,name:variant>>, "
+    "stop variant"
 )
 ROLES = ("system", "user", "assistant", "tool")
 
@@ -25,6 +25,31 @@ def _field(raw: Column, path: str, *kinds: str) -> Column:
     return value.isNull() | _is_kind(value, "VOID", *kinds)
 
 
+_NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_WHOLE = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
+_TRUTH = ("true", "false", "t", "f", "yes", "no", "y", "n", "on", "off", "1", "0")
+
+
+def _text_of(raw: Column, path: str) -> Column:
+    return F.try_variant_get(raw, f"$.{path}", "string")
+
+
+def _number(raw: Column, path: str, pattern: str = _NUMBER) -> Column:
+    """Absent, null, a number, or a text that reads as one; whole numbers by ``_WHOLE``."""
+    plain = _field(raw, path, "BIGINT", "DECIMAL", "DOUBLE", "STRING")
+    value = F.try_variant_get(raw, f"$.{path}", "variant")
+    return plain & (value.isNull() | _is_kind(value, "VOID") | _text_of(raw, path).rlike(pattern))
+
+
+def _truth(raw: Column, path: str) -> Column:
+    """Absent, a truth value, or a text or number that stands for one; null is refused."""
+    value = F.try_variant_get(raw, f"$.{path}", "variant")
+    named = F.lower(_text_of(raw, path)).isin(*_TRUTH)
+    return value.isNull() | _is_kind(value, "BOOLEAN") | (
+        _is_kind(value, "STRING", "BIGINT") & F.coalesce(named, F.lit(False))
+    )
+
+
 def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
     """Typed fields next to ``raw`` (unknown fields stay there) and ``valid``."""
     parsed = lines.withColumn("raw", F.try_parse_json(body)).withColumn(
@@ -32,8 +57,10 @@ def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
     )
     raw = F.col("raw")
     messages = F.col("_b.messages")
+    listed = F.try_variant_get(raw, "$.stop", "array<variant>")
     is_message = lambda m: (
         m["role"].isin(*ROLES)
+        & (m["name"].isNull() | _is_kind(m["name"], "STRING", "VOID"))
         & (m["content"].isNull() | _is_kind(m["content"], "STRING", "ARRAY", "VOID"))
     )
     valid = (
@@ -41,20 +68,25 @@ def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
         & _is_kind(F.try_variant_get(raw, "$.model", "variant"), "STRING")
         & _is_kind(F.try_variant_get(raw, "$.messages", "variant"), "ARRAY")
         & F.coalesce(F.forall(messages, lambda m: F.coalesce(is_message(m), F.lit(False))), F.lit(False))
-        & _field(raw, "temperature", "BIGINT", "DECIMAL", "DOUBLE")
-        & _field(raw, "top_p", "BIGINT", "DECIMAL", "DOUBLE")
-        & _field(raw, "max_tokens", "BIGINT")
+        & _number(raw, "temperature")
+        & _number(raw, "top_p")
+        & _number(raw, "max_tokens", _WHOLE)
+        & _truth(raw, "stream")
         & _field(raw, "stop", "STRING", "ARRAY")
+        & F.coalesce(F.forall(listed, lambda s: _is_kind(s, "STRING")), F.lit(True))
     )
     return parsed.select(
         *lines.columns,
         "raw",
         F.col("_b.model").alias("model"),
-        messages.alias("messages"),
-        F.coalesce(F.col("_b.stream"), F.lit(False)).alias("stream"),
-        F.col("_b.temperature").alias("temperature"),
-        F.col("_b.top_p").alias("top_p"),
-        F.col("_b.max_tokens").alias("max_tokens"),
+        F.transform(
+            messages,
+            lambda m: F.struct(m["role"], m["content"], F.try_variant_get(m["name"], "$", "string").alias("name")),
+        ).alias("messages"),
+        F.coalesce(F.lower(_text_of(raw, "stream")).isin("true", "t", "yes", "y", "on", "1"), F.lit(False)).alias("stream"),
+        F.try_variant_get(raw, "$.temperature", "double").alias("temperature"),
+        F.try_variant_get(raw, "$.top_p", "double").alias("top_p"),
+        F.try_variant_get(raw, "$.max_tokens", "double").cast("int").alias("max_tokens"),
         F.col("_b.stop").alias("stop"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
     )

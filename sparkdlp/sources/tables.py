@@ -1,27 +1,15 @@
-"""Parquet tables laid out for CPU-bound scans."""
+"""Parquet tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_BYTES = 1 << 20
 
+def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Some or all columns of a table; how many tasks read it is up to its files.
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input may come in too few pieces.
-
-    Spark cuts a small input into about one split per core, but a split without a
-    row group's start stays empty, so a file of one row group is one task.  Text
-    scans cost some thirty times what moving the text once does.  Inputs of many
-    splits per core, as any large one is, and tiny ones are left alone.
+    Text scans are bound by CPU, so write text tables with row groups well below
+    ``spark.sql.files.maxPartitionBytes``: a row group is never split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size < SPREAD_BYTES else df.repartition(2 * cores)
-
-
-def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     table = spark.read.parquet(path)
-    return spread(table.select(*columns) if columns else table)
+    return table.select(*columns) if columns else table

@@ -7,6 +7,7 @@ as in batch.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from sparkdlp.operators.output import LEAK_REASON
 from sparkdlp.operators.redact import redact
 
 _OUT = "request_id {id}, seq bigint, raw string, blocked boolean, reason string, finish string"
-_STATE = "held string, stopped boolean, named boolean, last_seq bigint"
+_STATE = "held string, stopped boolean, named boolean, last_seq bigint, early string"
 
 
 def scan_chunk_stream(
@@ -30,14 +31,18 @@ def scan_chunk_stream(
     cfg: GuardConfig = GuardConfig(),
     token: str | None = "token",
     idle_ms: int | None = None,
+    first_seq: int | None = None,
 ) -> DataFrame:
     """The batch operator's rows, for a stream of chunks.
 
-    ``token`` names the column that carries the request's canary.  Chunks seen
-    again (``seq`` not above the last one) are dropped.  With ``idle_ms``, a
-    request silent for that long is forgotten, so state stays bounded on a stream
-    that never ends (its batches then go on without new data, so it does not suit
-    ``availableNow``); what such a request still held back is never released.
+    ``token`` names the column that carries the request's canary.  With
+    ``first_seq``, ``seq`` counts up from there by one: chunks that come before
+    their predecessors wait in the state, and only true repeats are dropped.
+    Without it a chunk that comes in a later micro-batch than its successors cannot
+    be told from a repeat, so order must hold from one micro-batch to the next.
+    With ``idle_ms``, what a request holds back is dropped when it is silent for
+    that long (batches then go on without new data, so it does not suit
+    ``availableNow``); where it stopped is kept, so a blocked request stays blocked.
     """
     buffer, strict = cfg.buffer_chars, cfg.strict_streaming
     keep = buffer if strict else 2 * buffer
@@ -51,7 +56,8 @@ def scan_chunk_stream(
 
     def step(ids, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            _, *where, _ = state.get
+            state.update(("", *where, "[]"))
             return
         patterns = [re.compile(p) for p in SECRET_PATTERNS.values()] if secrets else []
 
@@ -60,14 +66,22 @@ def scan_chunk_stream(
                 return LEAK_REASON
             return SECRET_REASON if any(p.search(text) for p in patterns) else None
 
-        held, stopped, named, last = (
-            state.get if state.exists else ("", False, False, -(2**62))
+        before = -(2**62) if first_seq is None else first_seq - 1
+        held, stopped, named, last, early = (
+            state.get if state.exists else ("", False, False, before, "[]")
         )
-        batch = pd.concat(list(frames)).sort_values("seq")
+        batch = pd.concat(list(frames))
+        waiting = json.loads(early)
+        if waiting:
+            batch = pd.concat([pd.DataFrame(waiting, columns=batch.columns), batch])
+        batch, waiting = batch.sort_values("seq"), []
         out = []
         for row in batch.itertuples(index=False):
             if stopped or row.seq <= last:
                 continue
+            if first_seq is not None and row.seq > last + 1:
+                waiting.append([x.item() if hasattr(x, "item") else x for x in row])
+                continue
             last, finish = row.seq, None
             control = row.is_done or row.text_delta == ""
             delta = "" if control else row.text_delta
@@ -88,7 +102,7 @@ def scan_chunk_stream(
             elif control and row.finish_reason and not named:
                 finish, named = row.finish_reason, True
             out.append((ids[0], row.seq, raw, reason is not None, reason, finish))
-        state.update((held, stopped, named, last))
+        state.update((held, stopped, named, last, json.dumps([] if stopped else waiting)))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(

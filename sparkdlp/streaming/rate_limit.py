@@ -1,6 +1,7 @@
 """Streaming token-bucket limits, keyed by client.
 
-State per key is two integers.  A micro-batch's arrivals of a key are ordered
+State per key is two integers; an arrival older than the last one neither adds nor
+takes time.  A micro-batch's arrivals of a key are ordered
 within the batch, so bound the batch at the source (``maxFilesPerTrigger``,
 ``maxOffsetsPerTrigger``).
 """
