@@ -86,6 +86,11 @@ def _rebuilt(contents: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([rebuild(c, t) for c, t in zip(contents, texts)], dtype=object)
 
 
+def rebuilt_list(listed: Column, texts: Column) -> Column:
+    """A JSON list with its scanned texts replaced, in order; null lists stay null."""
+    return _rebuilt(listed, F.coalesce(texts, F.array().cast("array<string>")))
+
+
 def _is_kind(content: Column, kind: str) -> Column:
     return F.schema_of_variant(content).startswith(kind)
 
