@@ -11,9 +11,10 @@ L / (n1 + n2 - L); a pair is linked from 0.8 on, and classes are the connected c
 
 No bucket is collected or paired with itself. Texts with the same words are one node first. Then every bucket
 member is compared with the bucket's leader only (the member that meets most others), which settles groups of
-copies in linear work; members that end in another class than their leader get a new leader, and what is left
-after that is compared in blocks, where only pairs go on whose minima in 256 bins of hash values let a similarity
-of 0.8 seem possible, four standard deviations allowed.
+copies in linear work; members that end in another class than their leader get a new leader. Buckets that still
+hold several classes are compared in blocks, where only pairs go on whose minima in 512 bins of hash values let a
+similarity of 0.8 seem possible, three standard deviations allowed: first every member's most promising partner,
+then all pairs that are still in different classes.
 
 Defined cases: texts of one to four words have one shingle of all of them; texts without a word, null included,
 are linked to nothing. Classes carry the lowest document id as class_id. Rows that repeat an id are treated by
@@ -23,6 +24,7 @@ bits of its words: two different texts meet in one node about once in six billio
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -45,8 +47,8 @@ BANDS = 20
 STAR_ROUNDS = 2
 #: Members in a block, bins of hash values, and the deviations below 0.8 that a pair of a block may seem to have.
 BLOCK = 256
-BINS = 256
-DEVIATIONS = 4.0
+BINS = 512
+DEVIATIONS = 3.0
 
 
 def words_hash(text: str | None) -> int | None:
@@ -162,15 +164,22 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), *arrays], ["id", "body", "node", "n", "bands", "marks"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they travel once per pair."""
+    for batch in batches:
+        packed = [zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
 
-        def codes(node: int, text: pa.StringScalar) -> np.ndarray:
+        def codes(node: int, packed: pa.BinaryScalar) -> np.ndarray:
             if node not in seen:
                 if len(seen) >= 32:
                     seen.pop(next(iter(seen)))
-                seen[node] = shingles(text.as_py())
+                seen[node] = shingles(zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
             return seen[node]
 
         for batch in batches:
@@ -182,14 +191,14 @@ def _verify(least: float):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b: nodes) whose texts align. texts: id, body, text; nodes: node and the id, body of a text."""
-    pairs = saved(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """Those saved pairs (a, b: nodes) whose texts align. texts: id, body, text; nodes: node and the id, body of a text."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = small(saved(nodes.join(ends, "node").select("node", "id", "body")), 48)
     own = texts.join(wanted, same(texts, wanted, [("id", "id"), ("body", "body")])).select("node", "text").dropDuplicates(["node"])
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    checked = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long, similarity double")
+    own = own.mapInArrow(_packed, "node long, packed binary")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
+    both = both.join(own.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
+    checked = both.select("a", "b", "packed_a", "packed_b").mapInArrow(_verify(least), "a long, b long, similarity double")
     return saved(checked.where(F.col("similarity") > 0))
 
 
@@ -209,30 +218,40 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return nodes.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _possible(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair that are in different classes and may be similar; each in its first common bucket only."""
-    marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(len(rows), -1)
-    bands, bins = np.ascontiguousarray(marks[:, : 4 * BANDS]).view(np.uint32), marks[:, 4 * BANDS :]
-    node, label, n, part = (rows[c].to_numpy() for c in ("node", "label", "n", "part"))
-    band, apart = rows["band"].iat[0], rows["i"].iat[0] != rows["j"].iat[0]
-    a, b = [], []
-    for x in range(len(rows)):
-        rest = slice(x + 1, None)
-        fit = label[rest] != label[x]
-        fit &= np.minimum(n[rest], n[x]) >= SIMILARITY * np.maximum(n[rest], n[x])
-        if apart:
-            fit &= part[rest] != part[x]
-        near = np.flatnonzero(fit) + x + 1
-        near = near[(bands[near] == bands[x]).argmax(axis=1) == band]
-        if len(near):
-            filled = (bins[near] != 0) | (bins[x] != 0)
-            equal = ((bins[near] == bins[x]) & filled).sum(axis=1)
-            total = filled.sum(axis=1)
-            near = near[equal >= SIMILARITY * total - DEVIATIONS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * total)]
-        a += [node[x]] * len(near)
-        b += node[near].tolist()
-    a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _possible(best: bool):
+    """Pairs of one block pair that are in different classes and may be similar; each in its first common bucket only.
+
+    With ``best`` only the most promising partner of each row.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(len(rows), -1)
+        bands, bins = np.ascontiguousarray(marks[:, : 4 * BANDS]).view(np.uint32), marks[:, 4 * BANDS :]
+        node, label, n, part = (rows[c].to_numpy() for c in ("node", "label", "n", "part"))
+        band, apart = rows["band"].iat[0], rows["i"].iat[0] != rows["j"].iat[0]
+        a, b = [], []
+        for x in range(len(rows)):
+            rest = slice(x + 1, None)
+            fit = label[rest] != label[x]
+            fit &= np.minimum(n[rest], n[x]) >= SIMILARITY * np.maximum(n[rest], n[x])
+            if apart:
+                fit &= part[rest] != part[x]
+            near = np.flatnonzero(fit) + x + 1
+            near = near[(bands[near] == bands[x]).argmax(axis=1) == band]
+            if len(near):
+                filled = (bins[near] != 0) | (bins[x] != 0)
+                equal = ((bins[near] == bins[x]) & filled).sum(axis=1)
+                total = filled.sum(axis=1)
+                hope = equal >= SIMILARITY * total - DEVIATIONS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * total)
+                near, share = near[hope], (equal / total)[hope]
+                if best and len(near):
+                    near = near[share.argmax()][None]
+            a += [node[x]] * len(near)
+            b += node[near].tolist()
+        a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
 
 
 def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,31 +264,39 @@ def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = saved(buckets.join(crowded, "bucket").select("bucket", "band", "node", "n", "members"))
     met = members.groupBy("node").agg(F.sum("members").alias("met"))
     rest = members.join(met, "node").select("bucket", "node", "met")
-    nodes, edges = own.select("node", "id", "body"), None
+    nodes, edges, tried = own.select("node", "id", "body"), None, None
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        """Verifies the pairs that were not tried yet and gives the labels that follow."""
+        nonlocal edges, tried
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = saved(pairs)
+        tried = pairs if tried is None else saved(tried.union(pairs))
+        more = verified(pairs, texts, nodes)
+        edges = more if edges is None else saved(edges.union(more))
+        return saved(components(edges, nodes.select("node")))
+
     for _ in range(STAR_ROUNDS):
         rest = saved(rest)
         first = rest.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
         led = saved(rest.join(first, "bucket"))
-        pairs = led.where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if edges is not None:
-            pairs = pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        more = verified(pairs, texts, nodes)
-        edges = more if edges is None else saved(edges.union(more))
-        labels = saved(components(edges, nodes.select("node")))
+        pairs = led.where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        labels = settle(pairs.distinct())
         led = led.join(labels, "node").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader")
         rest = led.where(F.col("label") != F.col("led")).select("bucket", "node", "met")
-    # Buckets whose members are still in several classes: compare them in blocks.
-    mixed = members.join(saved(rest.select("bucket").distinct()), "bucket").join(labels, "node").join(own.select("node", "marks"), "node")
-    mixed = mixed.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    mixed = mixed.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    late = mixed.groupBy("bucket", "i", "j").applyInPandas(_possible, "a long, b long")
-    late = saved(late.join(edges.select("a", "b"), ["a", "b"], "left_anti"))
-    if late.limit(1).count():
-        more = verified(late, texts, nodes)
-        if more.limit(1).count():
-            edges = saved(edges.union(more))
-            labels = saved(components(edges, nodes.select("node")))
+    for best in (True, False):
+        # Buckets whose members are still in several classes are compared in blocks.
+        named = members.join(labels, "node")
+        several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        several = saved(several.select("bucket"))
+        if not several.limit(1).count():
+            break
+        mixed = named.join(several, "bucket").join(own.select("node", "marks"), "node")
+        mixed = mixed.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        mixed = mixed.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+        labels = settle(mixed.groupBy("bucket", "i", "j").applyInPandas(_possible(best), "a long, b long").distinct())
     return edges, labels
 
 
