@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,7 +23,7 @@ def fresh(name: str, taken: Iterable[str]) -> str:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's folder, or a temporary one for a single machine."""
+    """Sets the checkpoint folder where there is none: the cluster's folder, or a temporary one for a single machine."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -35,9 +36,17 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder; later readers need no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table in the application's own folder below the shared checkpoint folder.
+
+    Later readers need no recomputation and start from a bare scan: unlike checkpoint(), nothing of the plan
+    before (constraints above all, which grow with every round of an iteration) stays with the rows. The folder
+    lasts until the application's checkpoints are removed.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits(rows: int, row_bytes: int) -> bool:
