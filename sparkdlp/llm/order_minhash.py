@@ -242,7 +242,10 @@ def _possible(best: bool):
                 filled = (bins[near] != 0) | (bins[x] != 0)
                 equal = ((bins[near] == bins[x]) & filled).sum(axis=1)
                 total = filled.sum(axis=1)
-                hope = equal >= SIMILARITY * total - DEVIATIONS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * total)
+                # The filled bins are a draw without replacement from all shingles of a pair of that similarity.
+                every = np.maximum(total, (n[near] + n[x]) / (1 + SIMILARITY))
+                spread = np.sqrt(SIMILARITY * (1 - SIMILARITY) * total * (1 - total / every))
+                hope = equal >= SIMILARITY * total - DEVIATIONS * spread - 1
                 near, share = near[hope], (equal / total)[hope]
                 if best and len(near):
                     near = near[share.argmax()][None]
