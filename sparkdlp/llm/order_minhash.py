@@ -202,8 +202,8 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float
     return saved(checked.where(F.col("similarity") > 0))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its connected component. Min-label rounds with pointer jumps."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, label of every node with an edge: the smallest of its component. Min-label rounds with pointer jumps."""
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     linked = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
@@ -215,7 +215,18 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         changed = step.where(F.col("next") != F.col("label")).limit(1).count()
         linked = step.select("node", F.col("next").alias("label"))
         if not changed:
-            return nodes.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+            return linked
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels of all nodes after more edges. Only edges between different labels count, each label being one node."""
+    ends = edges.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+    ends = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
+    ends = saved(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if not ends.limit(1).count():
+        return labels
+    found = components(ends).select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return saved(labels.join(found, "label", "left").select("node", F.coalesce("low", "label").alias("label")))
 
 
 def _possible(best: bool):
@@ -268,6 +279,7 @@ def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = members.groupBy("node").agg(F.sum("members").alias("met"))
     rest = members.join(met, "node").select("bucket", "node", "met")
     nodes, edges, tried = own.select("node", "id", "body"), None, None
+    labels = own.select("node", F.col("node").alias("label"))
 
     def settle(pairs: DataFrame) -> DataFrame:
         """Verifies the pairs that were not tried yet and gives the labels that follow."""
@@ -278,7 +290,7 @@ def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
         tried = pairs if tried is None else saved(tried.union(pairs))
         more = verified(pairs, texts, nodes)
         edges = more if edges is None else saved(edges.union(more))
-        return saved(components(edges, nodes.select("node")))
+        return merged(labels, more)
 
     for _ in range(STAR_ROUNDS):
         rest = saved(rest)
