@@ -151,6 +151,21 @@ def test_a_group_larger_than_a_shard_is_spread(spark):
     assert sizes.max() < 1.05 * sizes.mean()
 
 
+def test_groups_are_cut_only_for_what_whole_groups_cannot_even_out(spark):
+    import random
+
+    rng, texts = random.Random(4), ["hot " + prose(30, 1)] * 4000
+    while len(texts) < 7600:  # groups of 2 to 150, all less than a part
+        texts += [f"{len(texts)} {prose(30, 1)}"] * rng.choice([2, 3, 5, 10, 40, 100, 150])
+    texts += [f"{i} {prose(30, 1)}" for i in range(len(texts), 12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, sizes = shards_hold(docs)
+    assert sizes.max() < 1.02 * sizes.mean() and sizes.min() > 0.98 * sizes.mean()
+    groups = got.groupby(["text_crc32", "size"])["shard"].agg(["nunique", "count"])
+    small = groups[(groups["count"] > 1) & (groups["count"] < 4000)]
+    assert len(small) > 30 and (small["nunique"] > 1).sum() <= 3
+
+
 def test_sharding_awkward(awkward, empty):
     import zlib
 
