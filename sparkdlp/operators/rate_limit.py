@@ -14,6 +14,8 @@ folded again from its now known start.  Results are the same row for row.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -120,24 +122,45 @@ def micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
+def _saved(df: DataFrame) -> DataFrame:
+    """The rows as a table below the shared checkpoint folder, so that every run of the plan sees the same ones."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="rate-limit-")
+        context.setCheckpointDir(folder)
+    path = f"{context.getCheckpointDir()}/arrivals-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _cut(arrivals: DataFrame, chunk_rows: int) -> DataFrame:
-    """Adds ``_chunk``: 0, or for keys with over ``chunk_rows`` arrivals a stretch of time.
+    """Adds ``_chunk``: 0, or for keys with over ``chunk_rows`` arrivals a stretch of them in order.
 
-    A heavy key's time is cut into as many equal stretches as it has chunks of
-    arrivals.  The borders come from its count and its first and last arrival, so
-    every run of the plan sees the same ones and no job runs while it is built.
-    There is at most one heavy key for every ``chunk_rows`` arrivals.
+    The arrivals of heavy keys are range-partitioned by key, time and tie into about
+    ``chunk_rows`` rows each, however bursty they are, and written to a table: borders
+    are sampled and have to be seen twice.  Two jobs run while the plan is built where
+    there are heavy keys, one where there are none.  There is at most one heavy key for
+    every ``chunk_rows`` arrivals.
     """
-    counted = arrivals.groupBy(F.col("_key").alias("_heavy")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi")
+    whole = {"_chunk": F.lit(0), "_split": F.lit(False)}
+    counted = arrivals.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    heavy = _saved(counted.where(F.col("_n") > chunk_rows))
+    rows = heavy.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return arrivals.withColumns(whole)
+    heavy = heavy.select("_key")
+    ordered = arrivals.join(heavy, "_key", "left_semi").repartitionByRange(
+        -(-rows // chunk_rows), "_key", "_us", "_tie"
+    )
+    split = _saved(
+        ordered.withColumns({"_chunk": F.spark_partition_id(), "_split": F.lit(True)})
     )
-    heavy = counted.where(F.col("_n") > chunk_rows)
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / chunk_rows))
-    chunk = F.floor((F.col("_us") - F.col("_lo")) / width).cast("int")
-    cut = arrivals.join(heavy, F.col("_key") == F.col("_heavy"), "left")
-    return cut.withColumns(
-        {"_chunk": F.coalesce(chunk, F.lit(0)), "_split": F.col("_heavy").isNotNull()}
-    ).drop("_heavy", "_n", "_lo", "_hi")
+    return split.unionByName(arrivals.join(heavy, "_key", "left_anti").withColumns(whole))
 
 
 def _chunk_starts(chunked: DataFrame, bucket: Bucket) -> DataFrame:

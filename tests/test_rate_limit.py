@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkdlp.config import GuardConfig
 from sparkdlp.operators import gates
-from sparkdlp.operators.rate_limit import Bucket, apply_transfer, token_bucket, transfer
+from sparkdlp.operators.rate_limit import Bucket, _cut, apply_transfer, token_bucket, transfer
 
 
 def brute_force(times, bucket):
@@ -60,6 +60,23 @@ def test_heavy_keys_are_cut_without_a_trace(spark, chunk_rows):
             assert got[i] == (ok, pytest.approx(wait / 1e6), retry)
 
 
+def test_bursts_and_outliers_do_not_fill_a_chunk(spark):
+    bucket = Bucket(3, 1, 1_000_000)
+    burst = 10**15  # one arrival at a default time, then all others within a moment, half of them at once
+    times = [0] + [burst + max(0, i - 400) * 300_000 for i in range(800)]
+    rows = [(i, "hot" if i % 9 else "cold", us) for i, us in enumerate(times)]
+    df = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "request_id int, client_key string, us bigint")
+    named = df.select(F.col("request_id").alias("_tie"), F.col("client_key").alias("_key"), F.col("us").alias("_us"))
+    chunks = _cut(named, 100).groupBy("_key", "_chunk").count().collect()
+    assert max(r["count"] for r in chunks) < 200
+    arrivals = df.withColumn("ts", F.timestamp_micros("us"))
+    got = {r.request_id: r.allowed for r in token_bucket(arrivals, bucket, chunk_rows=100).collect()}
+    for key in ("hot", "cold"):
+        ordered = [(i, us) for i, k, us in rows if k == key]
+        for (i, _), (ok, _) in zip(ordered, brute_force([us for _, us in ordered], bucket)):
+            assert got[i] == ok
+
+
 def test_first_request_spends_one(spark):
     df = spark.createDataFrame([(i, "k", 0) for i in range(4)], "request_id int, client_key string, us bigint")
     arrivals = df.withColumn("ts", F.timestamp_micros("us"))
