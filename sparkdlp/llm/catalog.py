@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdlp.llm import bpe, cotraining, decontaminate, lang_id, line_dedup, order_minhash, pii, quality_rules, sharding, token_counts
+from sparkdlp.llm import (
+    bpe,
+    chat_format,
+    cotraining,
+    decontaminate,
+    lang_id,
+    line_dedup,
+    merkle,
+    order_minhash,
+    pii,
+    quality_rules,
+    reversed_search,
+    sharding,
+    token_counts,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +70,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = chat_format.HOSTILE
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chat_format.formatted(rows.unionByName(extra)))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -67,8 +96,14 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
+    "op11_chat_format": op11_chat_format,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_reversed_search": op13_reversed_search,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL.format(min_sites=line_dedup.MIN_SITES),
+    "op11_chat_format": chat_format.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_reversed_search": reversed_search.SQL,
 }
