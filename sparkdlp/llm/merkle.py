@@ -169,7 +169,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     """
     tampered = F.when(drawn(F.col("doc_id")), leaf(text=F.translate("text", UPPER, LOWER)))
     rows = docs.select("doc_id", F.col("lang").alias("tree"), leaf().alias("digest"), tampered.alias("tampered"))
-    leaves = saved(numbered(rows, "tree", ["doc_id", "digest"]))
+    # Saved first: a range partitioning reads its rows twice, and the texts are to be hashed once.
+    leaves = saved(numbered(saved(rows), "tree", ["doc_id", "digest"]))
     levels = [leaves, *stored_levels(leaves)]
     above = saved(_tops(levels[-1]))
     for below in reversed(levels[1:-1]):
