@@ -13,10 +13,11 @@ read, so other columns may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdlp.llm.common import fresh
@@ -33,6 +34,7 @@ UNKNOWN = "und"
 _FLUSH = 400_000
 
 
+@cache
 def letter_table() -> np.ndarray:
     """For each code point: 0 if it is no letter, else its lower-case form (first code point)."""
     table = np.zeros(0x110000, dtype=np.uint32)
@@ -120,39 +122,45 @@ def distances(doc: np.ndarray, known: np.ndarray, places: np.ndarray, size: int)
     return off.mean(axis=1) / size
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], keys: list[str], text: str = "text", doc_size: int = DOC_SIZE) -> DataFrame:
-    """keys plus lang_pred and score (1 minus the mean distance) for every row; texts are read whole."""
+def _recogniser(profiles: dict[str, list[int]], doc_size: int = DOC_SIZE):
+    """A column function from texts to structs of lang_pred and score (1 minus the mean distance).
+
+    Only the texts go to the workers, and only the verdicts come back.
+    """
     names = list(profiles)
     size = max((len(p) for p in profiles.values()), default=1)
     known = np.unique(np.concatenate([np.asarray(p, dtype=np.int64) for p in profiles.values()])) if names else np.zeros(1, dtype=np.int64)
     places = np.full((max(1, len(names)), len(known)), size, dtype=np.int64)
     for i, name in enumerate(names):
         places[i, np.searchsorted(known, np.asarray(profiles[name], dtype=np.int64))] = np.arange(len(profiles[name]))
-    rows = docs.select(*keys) if text in keys else docs.select(*keys, text)
-    at = rows.columns.index(text)
-    said_name, score_name = fresh("lang_pred", keys), fresh("score", keys)
-    kinds = docs.select(*keys).schema.add(said_name, "string").add(score_name, "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: pa.Array) -> pa.Array:
         table = letter_table()
-        for batch in batches:
-            said, scores = [], []
-            for body in batch.column(at):
-                doc = ranked(grams(body.as_py() or "", table), doc_size)
-                if not len(doc) or not names:
-                    said.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                far = distances(doc, known, places, size)
-                said.append(names[int(np.argmin(far))])
-                scores.append(float(1 - far.min()))
-            columns = [*batch.columns[: len(keys)], pa.array(said, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, kinds.names)
-
-    return rows.mapInArrow(run, kinds)
-
-
-def held_out(doc_id: str = "doc_id"):
+        said, scores = [], []
+        for body in texts:
+            doc = ranked(grams(body.as_py() or "", table), doc_size)
+            if not len(doc) or not names:
+                said.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            far = distances(doc, known, places, size)
+            said.append(names[int(np.argmin(far))])
+            scores.append(float(1 - far.min()))
+        return pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    return F.arrow_udf(judge, "lang_pred string, score double")
+
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]], keys: list[str], text: str = "text", doc_size: int = DOC_SIZE) -> DataFrame:
+    """keys plus lang_pred and score (1 minus the mean distance) for every row; texts are read whole."""
+    verdict = fresh("verdict", keys)
+    found = docs.select(*keys, _recogniser(profiles, doc_size)(F.col(text)).alias(verdict))
+    return found.select(
+        *keys, F.col(verdict)["lang_pred"].alias(fresh("lang_pred", keys)), F.col(verdict)["score"].alias(fresh("score", keys))
+    )
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
     """The quarter of the documents that training never sees: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
