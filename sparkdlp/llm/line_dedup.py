@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdlp.llm.common import fresh, hashes, same, saved, small
+from sparkdlp.llm.common import fits, fresh, hashes, same, saved, small
 
 #: Sites a line must be on to be boilerplate.
 MIN_SITES = 10
@@ -68,7 +68,10 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: st
     hits = line_rows(docs, doc_id, text, site).join(small(found, 32), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
     drops = hits.groupBy("id", "body").agg(F.collect_set("at").alias("drop"))
     key, lines, total, gone = (fresh(n, docs.columns) for n in ("line_key", "line_drop", "n_lines", "n_removed"))
-    drops = drops.select(F.col("id").alias("line_id"), F.col("body").alias(key), F.col("drop").alias(lines))
+    drops = saved(drops.select(F.col("id").alias("line_id"), F.col("body").alias(key), F.col("drop").alias(lines)))
+    held = drops.agg(F.sum(F.size(lines) * 8 + 64 + F.octet_length(F.col("line_id").cast("string")))).first()[0]
+    # Where the places to drop are few, the texts stay where they are; else they meet them in a shuffle.
+    drops = F.broadcast(drops) if fits(held or 0, 1) else drops
     # The lines travel as an array, so that they are split once and not for each kept place.
     keyed = docs.withColumn(key, F.xxhash64(F.col(text))).withColumn(text, F.split(F.col(text), "\n"))
     joined = keyed.join(drops, same(keyed, drops, [(doc_id, "line_id"), (key, key)]), "left")
