@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,20 +36,43 @@ def shared_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+#: Folders of the tables saved in the open `temporary` blocks, innermost last; the first never ends.
+_open: list[list[str]] = [[]]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows as a table in the application's own folder below the shared checkpoint folder.
 
     Later readers need no recomputation and start from a bare scan: unlike checkpoint(), nothing of the plan
     before (constraints above all, which grow with every round of an iteration) stays with the rows. The folder
-    lasts until the application's checkpoints are removed.
+    lasts until the application's checkpoints are removed, or until the `temporary` block around it ends.
     """
+    return _saved(df, len(_open) - 1)
+
+
+def _saved(df: DataFrame, depth: int) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    if depth:
+        _open[depth].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that are saved inside when it ends. What it yields saves a table that outlives it."""
+    depth = len(_open)
+    _open.append([])
+    try:
+        yield lambda df: _saved(df, depth - 1)
+    finally:
+        for path in _open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fits(rows: int, row_bytes: int) -> bool:
     """Whether counted rows are within the bound for a broadcast."""
     return rows * row_bytes <= BROADCAST_BYTES

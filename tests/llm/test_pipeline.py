@@ -1,9 +1,12 @@
+from pathlib import Path
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sparkdlp.llm import bpe, catalog, decontaminate, order_minhash
+from sparkdlp.llm import bpe, catalog, common, decontaminate, lang_id, order_minhash
 from tests.conftest import SF
 from tests.llm.conftest import prose
 
@@ -46,9 +49,33 @@ def test_stages_one_by_one(spark, tmp_path):
         before = after
 
 
-def test_run_equals_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids"]
-    assert corpus_pipeline.ORACLE_SQL is None
+def test_run_equals_the_stages(spark, monkeypatch):
+    passes, tables = [], lambda: set(Path(urlparse(spark.sparkContext.getCheckpointDir()).path).glob("table-*"))
+    common.shared_folder(spark)
+    real, before = lang_id.keep_known, tables()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(docs, **options):
+        passes.append(1)
+
+        def see(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return real(docs, **options).mapInArrow(see, docs.schema)
+
+    monkeypatch.setattr(lang_id, "keep_known", counted)
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and corpus_pipeline.ORACLE_SQL is None
+    monkeypatch.undo()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # One pass over the documents, and no table left but the result.
+    assert len(passes) == 1 and seen.value == real(docs).count()
+    assert len(tables() - before) == 1
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.saved(stage(spark, docs, SF))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_awkward_documents_pass_through(spark, awkward):
