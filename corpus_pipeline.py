@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import sparkdlp
 from sparkdlp.llm import bpe, decontaminate, lang_id, line_dedup, order_minhash
+from sparkdlp.llm.common import temporary
 
 cloudpickle.register_pickle_by_value(sparkdlp)  # workers get the functions with the plan
 
@@ -56,8 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table.
+
+    Every stage runs once: what it returns is saved, and the tables that it needed on the way are removed. At the
+    end only the last stage's table is left.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    with temporary(spark) as result:
+        for name, stage in STAGES:
+            with temporary(spark) as between:
+                keep = result if name == STAGES[-1][0] else between
+                docs = keep(stage(spark, docs, sf_dir))
     return docs
