@@ -8,15 +8,14 @@ holds a large share of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.types import VariantType
 
 from sparkdlp.config import GuardConfig
+from sparkdlp.functions import json_spans as js
 from sparkdlp.functions import sqltext as sql
 from sparkdlp.functions.text import settle
 from sparkdlp.operators import score as S
@@ -24,7 +23,7 @@ from sparkdlp.operators.audit import merge_summaries, preview_summary, summary_p
 from sparkdlp.operators.inject import scan_text
 
 BLOCK = 1024
-PARTS = ArrayType(StructType().add("text", StringType()).add("scan", BooleanType()))
+PARTS = "array<struct<text:string,scan:boolean,start:int,end:int>>"
 SCORED_ROLES = ("user", "system")
 
 
@@ -35,105 +34,87 @@ def message_explode(requests: DataFrame) -> DataFrame:
     )
 
 
-def _walk(node, scan: bool, out: list) -> None:
-    """Text of a content list: dict members' text first, then what they nest.
-
-    A dict nested in a part is searched for findings but is neither redacted nor
-    scored, so its text carries ``scan=False``.
-    """
-    if isinstance(node, list):
-        for part in node:
-            if not isinstance(part, dict):
-                continue
-            if isinstance(part.get("text"), str):
-                out.append({"text": part["text"], "scan": scan})
-            for value in part.values():
-                _walk(value, scan, out)
-    elif isinstance(node, dict) and isinstance(node.get("text"), str):
-        out.append({"text": node["text"], "scan": False})
-
-
-@F.pandas_udf(PARTS)
-def _list_parts(contents: pd.Series) -> pd.Series:
-    def parts(content):
-        out: list = []
-        _walk(json.loads(content), True, out)
-        return out
-
-    return contents.map(parts, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def _rebuilt(contents: pd.Series, texts: pd.Series) -> pd.Series:
-    def rebuild(content, replacements):
-        if content is None:
-            return None
-        queue = iter(replacements)
-
-        def fill(node):
-            for part in node:
-                if isinstance(part, dict):
-                    if isinstance(part.get("text"), str):
-                        part["text"] = next(queue)
-                    for value in part.values():
-                        if isinstance(value, list):
-                            fill(value)
+def _raw(messages: DataFrame) -> Column:
+    """The content as JSON text; a VARIANT gives its members in name order, since it keeps no other."""
+    content = F.col("content")
+    return F.to_json(content) if isinstance(messages.schema["content"].dataType, VariantType) else content
 
-        tree = json.loads(content)
-        fill(tree)
-        return json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
 
-    return pd.Series([rebuild(c, t) for c, t in zip(contents, texts)], dtype=object)
+def _begins(raw: Column, mark: str) -> Column:
+    return F.startswith(F.ltrim(raw, F.lit(" \t\r\n")), F.lit(mark))
 
 
-def rebuilt_list(listed: Column, texts: Column) -> Column:
-    """A JSON list with its scanned texts replaced, in order; null lists stay null."""
-    return _rebuilt(listed, F.coalesce(texts, F.array().cast("array<string>")))
+def text_parts(raw: Column) -> Column:
+    """The text parts of a JSON content: text, scan, and the bytes of the string they stand in.
 
+    A list's parts come as a reader takes them: a part's own text first, then what its members nest, in input
+    order. Lists nest to any depth. A dict that a part holds is searched for findings but is neither redacted nor
+    scored, so its text carries ``scan=False``; what such a dict holds is not read.
+    """
+    place = lambda s: F.struct(s["places"], s["start"], s["end"], F.endswith(s["within"], F.lit("{{")).alias("dict"))
+
+    def listed(found: Column) -> Column:
+        texts = F.filter(
+            found,
+            lambda s: (s["kind"] == "string")
+            & (F.try_element_at(s["path"], F.lit(-1)) == "text")
+            & s["within"].rlike(r"^(\[\{)+\{?$"),
+        )
+        return F.transform(
+            F.array_sort(F.transform(texts, place)),
+            lambda p: F.struct(
+                js.text_of(js.cut(raw, p["start"], p["end"])).alias("text"), (~p["dict"]).alias("scan"),
+                p["start"].alias("start"), p["end"].alias("end"),
+            ),
+        )
 
-def _is_kind(content: Column, kind: str) -> Column:
-    return F.schema_of_variant(content).startswith(kind)
+    before = F.octet_length(raw) - F.octet_length(F.ltrim(raw, F.lit(" \t\r\n")))
+    single = F.struct(
+        js.text_of(F.trim(raw, F.lit(" \t\r\n"))).alias("text"), F.lit(True).alias("scan"),
+        before.alias("start"), F.octet_length(F.rtrim(raw, F.lit(" \t\r\n"))).alias("end"),
+    )
+    in_list = js.spans(F.when(_begins(raw, "["), raw))
+    return F.when(_begins(raw, '"'), F.array(single).cast(PARTS)).otherwise(listed(in_list).cast(PARTS))
 
 
-def content_parts(messages: DataFrame) -> DataFrame:
-    """One row per text part of every message; ``content`` is a VARIANT.
+def content_parts(messages: DataFrame, places: bool = False) -> DataFrame:
+    """One row per text part of every message; ``content`` is JSON text, or a VARIANT.
 
-    String contents stay inside the JVM; only list contents visit a Python worker.
+    With ``places`` also the start and end of the part's string in the content, in bytes.
     """
-    content = F.col("content")
-    as_text = F.when(_is_kind(content, "STRING"), content.cast("string"))
-    as_list = F.when(_is_kind(content, "ARRAY"), F.to_json(content))
-    listed = messages.withColumn("_listed", _list_parts(as_list))
-    single = F.array(F.struct(as_text.alias("text"), F.lit(True).alias("scan")))
-    parts = F.coalesce(F.when(as_text.isNotNull(), single), F.col("_listed"))
     keep = [c for c in messages.columns if c not in ("content", "name")]
-    return listed.select(*keep, F.posexplode(parts).alias("part_ix", "p")).select(
-        *keep, "part_ix", "p.text", "p.scan"
-    )
+    raw = settle(messages.select(*keep, _raw(messages).alias("_raw")), "_raw")
+    parts = raw.select(*keep, F.posexplode(text_parts(F.col("_raw"))).alias("part_ix", "p"))
+    return parts.select(*keep, "part_ix", "p.text", "p.scan", *(["p.start", "p.end"] if places else []))
+
+
+def with_texts(raw: Column, texts: Column) -> Column:
+    """A JSON content with some of its strings replaced in place; ``texts`` (start, end, text) in any order."""
+    edits = F.transform(F.array_sort(texts), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), js.literal_of(t["text"]).alias("new")))
+    return js.splice(raw, edits)
 
 
 def sanitize_contents(messages: DataFrame, sanitizer: Callable[[Column], Column]) -> DataFrame:
     """Messages with ``kind`` (text, parts, none) and sanitized ``content`` text.
 
-    Contents of kind ``parts`` are JSON lists in which every scanned text went
-    through ``sanitizer``; dicts nested in a part are left as they are.
+    Contents of kind ``parts`` are the JSON lists as they came, in which every scanned text went through
+    ``sanitizer``; dicts nested in a part are left as they are.
     """
-    content = F.col("content")
-    as_text = F.when(_is_kind(content, "STRING"), content.cast("string"))
-    as_list = F.when(_is_kind(content, "ARRAY"), F.to_json(content))
-    listed = messages.withColumn("_list", as_list).withColumn("_parts", _list_parts("_list"))
-    texts = F.transform(
-        F.filter(F.coalesce("_parts", F.array().cast(PARTS)), lambda p: p["scan"]),
-        lambda p: sanitizer(p["text"]),
+    others = [c for c in messages.columns if c != "content"]
+    raw = settle(messages.select(*others, _raw(messages).alias("_raw")), "_raw")
+    found = settle(raw.withColumn("_parts", text_parts(F.col("_raw"))), "_parts")
+    is_text, is_list = _begins(F.col("_raw"), '"'), _begins(F.col("_raw"), "[")
+    edits = F.transform(
+        F.filter("_parts", lambda p: p["scan"]),
+        lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), sanitizer(p["text"]).alias("text")),
+    )
+    edited = settle(found.withColumn("_edits", edits), "_edits")
+    kind = F.when(is_text, "text").when(is_list & F.col("_parts").isNotNull(), "parts").otherwise("none")
+    return edited.select(
+        *others,
+        kind.alias("kind"),
+        F.when(is_text, F.get("_edits", F.lit(0))["text"]).when(is_list, with_texts(F.col("_raw"), F.col("_edits"))).alias("content"),
     )
-    rebuilt = listed.withColumn("_texts", texts).withColumn("_new", _rebuilt("_list", "_texts"))
-    kind = F.when(as_text.isNotNull(), "text").when(F.col("_list").isNotNull(), "parts")
-    return rebuilt.withColumns(
-        {
-            "kind": kind.otherwise("none"),
-            "content": F.coalesce(sanitizer(as_text), F.col("_new")),
-        }
-    ).drop("_list", "_parts", "_texts", "_new")
 
 
 def parts_of_turns(turns: DataFrame, request: str = "conv_id", order: str = "turn") -> DataFrame:

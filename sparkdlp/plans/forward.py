@@ -1,8 +1,8 @@
 """From raw request bodies to the bodies that go upstream.
 
-Messages and their parts are exploded and scanned like any text; what comes back is
-put in its place in the parsed body, so members that nobody here knows stay as they
-came.  A body is one row, so its texts are gathered by request once.
+Messages and their parts are cut out of the body's text, exploded and scanned like any
+text; what comes back is put in its place, so members that nobody here knows stay as
+they came, in their order.  A body is one row, so its texts are gathered by request once.
 """
 
 from __future__ import annotations
@@ -11,91 +11,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdlp.config import GuardConfig
+from sparkdlp.functions import json_spans as js
+from sparkdlp.functions.text import settle
 from sparkdlp.operators.canary import instruction, merge_instruction, token
-from sparkdlp.operators.output import with_member
-from sparkdlp.operators.requests import content_parts, rebuilt_list, scan_parts
+from sparkdlp.operators.requests import content_parts, scan_parts, with_texts
 from sparkdlp.operators.rewrite import DEFAULT_MAX_TOKENS
 from sparkdlp.sources.request_log import parse_requests
 
-_MEMBERS = "map<string,variant>"
+_LISTED = "array<struct<name:string,raw:string>>"
 
 
-def _present(members: Column) -> Column:
+def _present(listed: Column) -> Column:
     """Without the members that are null."""
-    return F.map_filter(members, lambda _, v: F.schema_of_variant(v) != "VOID")
+    return F.filter(listed, lambda m: m["raw"] != "null")
 
 
-def sanitized_messages(parsed: DataFrame, cfg: GuardConfig = GuardConfig()) -> DataFrame:
-    """(request_id, messages): structs of role, kind, content and the members as they came."""
-    listed = F.try_variant_get("raw", "$.messages", "array<variant>")
-    rows = parsed.select("request_id", F.posexplode(listed).alias("msg_ix", "m")).select(
-        "request_id", "msg_ix",
-        F.try_variant_get("m", "$.role", "string").alias("role"),
-        F.try_variant_get("m", "$.content", "variant").alias("content"),
-        F.col("m").cast(_MEMBERS).alias("members"),
+def _at(listed: Column, name: str) -> Column:
+    return F.get(F.filter(listed, lambda m: m["name"] == name), F.lit(0))["raw"]
+
+
+def sanitized_messages(parsed: DataFrame, cfg: GuardConfig = GuardConfig(), body: str = "value") -> DataFrame:
+    """(request_id, messages): structs of role, kind, content and the members as they came, in their order."""
+    found = settle(parsed.select("request_id", F.col(body).alias("_body")).withColumn("_s", js.spans(F.col("_body"))), "_body", "_s")
+    rows = found.select("request_id", F.posexplode(js.elements(F.col("_body"), F.col("_s"), "messages")).alias("msg_ix", "_m"))
+    spanned = settle(rows.withColumn("_members", js.members(F.col("_m"), js.spans(F.col("_m")))), "_members")
+    rows = spanned.select(
+        "request_id", "msg_ix", js.text_of(_at(F.col("_members"), "role")).alias("role"),
+        _at(F.col("_members"), "content").alias("content"), F.col("_members").alias("members"),
     )
-    scanned = scan_parts(content_parts(rows.drop("members")), cfg).where("scan")
+    scanned = scan_parts(content_parts(rows.drop("members"), places=True), cfg).where("scan")
     texts = scanned.groupBy("request_id", "msg_ix").agg(
-        F.array_sort(F.collect_list(F.struct("part_ix", "forwarded"))).alias("_texts")
+        F.collect_list(F.struct("start", "end", F.col("forwarded").alias("text"))).alias("_texts")
+    )
+    joined = rows.join(texts, ["request_id", "msg_ix"], "left")
+    is_list, is_text = F.startswith("content", F.lit("[")), F.startswith("content", F.lit('"'))
+    nothing = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    content = F.when(is_text, F.get("_texts", F.lit(0))["text"]).when(
+        is_list, with_texts(F.col("content"), F.coalesce("_texts", nothing))
     )
-    joined = rows.join(texts, ["request_id", "msg_ix"], "left").withColumn("_texts", F.col("_texts")["forwarded"])
-    is_list = F.schema_of_variant("content").startswith("ARRAY")
-    joined = joined.withColumn("_list", rebuilt_list(F.when(is_list, F.to_json("content")), F.col("_texts")))
-    is_text = F.schema_of_variant("content") == "STRING"
     message = F.struct(
         "msg_ix",
         "role",
         F.when(is_text, "text").when(is_list, "parts").otherwise("none").alias("kind"),
-        F.when(is_text, F.get("_texts", F.lit(0))).otherwise(F.col("_list")).alias("content"),
+        content.alias("content"),
         _present(F.col("members")).alias("members"),
     )
-    return joined.groupBy("request_id").agg(F.array_sort(F.collect_list(message), _by_place).alias("messages"))
-
-
-def _by_place(a: Column, b: Column) -> Column:
-    return (a["msg_ix"] - b["msg_ix"]).cast("int")
+    return joined.groupBy("request_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
 
 
 def _content(m: Column) -> Column:
-    return F.when(m["kind"] == "parts", F.try_parse_json(m["content"])).when(
-        m["content"].isNotNull(), m["content"].cast("variant")
-    )
+    """A message's content as JSON text."""
+    return F.when(m["kind"] == "parts", m["content"]).when(m["content"].isNotNull(), js.literal_of(m["content"]))
 
 
 def _with_canary(messages: Column, request_id: Column, cfg: GuardConfig) -> tuple[Column, Column]:
     """The messages with the instruction, and their members in the same places."""
     plain = F.transform(messages, lambda m: F.struct(m["role"], m["kind"], m["content"]))
     merged = merge_instruction(plain, instruction(token(request_id, cfg.canary_secret))) if cfg.canary else plain
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
     members = F.transform(messages, lambda m: m["members"])
-    return merged, F.when(F.size(merged) > F.size(members), F.concat(F.array(none), members)).otherwise(members)
+    none = F.array(F.array().cast(_LISTED))
+    return merged, F.when(F.size(merged) > F.size(members), F.concat(none, members)).otherwise(members)
 
 
-def _chat_message(m: Column, members: Column) -> Column:
+def _chat_message(m: Column, listed: Column) -> Column:
+    named = js.with_raw(listed, "role", js.literal_of(m["role"]))
     content = _content(m)
-    named = with_member(members, "role", m["role"].cast("variant"))
-    return F.to_variant_object(F.when(content.isNull(), named).otherwise(with_member(named, "content", content)))
+    return js.object_of(F.when(content.isNull(), named).otherwise(js.with_raw(named, "content", content)))
+
+
+def _list(raws: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(raws, ","), F.lit("]"))
 
 
 def forwarded_bodies(lines: DataFrame, cfg: GuardConfig = GuardConfig(), body: str = "value") -> DataFrame:
     """(request_id, forwarded): the JSON that goes upstream for every valid body.
 
-    ``lines`` hold request_id and the body's text.  Whether a request goes upstream
-    at all is up to ``guard.outcomes``.  A request without messages keeps an empty
-    list, or the canary's own message.
+    ``lines`` hold request_id and the body's text. What nobody here changes goes on byte for byte: members and
+    parts keep their order. Whether a request goes upstream at all is up to ``guard.outcomes``.  A request without
+    messages keeps an empty list, or the canary's own message.
     """
     parsed = parse_requests(lines, body).where("valid")
-    nothing = F.array().cast("array<struct<msg_ix:int,role:string,kind:string,content:string,members:map<string,variant>>>")
-    joined = parsed.drop("messages").join(sanitized_messages(parsed, cfg), "request_id", "left")
+    nothing = F.array().cast(f"array<struct<msg_ix:int,role:string,kind:string,content:string,members:{_LISTED}>>")
+    joined = parsed.drop("messages").join(sanitized_messages(parsed, cfg, body), "request_id", "left")
     joined = joined.withColumn("messages", F.coalesce("messages", nothing))
-    merged, members = _with_canary(F.col("messages"), F.col("request_id"), cfg)
-    joined = joined.withColumns({"_m": merged, "_b": members})
+    merged, listed = _with_canary(F.col("messages"), F.col("request_id"), cfg)
+    joined = settle(joined.withColumns({"_m": merged, "_b": listed}), "_m", "_b")
     if cfg.provider == "anthropic":
         out = _messages_body(joined)
     else:
-        sent = F.zip_with("_m", "_b", _chat_message)
-        known = with_member(_present(F.col("raw").cast(_MEMBERS)), "messages", F.to_variant_object(sent))
-        out = F.to_json(with_member(known, "stream", F.col("stream").cast("variant")))
+        own = js.members(F.col(body), js.spans(F.col(body)))
+        known = js.with_raw(_present(own), "messages", _list(F.zip_with("_m", "_b", _chat_message)))
+        out = js.object_of(js.with_raw(known, "stream", F.col("stream").cast("string")))
     return joined.select("request_id", out.alias("forwarded"))
 
 
@@ -104,17 +110,17 @@ def _messages_body(joined: DataFrame) -> Column:
     system = F.array_join(F.filter(F.transform(systems, lambda m: m["content"]), lambda t: t != ""), "\n\n")
     turns = F.transform(
         F.filter("_m", lambda m: m["role"] != "system"),
-        lambda m: F.struct(
-            F.when(m["role"] == "assistant", "assistant").otherwise("user").alias("role"),
-            F.coalesce(_content(m), F.lit("").cast("variant")).alias("content"),
+        lambda m: F.concat(
+            F.when(m["role"] == "assistant", '{"role":"assistant","content":').otherwise('{"role":"user","content":'),
+            F.coalesce(_content(m), F.lit('""')),
+            F.lit("}"),
         ),
     )
     one = F.try_variant_get("stop", "$", "string")
     stops = F.coalesce(F.try_variant_get("stop", "$", "array<string>"), F.when(one.isNotNull(), F.array(one)))
-    return F.to_json(
+    rest = F.to_json(
         F.struct(
             "model",
-            turns.alias("messages"),
             F.coalesce(F.nullif("max_tokens", F.lit(0)), F.lit(DEFAULT_MAX_TOKENS)).alias("max_tokens"),
             "stream",
             F.when(F.size(systems) > 0, system).alias("system"),
@@ -123,3 +129,4 @@ def _messages_body(joined: DataFrame) -> Column:
             stops.alias("stop_sequences"),
         )
     )
+    return F.concat(F.lit('{"messages":'), _list(turns), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))

@@ -42,18 +42,33 @@ def _json_lines(lines: DataFrame, schema: str) -> DataFrame:
     return payload.where(known).withColumn("_json", F.from_json("_data", schema))
 
 
-def chat_chunks(lines: DataFrame) -> DataFrame:
-    parsed = _json_lines(lines, CHAT_CHUNK)
+def _chat(parsed: DataFrame) -> tuple[Column, Column, Column]:
     first = F.get(F.col("_json.choices"), F.lit(0))
-    done = F.col("_data") == "[DONE]"
-    return _chunks(parsed, first["delta"]["content"], done, first["finish_reason"])
+    return first["delta"]["content"], F.col("_data") == "[DONE]", first["finish_reason"]
 
 
-def messages_chunks(lines: DataFrame) -> DataFrame:
-    parsed = _json_lines(lines, MESSAGES_CHUNK).where(F.col("_data") != "[DONE]")
+def _messages(parsed: DataFrame) -> tuple[Column, Column, Column]:
     kind, delta = F.col("_json.type"), F.col("_json.delta")
     text = F.when(
         (kind == "content_block_delta") & (delta["type"] == "text_delta"), delta["text"]
     )
     done = F.coalesce(kind == "message_stop", F.lit(False))
-    return _chunks(parsed, text, done, F.when(kind == "message_delta", delta["stop_reason"]))
+    return text, done, F.when(kind == "message_delta", delta["stop_reason"])
+
+
+def chat_chunks(lines: DataFrame) -> DataFrame:
+    parsed = _json_lines(lines, CHAT_CHUNK)
+    return _chunks(parsed, *_chat(parsed))
+
+
+def messages_chunks(lines: DataFrame) -> DataFrame:
+    parsed = _json_lines(lines, MESSAGES_CHUNK).where(F.col("_data") != "[DONE]")
+    return _chunks(parsed, *_messages(parsed))
+
+
+def parse_chunks(lines: DataFrame) -> DataFrame:
+    """(…, provider, line) of either dialect to one shape, in one pass over the log."""
+    is_messages = F.coalesce(F.col("provider") == "anthropic", F.lit(False))
+    parsed = _json_lines(lines, f"{CHAT_CHUNK}, {MESSAGES_CHUNK}").where(~is_messages | (F.col("_data") != "[DONE]"))
+    both = (F.when(is_messages, m).otherwise(c) for m, c in zip(_messages(parsed), _chat(parsed)))
+    return _chunks(parsed, *both)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdlp.functions import json_spans as js
+from sparkdlp.functions.text import let, settle
+
 BODY = (
     "model string, messages array<struct<role:string,content:variant,name:variant>>, "
     "stop variant"
@@ -50,11 +53,26 @@ def _truth(raw: Column, path: str) -> Column:
     )
 
 
+def raw_contents(body: Column) -> Column:
+    """The contents of a body's messages as they came, by the message's place as text; null for no JSON text."""
+    found = js.spans(body)
+    own = F.filter(
+        found,
+        lambda s: (F.size(s["path"]) == 3) & (F.get(s["path"], F.lit(0)) == "messages") & (F.get(s["path"], F.lit(2)) == "content"),
+    )
+    return F.map_from_entries(F.transform(own, lambda s: F.struct(F.get(s["path"], F.lit(1)), js.cut(body, s["start"], s["end"]))))
+
+
 def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
-    """Typed fields next to ``raw`` (unknown fields stay there) and ``valid``."""
+    """Typed fields next to ``raw`` (unknown fields stay there) and ``valid``.
+
+    A message's ``content`` is JSON text cut out of the body, so lists keep the order of their members.
+    """
     parsed = lines.withColumn("raw", F.try_parse_json(body)).withColumn(
         "_b", F.from_json(body, BODY)
     )
+    # A member that is named twice leaves no VARIANT, and no contents either.
+    parsed = settle(parsed.withColumn("_c", raw_contents(F.when(F.col("raw").isNotNull(), F.col(body)))), "_c")
     raw = F.col("raw")
     messages = F.col("_b.messages")
     listed = F.try_variant_get(raw, "$.stop", "array<variant>")
@@ -65,6 +83,7 @@ def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
     )
     valid = (
         raw.isNotNull()
+        & F.col("_c").isNotNull()
         & _is_kind(F.try_variant_get(raw, "$.model", "variant"), "STRING")
         & _is_kind(F.try_variant_get(raw, "$.messages", "variant"), "ARRAY")
         & F.coalesce(F.forall(messages, lambda m: F.coalesce(is_message(m), F.lit(False))), F.lit(False))
@@ -79,10 +98,14 @@ def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
         *lines.columns,
         "raw",
         F.col("_b.model").alias("model"),
-        F.transform(
+        let(F.col("_c"), lambda contents: F.transform(
             messages,
-            lambda m: F.struct(m["role"], m["content"], F.try_variant_get(m["name"], "$", "string").alias("name")),
-        ).alias("messages"),
+            lambda m, i: F.struct(
+                m["role"],
+                F.try_element_at(contents, i.cast("string")).alias("content"),
+                F.try_variant_get(m["name"], "$", "string").alias("name"),
+            ),
+        )).alias("messages"),
         F.coalesce(F.lower(_text_of(raw, "stream")).isin("true", "t", "yes", "y", "on", "1"), F.lit(False)).alias("stream"),
         F.try_variant_get(raw, "$.temperature", "double").alias("temperature"),
         F.try_variant_get(raw, "$.top_p", "double").alias("top_p"),
