@@ -20,6 +20,82 @@ SPAN = "struct<path:array<string>,places:array<int>,within:string,kind:string,st
 #: One token with what stands before it: a string, with its colon where it names a member; a bracket; a scalar.
 #: All repetitions are possessive, so that long strings need no stack.
 _TOKEN = r'(?s)[ \t\r\n,]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?|[{}\[\]]|[^ \t\r\n,:{}\[\]"]++)'
+_BLANKS = r"' \t\r\n'"
+
+# The fold is SQL text, which is parsed once where calls would be made one by one. ``s`` is the state: bytes read,
+# kinds of the open containers, the path to the innermost one, where each starts and how many values it has had,
+# the last member's name, and the spans so far. ``t`` is a token.
+
+#: The token without what stands before it.
+_BARE = r"""named_struct('t', t, 'bare', TRIM(LEADING ' \t\r\n,' FROM t))"""
+#: What a token is: q key, s string, o opening, c closing, v scalar.
+_KIND = r"""named_struct('t', x.t, 'bare', x.bare, 'first', left(x.bare, 1), 'kind',
+  CASE left(x.bare, 1) WHEN '"' THEN if(endswith(x.bare, ':'), 'q', 's') WHEN '{' THEN 'o' WHEN '[' THEN 'o' WHEN '}' THEN 'c' WHEN ']' THEN 'c' ELSE 'v' END,
+  'start', CAST(s.pos + octet_length(x.t) - octet_length(x.bare) AS INT), 'end', CAST(s.pos + octet_length(x.t) AS INT))"""
+_HAD = "coalesce(try_element_at(s.nexts, -1), 0)"
+_IN_OBJECT = "endswith(s.within, '{')"
+_PATH = f"if(s.within = '', s.path, concat(s.path, array(if({_IN_OBJECT}, s.key, CAST({_HAD} AS STRING)))))"
+#: Among a part's members its own text comes first, the others follow in input order.
+_PLACES = f"""if(s.within = '', s.places, concat(s.places, array(
+  CASE WHEN NOT {_IN_OBJECT} THEN {_HAD} WHEN s.key = 'text' AND k.kind = 's' THEN 0 ELSE {_HAD} + 1 END)))"""
+_POP = "slice({0}, 1, greatest(size({0}) - 1, 0))"
+_COUNTED = f"if(s.within = '', s.nexts, concat({_POP.format('s.nexts')}, array({_HAD} + 1)))"
+
+
+def _state(pos: str, within: str, path: str, places: str, starts: str, nexts: str, key: str, last: str) -> str:
+    return (
+        f"named_struct('pos', {pos}, 'within', {within}, 'path', {path}, 'places', {places}, "
+        f"'starts', {starts}, 'nexts', {nexts}, 'key', {key}, {last})"
+    )
+
+
+def _span(path: str, places: str, within: str, kind: str, start: str) -> str:
+    return f"named_struct('path', {path}, 'places', {places}, 'within', {within}, 'kind', {kind}, 'start', {start}, 'end', k.end)"
+
+
+_OUTER = "left(s.within, length(s.within) - 1)"
+_NAME = f"TRIM(TRAILING {_BLANKS} FROM left(k.bare, length(k.bare) - 1))"
+_TEXT = r"if(contains({0}, '\\'), try_variant_get(try_parse_json({0}), '$', 'string'), substring({0}, 2, length({0}) - 2))"
+_OPENED = _state("k.end", "concat(s.within, k.first)", _PATH, _PLACES, "concat(s.starts, array(k.start))", f"concat({_COUNTED}, array(0))", "s.key", "'out', s.out")
+_CLOSED = _state(
+    "k.end", _OUTER, _POP.format("s.path"), _POP.format("s.places"), _POP.format("s.starts"), _POP.format("s.nexts"), "s.key",
+    "'out', concat(s.out, array(" + _span("s.path", "s.places", _OUTER, "if(k.first = '}', 'object', 'array')", "coalesce(try_element_at(s.starts, -1), 0)") + "))",
+)
+_NAMED = _state("k.end", "s.within", "s.path", "s.places", "s.starts", "s.nexts", f"coalesce({_TEXT.format(_NAME)}, '')", "'out', s.out")
+_VALUE = _state(
+    "k.end", "s.within", "s.path", "s.places", "s.starts", _COUNTED, "s.key",
+    "'out', concat(s.out, array(" + _span(_PATH, _PLACES, "s.within", "if(k.kind = 's', 'string', 'scalar')", "k.start") + "))",
+)
+_STEP = f"""get(transform(transform(array({_BARE}), x -> {_KIND}), k ->
+  CASE k.kind WHEN 'o' THEN {_OPENED} WHEN 'c' THEN {_CLOSED} WHEN 'q' THEN {_NAMED} ELSE {_VALUE} END), 0)"""
+
+_KEPT = ("pos", "within", "path", "places", "starts", "nexts", "key")
+
+
+def _carried(state: str, last: str) -> str:
+    return _state(*(f"{state}.{c}" for c in _KEPT), last)
+
+
+_INTS, _TEXTS = "CAST(array() AS ARRAY<INT>)", "CAST(array() AS ARRAY<STRING>)"
+_ZERO = _state("0", "''", _TEXTS, _INTS, _INTS, _INTS, "''", f"'blocks', CAST(array() AS ARRAY<ARRAY<{SPAN}>>)")
+_ENTRY = _carried("a", f"'out', CAST(array() AS ARRAY<{SPAN}>)")
+_BLOCK = f"""get(transform(array(aggregate(slice(ts, b * {BLOCK} + 1, {BLOCK}), {_ENTRY}, (s, t) -> {_STEP})),
+  d -> {_carried("d", "'blocks', concat(a.blocks, array(d.out))")}), 0)"""
+# What the pattern skips would shift all places, so the tokens must cover the text.
+_SPANS = f"""get(transform(array({{0}}), body -> get(transform(array(regexp_extract_all(body, r'{_TOKEN}', 0)), ts ->
+  if(size(ts) > 0, aggregate(sequence(0, CAST(floor((size(ts) - 1) / {BLOCK}) AS INT)), {_ZERO}, (a, b) -> {_BLOCK},
+    a -> if(a.pos = octet_length(TRIM(TRAILING {_BLANKS} FROM body)), flatten(a.blocks), NULL)), NULL)), 0)), 0)"""
+
+
+def spans(body: str) -> Column:
+    """All values of a JSON text in the order in which they end: path, places, within, kind, start, end.
+
+    ``body`` is a column's name or an SQL expression. ``path`` holds member names and list places as texts.
+    ``within`` holds an opening bracket for each container around the value. ``places`` orders values as a reader
+    of parts wants them, a part's text first. A null body, and one that is not made of JSON tokens alone, has no
+    spans (null); the grammar is not checked.
+    """
+    return F.expr(_SPANS.replace("{0}", body, 1))
 
 
 def text_of(literal: Column) -> Column:
@@ -41,118 +117,6 @@ def cut(body: Column, start: Column, end: Column | None = None) -> Column:
     return F.substring(body.cast("binary"), start + 1, size - start).cast("string")
 
 
-def _last(items: Column, default) -> Column:
-    return F.coalesce(F.try_element_at(items, F.lit(-1)), F.lit(default))
-
-
-def _without_last(items: Column) -> Column:
-    return F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
-
-
-def _step(state: Column, token: Column) -> Column:
-    """The state after one token; ``state.out`` holds the spans of the block so far."""
-
-    def look(t: Column) -> Column:
-        # The token without what stands before it, and where it starts.
-        bare = F.ltrim(t, F.lit(" \t\r\n,"))
-        start = state["pos"] + F.octet_length(t) - F.octet_length(bare)
-        first = F.substring(bare, 1, 1)
-        kind = (
-            F.when((first == '"') & F.endswith(bare, F.lit(":")), "key")
-            .when(first == '"', "string")
-            .when(first.isin("{", "["), "open")
-            .when(first.isin("}", "]"), "close")
-            .otherwise("scalar")
-        )
-        in_object = F.endswith(state["within"], F.lit("{"))
-        at = _last(state["nexts"], 0)
-        return F.struct(
-            bare.alias("bare"),
-            first.alias("first"),
-            kind.alias("kind"),
-            start.cast("int").alias("start"),
-            (state["pos"] + F.octet_length(t)).cast("int").alias("end"),
-            F.when(in_object, state["key"]).otherwise(at.cast("string")).alias("name"),
-            # Among a part's members its own text comes first, the others follow in input order.
-            F.when(~in_object, at).when((state["key"] == "text") & (kind == "string"), 0).otherwise(at + 1).alias("place"),
-        )
-
-    def next_state(t: Column) -> Column:
-        opens, closes, names = t["kind"] == "open", t["kind"] == "close", t["kind"] == "key"
-        inner, is_root = state["path"], state["within"] == ""
-        path = F.when(is_root, inner).otherwise(F.concat(inner, F.array(t["name"])))
-        places = F.when(is_root, state["places"]).otherwise(F.concat(state["places"], F.array(t["place"])))
-        own = F.struct(
-            path.alias("path"), places.alias("places"), state["within"].alias("within"), t["kind"].alias("kind"),
-            t["start"].alias("start"), t["end"].alias("end"),
-        )
-        whole = F.struct(
-            inner.alias("path"),
-            state["places"].alias("places"),
-            F.substring(state["within"], F.lit(1), F.length(state["within"]) - 1).alias("within"),
-            F.when(t["first"] == "}", "object").otherwise("array").alias("kind"),
-            _last(state["starts"], 0).alias("start"),
-            t["end"].alias("end"),
-        )
-        counted = F.when(is_root, state["nexts"]).otherwise(F.concat(_without_last(state["nexts"]), F.array(_last(state["nexts"], 0) + 1)))
-        name = F.rtrim(F.substring(t["bare"], F.lit(1), F.length(t["bare"]) - 1), F.lit(" \t\r\n"))
-        return F.struct(
-            t["end"].alias("pos"),
-            F.when(opens, F.concat(state["within"], t["first"])).when(closes, whole["within"]).otherwise(state["within"]).alias("within"),
-            F.when(opens, path).when(closes, _without_last(inner)).otherwise(inner).alias("path"),
-            F.when(opens, places).when(closes, _without_last(state["places"])).otherwise(state["places"]).alias("places"),
-            F.when(opens, F.concat(state["starts"], F.array(t["start"])))
-            .when(closes, _without_last(state["starts"]))
-            .otherwise(state["starts"])
-            .alias("starts"),
-            F.when(opens, F.concat(counted, F.array(F.lit(0))))
-            .when(closes, _without_last(state["nexts"]))
-            .when(names, state["nexts"])
-            .otherwise(counted)
-            .alias("nexts"),
-            F.when(names, F.coalesce(text_of(name), F.lit(""))).otherwise(state["key"]).alias("key"),
-            F.when(closes, F.concat(state["out"], F.array(whole)))
-            .when(opens | names, state["out"])
-            .otherwise(F.concat(state["out"], F.array(own)))
-            .alias("out"),
-        )
-
-    return let(look(token), next_state)
-
-
-_KEPT = ("pos", "within", "path", "places", "starts", "nexts", "key")
-
-
-def spans(body: Column) -> Column:
-    """All values of a JSON text in the order in which they end: path, places, within, kind, start, end.
-
-    ``path`` holds member names and list places as texts. ``within`` holds an opening bracket for each container
-    around the value. ``places`` orders values as a reader of parts wants them, a part's text first. A null body,
-    and one that is not made of JSON tokens alone, has no spans (null); the grammar is not checked.
-    """
-
-    def fold(tokens: Column) -> Column:
-        ints, texts = F.array().cast("array<int>"), F.array().cast("array<string>")
-        none = F.array().cast(f"array<{SPAN}>")
-        zero = F.struct(
-            F.lit(0).alias("pos"), F.lit("").alias("within"), texts.alias("path"), ints.alias("places"), ints.alias("starts"),
-            ints.alias("nexts"), F.lit("").alias("key"), F.array().cast(f"array<array<{SPAN}>>").alias("blocks"),
-        )
-
-        def block(state: Column, at: Column) -> Column:
-            entry = F.struct(*(state[c].alias(c) for c in _KEPT), none.alias("out"))
-            done = F.aggregate(F.slice(tokens, at * BLOCK + 1, F.lit(BLOCK)), entry, _step)
-            return let(done, lambda d: F.struct(*(d[c].alias(c) for c in _KEPT), F.concat(state["blocks"], F.array(d["out"])).alias("blocks")))
-
-        last = F.floor((F.size(tokens) - 1) / BLOCK).cast("int")
-        end = F.aggregate(F.sequence(F.lit(0), last), zero, block, lambda s: F.struct(s["pos"].alias("pos"), F.flatten(s["blocks"]).alias("spans")))
-        # What the pattern skipped would shift all places.
-        covered = F.octet_length(F.rtrim(body, F.lit(" \t\r\n")))
-        return F.when(F.size(tokens) > 0, let(end, lambda e: F.when(e["pos"] == covered, e["spans"])))
-
-    return let(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), fold)
-
-
 def splice(body: Column, edits: Column) -> Column:
     """The text with byte ranges replaced; ``edits`` (start, end, new) ascend and do not overlap."""
 

@@ -44,13 +44,14 @@ def _begins(raw: Column, mark: str) -> Column:
     return F.startswith(F.ltrim(raw, F.lit(" \t\r\n")), F.lit(mark))
 
 
-def text_parts(raw: Column) -> Column:
-    """The text parts of a JSON content: text, scan, and the bytes of the string they stand in.
+def text_parts(name: str) -> Column:
+    """The text parts of a column of JSON contents: text, scan, and the bytes of the string they stand in.
 
     A list's parts come as a reader takes them: a part's own text first, then what its members nest, in input
     order. Lists nest to any depth. A dict that a part holds is searched for findings but is neither redacted nor
     scored, so its text carries ``scan=False``; what such a dict holds is not read.
     """
+    raw = F.col(name)
     place = lambda s: F.struct(s["places"], s["start"], s["end"], F.endswith(s["within"], F.lit("{{")).alias("dict"))
 
     def listed(found: Column) -> Column:
@@ -73,7 +74,7 @@ def text_parts(raw: Column) -> Column:
         js.text_of(F.trim(raw, F.lit(" \t\r\n"))).alias("text"), F.lit(True).alias("scan"),
         before.alias("start"), F.octet_length(F.rtrim(raw, F.lit(" \t\r\n"))).alias("end"),
     )
-    in_list = js.spans(F.when(_begins(raw, "["), raw))
+    in_list = js.spans(rf"if(TRIM(LEADING ' \t\r\n' FROM {name}) LIKE '[%', {name}, NULL)")
     return F.when(_begins(raw, '"'), F.array(single).cast(PARTS)).otherwise(listed(in_list).cast(PARTS))
 
 
@@ -84,7 +85,7 @@ def content_parts(messages: DataFrame, places: bool = False) -> DataFrame:
     """
     keep = [c for c in messages.columns if c not in ("content", "name")]
     raw = settle(messages.select(*keep, _raw(messages).alias("_raw")), "_raw")
-    parts = raw.select(*keep, F.posexplode(text_parts(F.col("_raw"))).alias("part_ix", "p"))
+    parts = raw.select(*keep, F.posexplode(text_parts("_raw")).alias("part_ix", "p"))
     return parts.select(*keep, "part_ix", "p.text", "p.scan", *(["p.start", "p.end"] if places else []))
 
 
@@ -102,7 +103,7 @@ def sanitize_contents(messages: DataFrame, sanitizer: Callable[[Column], Column]
     """
     others = [c for c in messages.columns if c != "content"]
     raw = settle(messages.select(*others, _raw(messages).alias("_raw")), "_raw")
-    found = settle(raw.withColumn("_parts", text_parts(F.col("_raw"))), "_parts")
+    found = settle(raw.withColumn("_parts", text_parts("_raw")), "_parts")
     is_text, is_list = _begins(F.col("_raw"), '"'), _begins(F.col("_raw"), "[")
     edits = F.transform(
         F.filter("_parts", lambda p: p["scan"]),

@@ -31,10 +31,12 @@ def _at(listed: Column, name: str) -> Column:
 
 
 def sanitized_messages(parsed: DataFrame, cfg: GuardConfig = GuardConfig(), body: str = "value") -> DataFrame:
-    """(request_id, messages): structs of role, kind, content and the members as they came, in their order."""
-    found = settle(parsed.select("request_id", F.col(body).alias("_body")).withColumn("_s", js.spans(F.col("_body"))), "_body", "_s")
-    rows = found.select("request_id", F.posexplode(js.elements(F.col("_body"), F.col("_s"), "messages")).alias("msg_ix", "_m"))
-    spanned = settle(rows.withColumn("_members", js.members(F.col("_m"), js.spans(F.col("_m")))), "_members")
+    """(request_id, messages): structs of role, kind, content and the members as they came, in their order.
+
+    ``parsed`` are parsed bodies with their spans in ``_spans``.
+    """
+    rows = parsed.select("request_id", F.posexplode(js.elements(F.col(body), F.col("_spans"), "messages")).alias("msg_ix", "_m"))
+    spanned = settle(rows.withColumn("_members", js.members(F.col("_m"), js.spans("_m"))), "_members")
     rows = spanned.select(
         "request_id", "msg_ix", js.text_of(_at(F.col("_members"), "role")).alias("role"),
         _at(F.col("_members"), "content").alias("content"), F.col("_members").alias("members"),
@@ -90,7 +92,7 @@ def forwarded_bodies(lines: DataFrame, cfg: GuardConfig = GuardConfig(), body: s
     parts keep their order. Whether a request goes upstream at all is up to ``guard.outcomes``.  A request without
     messages keeps an empty list, or the canary's own message.
     """
-    parsed = parse_requests(lines, body).where("valid")
+    parsed = parse_requests(lines, body, spans="_spans").where("valid")
     nothing = F.array().cast(f"array<struct<msg_ix:int,role:string,kind:string,content:string,members:{_LISTED}>>")
     joined = parsed.drop("messages").join(sanitized_messages(parsed, cfg, body), "request_id", "left")
     joined = joined.withColumn("messages", F.coalesce("messages", nothing))
@@ -99,7 +101,7 @@ def forwarded_bodies(lines: DataFrame, cfg: GuardConfig = GuardConfig(), body: s
     if cfg.provider == "anthropic":
         out = _messages_body(joined)
     else:
-        own = js.members(F.col(body), js.spans(F.col(body)))
+        own = js.members(F.col(body), F.col("_spans"))
         known = js.with_raw(_present(own), "messages", _list(F.zip_with("_m", "_b", _chat_message)))
         out = js.object_of(js.with_raw(known, "stream", F.col("stream").cast("string")))
     return joined.select("request_id", out.alias("forwarded"))

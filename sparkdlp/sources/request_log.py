@@ -53,9 +53,8 @@ def _truth(raw: Column, path: str) -> Column:
     )
 
 
-def raw_contents(body: Column) -> Column:
-    """The contents of a body's messages as they came, by the message's place as text; null for no JSON text."""
-    found = js.spans(body)
+def raw_contents(body: Column, found: Column) -> Column:
+    """The contents of a body's messages as they came, by the message's place as text; ``found`` are its spans."""
     own = F.filter(
         found,
         lambda s: (F.size(s["path"]) == 3) & (F.get(s["path"], F.lit(0)) == "messages") & (F.get(s["path"], F.lit(2)) == "content"),
@@ -63,16 +62,18 @@ def raw_contents(body: Column) -> Column:
     return F.map_from_entries(F.transform(own, lambda s: F.struct(F.get(s["path"], F.lit(1)), js.cut(body, s["start"], s["end"]))))
 
 
-def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
+def parse_requests(lines: DataFrame, body: str = "value", spans: str | None = None) -> DataFrame:
     """Typed fields next to ``raw`` (unknown fields stay there) and ``valid``.
 
-    A message's ``content`` is JSON text cut out of the body, so lists keep the order of their members.
+    A message's ``content`` is JSON text cut out of the body, so lists keep the order of their members. The body's
+    spans, which tell where everything stands, go into the column ``spans`` where it is named.
     """
     parsed = lines.withColumn("raw", F.try_parse_json(body)).withColumn(
         "_b", F.from_json(body, BODY)
     )
-    # A member that is named twice leaves no VARIANT, and no contents either.
-    parsed = settle(parsed.withColumn("_c", raw_contents(F.when(F.col("raw").isNotNull(), F.col(body)))), "_c")
+    # A member that is named twice leaves no VARIANT, and no spans either.
+    read = parsed.withColumn("_read", F.when(F.col("raw").isNotNull(), F.col(body)))
+    parsed = settle(read.withColumn("_s", js.spans("_read")), "_s")
     raw = F.col("raw")
     messages = F.col("_b.messages")
     listed = F.try_variant_get(raw, "$.stop", "array<variant>")
@@ -83,7 +84,7 @@ def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
     )
     valid = (
         raw.isNotNull()
-        & F.col("_c").isNotNull()
+        & F.col("_s").isNotNull()
         & _is_kind(F.try_variant_get(raw, "$.model", "variant"), "STRING")
         & _is_kind(F.try_variant_get(raw, "$.messages", "variant"), "ARRAY")
         & F.coalesce(F.forall(messages, lambda m: F.coalesce(is_message(m), F.lit(False))), F.lit(False))
@@ -98,7 +99,7 @@ def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
         *lines.columns,
         "raw",
         F.col("_b.model").alias("model"),
-        let(F.col("_c"), lambda contents: F.transform(
+        let(raw_contents(F.col(body), F.col("_s")), lambda contents: F.transform(
             messages,
             lambda m, i: F.struct(
                 m["role"],
@@ -112,6 +113,7 @@ def parse_requests(lines: DataFrame, body: str = "value") -> DataFrame:
         F.try_variant_get(raw, "$.max_tokens", "double").cast("int").alias("max_tokens"),
         F.col("_b.stop").alias("stop"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
+        *([F.col("_s").alias(spans)] if spans else []),
     )
 
 

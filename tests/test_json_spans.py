@@ -49,7 +49,7 @@ def table(spark, texts):
 def test_spans_are_the_values(spark, values):
     styles = [{}, {"indent": 2}, {"ensure_ascii": False}, {"separators": (" ,", " : "), "ensure_ascii": False}]
     texts = [json.dumps(v, **styles[i % 4]) + ("  \n" if i % 5 == 0 else "") for i, v in enumerate(values)]
-    for row in table(spark, texts).select("body", js.spans(F.col("body")).alias("s"), "id").collect():
+    for row in table(spark, texts).select("body", js.spans("body").alias("s"), "id").collect():
         raw = row.body.encode()
         got = sorted(row.s, key=lambda s: (s.start, len(s.path)))
         assert [(tuple(s.path), s.kind, repr(json.loads(raw[s.start : s.end]))) for s in got] == [
@@ -61,7 +61,7 @@ def test_spans_are_the_values(spark, values):
 
 def test_no_json_tokens_no_spans(spark):
     texts = ['{"a": "b" x"', "", " ", "{'a': 1}:", '"open', None]
-    assert [r[0] for r in table(spark, texts).select(js.spans(F.col("body"))).collect()] == [None] * 6
+    assert [r[0] for r in table(spark, texts).select(js.spans("body")).collect()] == [None] * 6
 
 
 def test_strings_go_both_ways(spark):
