@@ -92,7 +92,7 @@ def forwarded_bodies(lines: DataFrame, cfg: GuardConfig = GuardConfig(), body: s
     parts keep their order. Whether a request goes upstream at all is up to ``guard.outcomes``.  A request without
     messages keeps an empty list, or the canary's own message.
     """
-    parsed = parse_requests(lines, body, spans="_spans").where("valid")
+    parsed = settle(parse_requests(lines, body, spans="_spans"), "valid", "_spans").where("valid")
     nothing = F.array().cast(f"array<struct<msg_ix:int,role:string,kind:string,content:string,members:{_LISTED}>>")
     joined = parsed.drop("messages").join(sanitized_messages(parsed, cfg, body), "request_id", "left")
     joined = joined.withColumn("messages", F.coalesce("messages", nothing))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from sparkdlp.config import GuardConfig
+from sparkdlp.functions.text import settle
 from sparkdlp.operators.requests import content_parts, message_explode
 from sparkdlp.operators.score import Scorer
 from sparkdlp.plans import guard
@@ -36,7 +37,8 @@ def outcomes(
     """
     known = log.select(*[c for c in log.columns if c not in _FROM_BODY])
     parsed = parse_requests(known, body)
-    parts = content_parts(message_explode(parsed.where("valid")))
+    # Who only counts arrivals reads no body; who reads messages cuts each body once.
+    parts = content_parts(message_explode(settle(parsed.select("request_id", "valid", "messages"), "valid", "messages").where("valid")))
     arrivals = parsed.select(*[c for c in known.columns if c != body], "stream", "valid")
     chunks = None if chunk_lines is None else parse_chunks(chunk_lines)
     return guard.outcomes(arrivals, parts, keys, parse_responses(responses), cfg, chunks, scorer)

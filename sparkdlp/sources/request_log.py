@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdlp.functions import json_spans as js
-from sparkdlp.functions.text import let, settle
+from sparkdlp.functions.text import let
 
 BODY = (
     "model string, messages array<struct<role:string,content:variant,name:variant>>, "
@@ -73,7 +73,7 @@ def parse_requests(lines: DataFrame, body: str = "value", spans: str | None = No
     )
     # A member that is named twice leaves no VARIANT, and no spans either.
     read = parsed.withColumn("_read", F.when(F.col("raw").isNotNull(), F.col(body)))
-    parsed = settle(read.withColumn("_s", js.spans("_read")), "_s")
+    parsed = read.withColumn("_s", js.spans("_read"))
     raw = F.col("raw")
     messages = F.col("_b.messages")
     listed = F.try_variant_get(raw, "$.stop", "array<variant>")
