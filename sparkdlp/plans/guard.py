@@ -38,6 +38,36 @@ def admit(requests: DataFrame, keys: DataFrame, cfg: GuardConfig = GuardConfig()
     )
 
 
+def verdicts(
+    requests: DataFrame,
+    parts: DataFrame,
+    keys: DataFrame,
+    cfg: GuardConfig = GuardConfig(),
+    scorer: Callable[[], Scorer] | None = None,
+) -> DataFrame:
+    """One row per request with all that is known before its answer: gates, flags, score, labels, preview."""
+    if cfg.classifier == "onnx" and scorer is None:
+        raise RuntimeError("classifier 'onnx' needs a scorer; use 'auto' to fall back")
+    admitted = admit(requests, keys, cfg)
+    rolled = rollup(scan_parts(parts, cfg), cfg.preview_chars)
+    if scorer is not None and cfg.classifier != "heuristic":
+        scored = model_score(ordered_text(scan_parts(parts, cfg), "scored_text"), scorer, "scan_text")
+        rolled = rolled.drop("score").join(scored.select("request_id", "score"), "request_id", "left")
+    joined = admitted.join(rolled, "request_id", "left")
+    no_labels = F.array().cast("array<string>")
+    return joined.withColumns(
+        {
+            **{c: F.coalesce(c, F.lit(False)) for c in ("inj_hit", "has_secret", "has_pii")},
+            **{
+                c: F.coalesce(c, no_labels)
+                for c in ("secret_findings", "pii_findings", "evasion_signals")
+            },
+            "score": F.coalesce("score", F.lit(0.0)),
+            "prompt_preview": F.coalesce("prompt_preview", F.lit("")),
+        }
+    )
+
+
 def outcomes(
     requests: DataFrame,
     parts: DataFrame,
@@ -57,17 +87,11 @@ def outcomes(
     token; all joins are on ``request_id``, unique on every side, and carry no text
     but the preview.
     """
-    if cfg.classifier == "onnx" and scorer is None:
-        raise RuntimeError("classifier 'onnx' needs a scorer; use 'auto' to fall back")
-    admitted = admit(requests, keys, cfg)
-    rolled = rollup(scan_parts(parts, cfg), cfg.preview_chars)
-    if scorer is not None and cfg.classifier != "heuristic":
-        scored = model_score(ordered_text(scan_parts(parts, cfg), "scored_text"), scorer, "scan_text")
-        rolled = rolled.drop("score").join(scored.select("request_id", "score"), "request_id", "left")
+    known = verdicts(requests, parts, keys, cfg, scorer)
     answers = output.scan_outputs(
         responses.select("request_id", "output_text"), cfg.canary_secret, cfg
     ).select("request_id", F.col("block_reason").alias("_whole"))
-    joined = admitted.join(rolled, "request_id", "left").join(answers, "request_id", "left")
+    joined = known.join(answers, "request_id", "left")
     if chunks is None:
         streamed = F.lit(None).cast("string")
     else:
@@ -77,17 +101,4 @@ def outcomes(
         )
         streamed = F.col("_streamed")
     block_reason = F.when(F.col("stream"), streamed).otherwise(F.col("_whole"))
-    joined = joined.withColumn("block_reason", block_reason).drop("_whole", "_streamed")
-    no_labels = F.array().cast("array<string>")
-    filled = joined.withColumns(
-        {
-            **{c: F.coalesce(c, F.lit(False)) for c in ("inj_hit", "has_secret", "has_pii")},
-            **{
-                c: F.coalesce(c, no_labels)
-                for c in ("secret_findings", "pii_findings", "evasion_signals")
-            },
-            "score": F.coalesce("score", F.lit(0.0)),
-            "prompt_preview": F.coalesce("prompt_preview", F.lit("")),
-        }
-    )
-    return decide(filled, cfg)
+    return decide(joined.withColumn("block_reason", block_reason).drop("_whole", "_streamed"), cfg)
