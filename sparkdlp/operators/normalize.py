@@ -71,6 +71,38 @@ def _reencode(line: Column) -> Column:
     return F.when(~is_ascii(line) & fits & suspicious, F.coalesce(again, line)).otherwise(line)
 
 
+# Bytes that go on a UTF-8 sequence, as Latin-1 or Windows-1252 shows them.
+_GOES_ON = f"\\u0080-\\u00BF{_CP1252_CHARS}"
+# Marks that stand behind a letter in sound text, and signs that may.
+_CLOSERS = "«»‘’“”‹›…–—"
+_SIGNS = "©®™"
+_LOWER = "a-zß-öø-ÿ"
+_SEQUENCE = f"(?:[\\u00C2-\\u00DF][{_GOES_ON}]|[\\u00E0-\\u00EF][{_GOES_ON}]{{2}}|[\\u00F0-\\u00F4][{_GOES_ON}]{{3}})"
+# A stretch that is rather damage than text. Two sequences side by side are; of single ones: the two leads that stand
+# for Latin-1 letters, unless a closing mark follows that nothing lower-case goes on after; leads of other alphabets
+# before anything but marks and signs, or at a word's start before a mark in it; the lead of punctuation before anything but a closing mark; that of pictures.
+_DAMAGE = (
+    f"(?:{_SEQUENCE}{{2,}}"
+    f"|[\\u00C2\\u00C3][{_GOES_ON}&&[^{_CLOSERS}]]|[\\u00C2\\u00C3][{_CLOSERS}](?=[{_LOWER}])"
+    f"|[\\u00C4-\\u00D1][{_GOES_ON}&&[^{_CLOSERS}{_SIGNS}]]|(?<![A-Za-z\\u00C0-\\u00FF])[\\u00C4\\u00C5][{_CLOSERS}](?=[{_LOWER}])"
+    f"|\\u00E2[{_GOES_ON}&&[^{_CLOSERS}]][{_GOES_ON}]"
+    f"|\\u00F0[\\u009F\\u0178][{_GOES_ON}]{{2}})"
+)
+
+
+def _bytes_of(text: Column) -> Column:
+    """The text whose UTF-8 bytes were shown as Latin-1 or Windows-1252; null if they are none."""
+    return F.try_validate_utf8(F.encode(F.translate(text, _CP1252_CHARS, _C1_CHARS), "ISO-8859-1").cast("string"))
+
+
+def _repair_stretches(line: Column) -> Column:
+    """Damaged stretches of a line that is sound elsewhere, each on its own."""
+    between = F.split(line, _DAMAGE, -1)
+    found = F.transform(F.regexp_extract_all(line, F.lit(_DAMAGE), F.lit(0)), lambda d: F.coalesce(_bytes_of(d), d))
+    whole = F.array_join(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(line.rlike(_DAMAGE), whole).otherwise(line)
+
+
 @cache
 def _entities() -> dict[str, str]:
     """Named entities, with the capitalized spelling of all-lower names."""
@@ -131,7 +163,10 @@ def repair_text(text: Column) -> Column:
 
     def per_line(t: Column) -> Column:
         lines = F.split(t, "\n", -1)
-        return F.array_join(F.transform(lines, lambda x: _reencode(_reencode(x))), "\n")
+        # Whole lines first, then what is left in lines that also hold sound text; twice each, for double damage.
+        for step in (_reencode, _reencode, _repair_stretches, _repair_stretches):
+            lines = F.transform(lines, step)
+        return F.array_join(lines, "\n")
 
     def encoding(t: Column) -> Column:
         present = ~is_ascii(t) & t.rlike(r"[\x{80}-\x{BF}\x{152}-\x{2122}]") & t.rlike(suspect)

@@ -117,3 +117,27 @@ def test_scan_text_examples(texts):
     ]
     targets = normalize.scan_targets(normalize.normalize(texts(rows[2])), "id").orderBy("target_ix")
     assert [r.target for r in targets.collect()] == [rows[2], PHRASE]
+
+
+def misread(text, codec="cp1252"):
+    """UTF-8 shown in another code page; bytes that it does not have stay as they are."""
+    return "".join(bytes([b]).decode("latin-1" if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else codec) for b in text.encode())
+
+
+def test_damage_beside_sound_text_is_repaired(texts):
+    sound, straight = "naïve café – “quoted” ", 'naïve café – "quoted" '
+    words = ["été", "Œuvre à Ñandú", "привет мир", "日本語", "ł ż", "– ok", "€5", "😀 yes", "Ôtre"]
+    cases = [(sound + misread(w, codec), straight + w) for codec in ("cp1252", "latin-1") for w in words]
+    cases += [(sound + misread(misread("été")), straight + "été"), (f"é\n{sound}{misread('à')}\nß", f"é\n{straight}à\nß")]
+    got = texts(*(c for c, _ in cases)).select("id", normalize.repair_text(F.col("text")).alias("r")).orderBy("id").collect()
+    assert [r.r for r in got] == [want for _, want in cases]
+
+
+def test_sound_lines_keep_their_letters(texts):
+    lines = [
+        "„Spaß“ und „Größe“ – Straße…", "MAÇÃ” disse ela, «ÉCOLE» “CAFÉ”…", "CAFÉ™ et CAFÉ® – naïve €", "¿Qué? ¡Olé! «ESPAÑA» €",
+        "L’été à Noël – «Où?» €", "“café”… déjà”, é”…", "ÊTRE… OU NE PAS ÊTRE’ €", "SMÅ» ØL’ ÆBLE” €", "Ça coûte 5 € «À LA CARTE»…",
+    ]
+    got = texts(*lines).select("id", normalize.repair_text(F.col("text")).alias("r")).orderBy("id").collect()
+    straight = str.maketrans("“”„‘’", "\"\"\"''")
+    assert [r.r for r in got] == [line.translate(straight) for line in lines]
