@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdlp.functions import patterns as P
@@ -194,3 +194,45 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float], margin: float =
         )
     )
     return scored.agg(counters.alias("c")).select(F.inline("c"))
+
+
+def threshold_curve(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 4096) -> DataFrame:
+    """What every score that occurs would give as the threshold: one row per distinct score.
+
+    ``flagged`` rows score at least as much; of those with a label ``hits`` are true and ``false_alarms`` are not,
+    ``missed`` are true and score less. ``precision`` and ``recall`` are null where nothing is counted. Rows without
+    a score (null or NaN) are left out, rows without a label count as flagged only.
+
+    The running sums go over a histogram: within equal-width buckets of scores in parallel, and over the buckets'
+    totals, of which there are never more than ``buckets``.
+    """
+    value, truth = F.col(score).cast("double"), F.col(label).cast("boolean")
+    sums = ("flagged", "hits", "false_alarms")
+    counts = (F.count(F.lit(1)), F.count_if(truth), F.count_if(~truth))
+    steps = (
+        scored.where(value.isNotNull() & ~F.isnan(value))
+        .groupBy(value.alias("threshold"))
+        .agg(*(c.alias(name) for c, name in zip(counts, sums)))
+        .withColumn("_bucket", F.least(F.greatest(F.floor(F.col("threshold") * buckets), F.lit(0)), F.lit(buckets - 1)))
+    )
+    totals = steps.groupBy("_bucket").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    above = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        "_bucket",
+        F.sum("_hits").over(Window.partitionBy()).alias("_true"),
+        *(F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in sums),
+    )
+    here = Window.partitionBy("_bucket").orderBy(F.desc("threshold"))
+    running = steps.select("threshold", "_bucket", *(F.sum(c).over(here).alias(c) for c in sums))
+    # At most ``buckets`` rows of five numbers are broadcast.
+    joined = running.join(F.broadcast(totals), "_bucket").select(
+        "threshold", "_true", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums)
+    )
+    ratio = lambda a, b: F.when(b > 0, a / F.nullif(b, F.lit(0)))
+    return joined.select(
+        "threshold",
+        *sums,
+        (F.col("_true") - F.col("hits")).alias("missed"),
+        ratio(F.col("hits"), F.col("hits") + F.col("false_alarms")).alias("precision"),
+        ratio(F.col("hits"), F.col("_true")).alias("recall"),
+    )

@@ -9,7 +9,7 @@ from checks.compare import rows_of
 from sparkdlp.operators import inject, score
 from tests.conftest import SF
 
-TABLES = "events documents embeddings pages conversations".split()
+TABLES = "events documents embeddings pages conversations labels".split()
 
 
 @pytest.fixture(scope="module")

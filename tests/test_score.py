@@ -118,3 +118,23 @@ def test_threshold_sweep_is_one_pass(spark, texts):
     assert rows[0.0].blocked == rows[0.0].total == len(CASES)
     plan = swept._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_threshold_curve_equals_counting(spark):
+    rng = random.Random(4)
+    values = [0.0, 1.0, 1.5, -0.25, 0.5, float("nan"), None, *(rng.random() for _ in range(60)), *(rng.random() ** 9 for _ in range(60))]
+    rows = [(rng.choice(values), rng.choice([True, False, None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "score double, label boolean").repartition(5)
+    known = [(s, t) for s, t in rows if s is not None and s == s]
+    true = sum(t is True for _, t in known)
+    want = {}
+    for threshold in {s for s, _ in known}:
+        over = [t for s, t in known if s >= threshold]
+        hits, wrong = over.count(True), over.count(False)
+        want[threshold] = (len(over), hits, wrong, true - hits, hits / (hits + wrong) if hits + wrong else None, hits / true)
+    for buckets in (1, 7, 4096):
+        got = score.threshold_curve(df, buckets=buckets).collect()
+        assert {r.threshold: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    none = score.threshold_curve(df.where("label = false")).collect()
+    assert none and all(r.recall is None and r.precision in (0.0, None) for r in none)
+    assert score.threshold_curve(df.limit(0)).count() == 0
