@@ -154,19 +154,22 @@ def updated(work: DataFrame, vocabulary) -> DataFrame:
 def recount(docs: DataFrame, edits: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, body, n_tokens, n_leaves, n_edits, n_tokens_after and reencoded (bytes) for every document.
 
-    edits: doc_id, start, end, replacement.
+    edits: doc_id, start, end, replacement, and body (the hash of the text they are for) where ids may repeat with
+    other texts; without it they are for every row of their id.
     """
     vocabulary = _vocabulary(docs.sparkSession, path)
     kind = docs.schema[doc_id].dataType
     texts = docs.select(F.col(doc_id).cast("string").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     before = saved(trees(texts, vocabulary))
-    asked = edits.select(F.col(doc_id).cast("string").alias("who"), *[F.col(c).cast("long").alias(c) for c in ("start", "end")], F.col("replacement").cast("string").alias("replacement"))
-    lists = saved(asked.groupBy("who").agg(F.collect_set(F.struct("start", "end", "replacement")).alias("edits"), F.count("*").alias("n")))
+    by_text = "body" in edits.columns
+    own = [F.col("body").cast("long").alias("of")] if by_text else []
+    asked = edits.select(F.col(doc_id).cast("string").alias("who"), *own, *[F.col(c).cast("long").alias(c) for c in ("start", "end")], F.col("replacement").cast("string").alias("replacement"))
+    lists = saved(asked.groupBy("who", *(["of"] if by_text else [])).agg(F.collect_set(F.struct("start", "end", "replacement")).alias("edits"), F.count("*").alias("n")))
     bounds = lists.agg(F.count("*"), F.sum("n"), F.sum(F.expr("aggregate(edits, 0L, (a, e) -> a + coalesce(length(e.replacement), 0))"))).first()
     few = fits((bounds[0] or 0) * 64 + (bounds[1] or 0) * 64 + 4 * (bounds[2] or 0), 1)
     lists = lists.drop("n")
     near = F.broadcast(lists) if few else lists
-    touched = texts.join(near, same(texts, near, [("doc", "who")])).select("doc", "body", "text", "edits")
+    touched = texts.join(near, same(texts, near, [("doc", "who"), *([("body", "of")] if by_text else [])])).select("doc", "body", "text", "edits")
     work = touched.join(before.dropDuplicates(["doc", "body"]).withColumnsRenamed({"doc": "d", "body": "b"}), F.expr("doc <=> d and body = b"))
     after = updated(work.select("doc", "body", "text", "ends", "tree", "edits"), vocabulary).dropDuplicates(["doc", "body"])
     after = after.select(F.col("doc").alias("d"), F.col("body").alias("b"), F.get("tree", F.lit(1)).alias("after"), "n_edits", "reencoded")
@@ -198,18 +201,19 @@ def cleaning(text: str) -> list[Edit]:
 
 
 def cleaning_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, end, replacement of the edits of `cleaning`."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    """doc_id, body, start, end, replacement of the edits of `cleaning`, for the text that they are made for."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text")).where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, found = [], []
-            for row, body in enumerate(batch.column(1)):
+            for row, body in enumerate(batch.column(2)):
                 own = cleaning(body.as_py())
                 which += [row] * len(own)
                 found += own
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *columns], ["doc_id", "start", "end", "replacement"])
+            keys = [batch.column(i).take(pa.array(which, pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, *columns], ["doc_id", "body", "start", "end", "replacement"])
 
-    kinds = rows.select("doc_id").schema.simpleString()[7:-1].replace(":", " ")
-    return rows.mapInArrow(run, f"{kinds}, start long, end long, replacement string")
+    kinds = rows.select("doc_id").schema.add("body", "long").add("start", "long").add("end", "long").add("replacement", "string")
+    return rows.mapInArrow(run, kinds)

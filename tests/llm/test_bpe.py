@@ -103,3 +103,14 @@ def test_cleaning_edits(spark):
     docs = spark.createDataFrame([(1, "a 1234567\nb\na 1234567\nb\nc"), (2, None), (3, "plain")], "doc_id long, text string")
     got = token_counts.cleaning_edits(docs).collect()
     assert sorted((r.doc_id, r.start, r.end, r.replacement) for r in got) == [(1, 2, 9, "0"), (1, 11, 21, ""), (1, 21, 23, "")]
+
+
+def test_edits_go_to_the_text_that_they_are_for(spark):
+    rows = [(1, "same line here\nsame line here\nend"), (1, "another text without edits"), ("x", None)][:2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.n_tokens: r for r in token_counts.recount(docs, token_counts.cleaning_edits(docs)).collect()}
+    assert sorted(r.n_edits for r in got.values()) == [0, 1]
+    untouched = next(r for r in got.values() if r.n_edits == 0)
+    assert untouched.n_tokens_after == untouched.n_tokens and untouched.reencoded == 0
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    assert sorted(r.n_edits for r in token_counts.recount(named, token_counts.cleaning_edits(named)).collect()) == [0, 1]
