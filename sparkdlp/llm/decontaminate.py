@@ -1,24 +1,27 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are lower-cased runs of letters and digits. A seed looks at eight of the words under it: two blocks of
+Words are lower-cased runs of letters and digits of any script; where words are not spaced (Han, Kana) each sign is
+one. A seed looks at eight of the words under it: two blocks of
 four with a fixed gap of 0, 4, 8, 12 or 16 ignored words. Seed hashes of benchmark items and documents are
 joined; around each hit the document is held against the item word by word, so substituted words are tolerated.
 
 A document overlaps an item if some alignment has a window of WINDOW words of the item in which at most
 ALLOWED words differ. Four differing words touch at most four of the six blocks of such a window, and any two
 untouched blocks are one of the five seeds, so no overlap is missed. Items with fewer words are compared in one
-window of all their words, in which len // 4 - 2 words may differ, for the same reason; items of less than eight
-words have no seed and match nothing.
+window of all their words, in which len // 4 - 2 words may differ, for the same reason. An item of four to seven
+words has one seed without ignored words, all of it, and matches where it stands word for word. Items of fewer words
+are everyday phrases and match nothing.
 
 The documents' seeds first pass a bit table of fixed size made from the benchmark's seeds; what passes is joined
 by hash. A benchmark of any size gives the same result, as the table only thins out the join.
 
 Defined cases: null and empty texts overlap nothing. Repeated rows give repeated results, repeated items too.
-Only the id and text columns are read, so other columns may have any names. Null ids are kept as they are.
+Only the id and text columns are read, so other columns may have any names. Ids keep their type; null ids are kept.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,22 +40,35 @@ TABLE_BITS = 1 << 23
 SHIFTS = (0, 20, 40)
 
 
+_BETWEEN = re.compile(r"[^\w\x00-\x7f]+")
+_SIGNS = re.compile("([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
 def words(text: str | None) -> np.ndarray:
     """64-bit codes of the lower-cased words of letters and digits, in order."""
-    data = utf8((text or "").lower())
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _SIGNS.sub(r" \1 ", _BETWEEN.sub(" ", text))
+    data = utf8(text)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
     step = np.diff(inside)
     return span_hashes(data, np.flatnonzero(step == 1), np.flatnonzero(step == -1))
 
 
-def seeds(codes: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """For each mask the hash at every place where it fits, and the mask's length."""
+def seeds(codes: np.ndarray, short: tuple[int, ...] = ()) -> list[tuple[np.ndarray, int]]:
+    """For each mask the hash at every place where it fits, and the mask's length; ``short`` are lengths of whole items."""
     out = []
     n = len(codes)
-    if n < 2 * BLOCK:
-        return out
     with np.errstate(over="ignore"):
+        for length in short:
+            if length <= n:
+                whole = np.zeros(n - length + 1, dtype=np.uint64)
+                for i in range(length):
+                    whole = whole * np.uint64(0x9E3779B97F4A7C15) + codes[i : n - length + 1 + i]
+                out.append((mix(mix(whole) + np.uint64(100 + length)), length))
+        if n < 2 * BLOCK:
+            return out
         block = np.zeros(n - BLOCK + 1, dtype=np.uint64)
         for i in range(BLOCK):
             block = block * np.uint64(0x9E3779B97F4A7C15) + codes[i : n - BLOCK + 1 + i]
@@ -68,7 +84,7 @@ def seeds(codes: np.ndarray) -> list[tuple[np.ndarray, int]]:
 def tolerance(n: int) -> tuple[int, int]:
     """Window and number of words that may differ for an item of n words; window 0: the item cannot match."""
     if n < 2 * BLOCK:
-        return 0, 0
+        return (n, 0) if n >= BLOCK else (0, 0)
     return (WINDOW, ALLOWED) if n >= WINDOW else (n, n // BLOCK - 2)
 
 
@@ -89,12 +105,12 @@ def _rows(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordB
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"item": pa.int64(), "code": pa.list_(pa.int64()), "hash": pa.list_(pa.int64()), "place": pa.list_(pa.int32())}
+    kinds = {"item": pa.string(), "code": pa.list_(pa.int64()), "hash": pa.list_(pa.int64()), "place": pa.list_(pa.int32())}
     for batch in batches:
         out: dict[str, list] = {k: [] for k in kinds}
         for item, text in zip(batch.column(0), batch.column(1), strict=True):
             codes = words(text.as_py())
-            found = seeds(codes)
+            found = seeds(codes, (len(codes),) if BLOCK <= len(codes) < 2 * BLOCK else ())
             if found:
                 out["item"].append(item.as_py())
                 out["code"].append(codes.view(np.int64))
@@ -103,9 +119,9 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(out, kinds)
 
 
-def _thin(table: np.ndarray, bits: int):
+def _thin(table: np.ndarray, bits: int, short: tuple[int, ...]):
     """Stretches of documents around seeds that the bit table lets through."""
-    kinds = {"doc": pa.int64(), "body": pa.int64(), "start": pa.int64(), "code": pa.list_(pa.int64()), "hash": pa.list_(pa.int64()), "place": pa.list_(pa.int32())}
+    kinds = {"doc": pa.string(), "body": pa.int64(), "start": pa.int64(), "code": pa.list_(pa.int64()), "hash": pa.list_(pa.int64()), "place": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +129,7 @@ def _thin(table: np.ndarray, bits: int):
             for doc, body, text in zip(*batch.columns, strict=True):
                 codes = words(text.as_py())
                 places, hashes, ends = [], [], []
-                for values, length in seeds(codes):
+                for values, length in seeds(codes, short):
                     hit = np.arange(len(values))
                     for shift in SHIFTS:
                         low = (values[hit] >> np.uint64(shift)) % np.uint64(bits)
@@ -158,8 +174,8 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
 
     matched: most equal words in a window; n_words: words of the item.
     """
-    rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text"))
-    tests = saved(rows.mapInArrow(_item_seeds, "item long, code array<long>, hash array<long>, place array<int>"))
+    rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    tests = saved(rows.mapInArrow(_item_seeds, "item string, code array<long>, hash array<long>, place array<int>"))
     tests = tests.withColumn("key", F.xxhash64("item", "code"))
     seeded = tests.select("key", F.explode(F.arrays_zip("hash", "place")).alias("s")).select("key", F.col("s.hash").alias("hash"), F.col("s.place").alias("at"))
     low = f"pmod(part, {bits}L)"
@@ -169,9 +185,12 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     for cell, mask in packed.collect():  # at most bits / 64 rows
         table[cell] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
+    # Lengths of the short items, four at most; documents look for these alone.
+    size = F.size("code")
+    short = tuple(sorted(r[0] for r in tests.where(size < 2 * BLOCK).select(size).distinct().collect()))
+    texts = docs.select(F.col(doc_id).cast("string").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     texts = texts.where(F.col("text").isNotNull())
-    stretches = texts.mapInArrow(_thin(table, bits), "doc long, body long, start long, code array<long>, hash array<long>, place array<int>")
+    stretches = texts.mapInArrow(_thin(table, bits, short), "doc string, body long, start long, code array<long>, hash array<long>, place array<int>")
     stretches = saved(stretches.withColumn("piece", F.xxhash64("doc", "body", "start")))
     hits = stretches.select("piece", F.explode(F.arrays_zip("hash", "place")).alias("s")).select("piece", F.col("s.hash").alias("hash"), F.col("s.place").alias("place"))
     # Copies of a text meet here as one piece each; the shifts of a piece and an item are at most its words.
@@ -179,9 +198,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     whole = stretches.select("piece", "doc", "body", "code").dropDuplicates(["piece"])
     parts = tests.select("key", "item", F.col("code").alias("item_code"), F.size("code").alias("n_words")).dropDuplicates(["key"])
     found = pairs.join(whole, "piece").join(parts, "key")
-    checked = found.select("doc", "body", "item", "n_words", "code", "item_code", "shifts").mapInArrow(_verify, "doc long, body long, item long, n_words int, matched int")
+    checked = found.select("doc", "body", "item", "n_words", "code", "item_code", "shifts").mapInArrow(_verify, "doc string, body long, item string, n_words int, matched int")
     best = checked.where("matched > 0").groupBy("doc", "body", "item", "n_words").agg(F.max("matched").alias("matched"))
-    return best.select(F.col("doc").alias("doc_id"), "body", F.col("item").alias("item_id"), F.col("matched").cast("long").alias("matched"), F.col("n_words").cast("long").alias("n_words"))
+    return best.select(F.col("doc").cast(docs.schema[doc_id].dataType).alias("doc_id"), "body", F.col("item").cast(items.schema[item_id].dataType).alias("item_id"), F.col("matched").cast("long").alias("matched"), F.col("n_words").cast("long").alias("n_words"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
@@ -189,5 +208,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **name
     text = names.get("text", "text")
     found = overlaps(docs, items, doc_id, **names)
     bad = saved(found.select(F.col("doc_id").alias("bad_id"), F.col("body").alias("bad_body")).distinct())
-    bad = small(bad, 32)
-    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text]) == bad["bad_body"]), "left_anti")
+    bad = small(bad, 64)
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text]) == bad["bad_body"]), "left_anti")

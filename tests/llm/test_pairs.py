@@ -174,3 +174,34 @@ def test_sharding_awkward(awkward, empty):
     ids = ["None" if np.isnan(x) else str(int(x)) for x in got["doc_id"]]
     assert sorted(zip(ids, got["size"], got["text_crc32"], strict=True)) == expected
     assert sharding.assign(empty).count() == 0
+
+
+PASSAGE = "one two three four five six seven eight nine ten eleven twelve"
+
+
+def test_words_of_every_script():
+    spaced = decontaminate.words("the quoted words here")
+    assert decontaminate.words("the “quoted” words…here —").tolist() == spaced.tolist()
+    assert len(decontaminate.words("日本語 テスト")) == 6 and len(decontaminate.words("это “важный” текст")) == 3
+
+
+def test_quotes_and_unspaced_scripts_are_found(spark):
+    items = spark.createDataFrame([(1, PASSAGE), (2, "我们今天在学校里学习新的语言和文化")], "item_id long, text string")
+    docs = [(1, f"He said “{PASSAGE}” – twice"), (2, "前面我们今天在学校里学习新的语言和文化后面"), (3, "我们明天不去"), (4, PASSAGE.replace(" ", "’ "))]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (4, 1)}
+
+
+def test_short_items_match_word_for_word(spark):
+    items = [(4, "alpha beta gamma delta"), (7, "a b c d e f g"), (3, "too few words")]
+    docs = [(1, "x alpha, Beta gamma delta y"), (2, "alpha beta gamma other delta"), (3, "z a b c d e f g"), (4, "a b c d e f h g"), (5, "too few words"), (6, "alpha beta gamma delta")]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched, r.n_words) for r in got} == {(1, 4, 4, 4), (6, 4, 4, 4), (3, 7, 7, 7)}
+
+
+def test_ids_keep_their_type(spark):
+    items = spark.createDataFrame([("q-1", PASSAGE)], "item_id string, text string")
+    docs = spark.createDataFrame([("a", PASSAGE), ("b", "clean"), (None, PASSAGE), ("c", None), ("a", "other text")], "doc_id string, text string")
+    got = decontaminate.overlaps(docs, items)
+    assert sorted((str(r.doc_id), r.item_id) for r in got.collect()) == [("None", "q-1"), ("a", "q-1")]
+    assert sorted((r.doc_id, str(r.text)) for r in decontaminate.keep_clean(docs, items).collect()) == [("a", "other text"), ("b", "clean"), ("c", "None")]
