@@ -2,13 +2,15 @@
 
 The content view sees hashed words, word pairs and character runs. The metadata view sees the page's columns
 (source, language) and layout figures (lengths, lines, shares of capitals, digits and marks), never a word. Both
-are trained on labelled rows. Over a few rounds each view labels the rows of an unlabelled pool that it is most
-sure of, and hands them to the other. In the end the two views are calibrated and combined on labelled rows that
-neither has seen, and every document is scored.
+are trained on labelled rows. In each of a few rounds both score every unlabelled document on Spark; each view labels
+the documents that it is most sure of, of each class and of different texts, and hands them to the other. Only these
+(a bounded number) come to the driver for the next fit. In the end the views are calibrated on labelled rows that
+neither has seen, the calibrated views are combined there, and every document is scored.
 
 Defined cases: a null text has no words and zero layout figures. Labels of null quality are not used;
-contradicting labels count by their mean. Without labels of both kinds every probability is one half. Repeated
-rows give repeated results; an empty table gives an empty result. Null metadata is a value of its own. Other
+contradicting labels count by their mean. A labelled id that is repeated counts once, with one of its rows; of equal
+unlabelled texts the one with the lowest id can be handed over. Without labels of both kinds every probability is one
+half. Repeated rows give repeated results; an empty table gives an empty result. Null metadata is a value of its own. Other
 columns than those named are not read.
 """
 
@@ -23,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdlp.llm import linear
-from sparkdlp.llm.common import utf8, word_spans
-from sparkdlp.llm.quality_rules import sample
+from sparkdlp.llm.common import saved, utf8, word_spans
+from sparkdlp.llm.quality_rules import bounded, sample
 
-#: Labelled and unlabelled rows of the fit (one labelled row in four is kept for calibration); documented bounds.
+#: Labelled rows of the fit, always whole texts (one in four is kept for calibration), and documents that a view hands
+#: over in a round, by class in the proportion of the labelled rows; documented bounds. The rows of a fit and those
+#: handed over in a round have TRAIN_FEATURES and PSEUDO_FEATURES features at most (see quality_rules.bounded).
 TRAIN_ROWS = 3000
-POOL_ROWS = 3000
-ROUNDS = 4
-#: Share of the pool that a view labels in a round, by class in the proportion of the labelled rows.
-SHARE = 0.05
+PSEUDO_ROWS = 300
+PSEUDO_FEATURES = 1 << 21
+ROUNDS = 2
 #: A view labels only rows it is at least this sure of.
 SURE = 0.9
 KEEP = 0.5
@@ -81,65 +84,100 @@ def views(values: list, text: str | None):
     return linear.text_features(data, *spans), meta_features(values, layout(data, *spans))
 
 
-def _gathered(rows: DataFrame, n_meta: int) -> tuple[np.ndarray, linear.Rows, linear.Rows]:
-    """truth (-1: none) and both views of a bounded number of rows, in the order of their id hashes."""
+def _lists(batch: pa.RecordBatch, n_meta: int) -> Iterator[tuple]:
+    """Both views of each row of a batch that ends in the columns of the page and the text."""
+    *about, bodies = batch.columns[-1 - n_meta :]
+    for i, body in enumerate(bodies):
+        yield views([c[i].as_py() for c in about], body.as_py())
+
+
+def _gathered(rows: DataFrame, n_meta: int) -> tuple[np.ndarray, np.ndarray, linear.Rows, linear.Rows]:
+    """truth, view (see `handed`) and both views' features of a bounded number of rows, in the order of id and body."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in range(4)]
-            for i in range(batch.num_rows):
-                content, meta = views([batch.column(2 + m)[i].as_py() for m in range(n_meta)], batch.column(2 + n_meta)[i].as_py())
-                for held, part in zip(out, (*linear.strongest(*content), *meta), strict=True):
+            for content, meta in _lists(batch, n_meta):
+                for held, part in zip(out, (*content, *meta), strict=True):
                     held.append(part)
             lists = [pa.array(x, pa.list_(kind)) for x, kind in zip(out, (pa.int32(), pa.float32()) * 2, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "truth", "ca", "cv", "ma", "mv"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["id", "body", "truth", "view", "ca", "cv", "ma", "mv"])
 
-    table = rows.mapInArrow(extract, "id long, truth int, ca array<int>, cv array<float>, ma array<int>, mv array<float>").toArrow()
-    order = np.argsort(table["id"].to_numpy(), kind="stable")
+    kinds = "id long, body long, truth int, view int, ca array<int>, cv array<float>, ma array<int>, mv array<float>"
+    table = rows.mapInArrow(extract, kinds).toArrow()
+    ids, bodies, truth, view = (table[c].to_numpy() for c in ("id", "body", "truth", "view"))
+    order = np.lexsort((view, bodies, ids))
     columns = [[np.asarray(x.values) for x in table[c]] for c in ("ca", "cv", "ma", "mv")]
-    return table["truth"].to_numpy()[order], [(columns[0][i], columns[1][i]) for i in order], [(columns[2][i], columns[3][i]) for i in order]
-
-
-def exchange(truth: np.ndarray, content: linear.Rows, meta: linear.Rows, pool_content: linear.Rows, pool_meta: linear.Rows, rounds: int = ROUNDS):
-    """The two models after co-training on labelled rows and a pool."""
-    sets = [(list(content), list(truth)), (list(meta), list(truth))]
-    slots, pools = (linear.SLOTS, META_SLOTS), (pool_content, pool_meta)
-    left = [np.ones(len(pool_content), dtype=bool), np.ones(len(pool_content), dtype=bool)]
-    models = [linear.fit(rows, np.asarray(said), n) for (rows, said), n in zip(sets, slots, strict=True)]
-    good = float(np.mean(truth)) if len(truth) else 0.0
-    for _ in range(rounds if len(pool_content) and all(m.any() for m in models) else 0):
-        for view in (0, 1):
-            other = 1 - view
-            chance = linear.sigmoid(np.asarray([linear.raw_score(models[view], *r) for r in pools[view]]))
-            for label, sureness, part in ((1, chance, good), (0, 1 - chance, 1 - good)):
-                most = max(1, round(SHARE * len(pool_content) * part))
-                ready = np.flatnonzero(left[other] & (sureness >= SURE))
-                picked = ready[np.argsort(-sureness[ready], kind="stable")[:most]]
-                left[other][picked] = False
-                sets[other][0].extend(pools[other][i] for i in picked)
-                sets[other][1].extend([label] * len(picked))
-        models = [linear.fit(rows, np.asarray(said), n) for (rows, said), n in zip(sets, slots, strict=True)]
-    return models
+    return truth[order], view[order], [(columns[0][i], columns[1][i]) for i in order], [(columns[2][i], columns[3][i]) for i in order]
+
+
+def log_odds(rows: DataFrame, models: list[np.ndarray], n_meta: int) -> DataFrame:
+    """id, body, words (hash of the text), bytes and both views' log odds of every row of id, body, words, bytes, meta, text."""
+    content_model, meta_model = (m.astype(np.float32) for m in models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(linear.raw_score(content_model, *content), linear.raw_score(meta_model, *meta)) for content, meta in _lists(batch, n_meta)]
+            odds = np.asarray(found, dtype=np.float64).reshape(len(found), 2).T.copy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(x) for x in odds)], kinds.names)
+
+    kinds = rows.select("id", "body", "words", "bytes").schema.add("odds0", "double").add("odds1", "double")
+    return rows.mapInArrow(run, kinds)
+
+
+def handed(scored: DataFrame, before: DataFrame | None, good: float, most: int = PSEUDO_ROWS) -> DataFrame:
+    """id, body, truth and view: the rows that each view is most sure of, labelled for the fit of the other view ("view").
+
+    scored: one row for each different text. What a view was handed before is not handed to it again.
+    """
+    out = None
+    for giver in (0, 1):
+        left = scored
+        if before is not None:
+            left = left.join(F.broadcast(before.where(F.col("view") == 1 - giver).select("words")), "words", "left_anti")  # PSEUDO_ROWS a round
+        for label, share in ((1, good), (0, 1 - good)):
+            odds = F.col(f"odds{giver}") * (1 if label else -1)
+            sure = left.where(odds >= float(np.log(SURE / (1 - SURE)))).withColumn("sure", odds)
+            order = [F.desc("sure"), F.xxhash64("words"), "words"]
+            part = bounded(sure, order, max(1, round(share * most)), PSEUDO_FEATURES // 4)
+            part = part.select("id", "body", "words", F.lit(label).alias("truth"), F.lit(1 - giver).alias("view"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = ("source", "lang"), doc_id: str = "doc_id", text: str = "text",
-          label: str = "quality", train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS):
-    """Both models and their calibrations: content, metadata, and of both together."""
-    rows = docs.select(F.col(doc_id).alias("id"), *[F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)], F.col(text).alias("text"))
+          label: str = "quality", train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, pseudo_rows: int = PSEUDO_ROWS):
+    """Both models and their calibrations: content, metadata, and of the two calibrated views together."""
+    about = [f"m{i}" for i in range(len(meta))]
+    rows = docs.select(F.col(doc_id).alias("id"), *[F.col(c).cast("string").alias(m) for c, m in zip(meta, about, strict=True)], F.col(text).alias("text"))
     facts = labels.select(F.col(doc_id).alias("id"), label)
-    order = [F.xxhash64("id").alias("hash"), "truth", *[f"m{i}" for i in range(len(meta))], "text"]
-    truth, content, about = _gathered(sample(rows, facts, label, train_rows, "id").select(*order), len(meta))
-    unknown = rows.select("id").join(facts.where(F.col(label).isNotNull()).select("id").distinct(), "id", "left_anti").where(F.col("id").isNotNull())
-    drawn = unknown.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(pool_rows).distinct()
-    pool = rows.join(F.broadcast(drawn), "id").withColumn("truth", F.lit(-1))  # pool_rows rows at most
-    _, pool_content, pool_about = _gathered(pool.select(*order), len(meta))
-    held = np.arange(len(truth)) % 4 == 3
-    pick = lambda side, which: [r for r, w in zip(side, which, strict=True) if w]
-    models = exchange(truth[~held], pick(content, ~held), pick(about, ~held), pool_content, pool_about)
-    scores = np.asarray([[linear.raw_score(m, *r) for r in pick(side, held)] for m, side in zip(models, (content, about), strict=True)])
+    drawn = sample(rows, facts, label, train_rows, "id", parts=tuple(about))
+    truth, _, *sides = _gathered(drawn.select(F.xxhash64("id").alias("id"), F.col("told_body").alias("body"), "truth", F.lit(0).alias("view"), *about, "text"), len(meta))
+    held, slots = np.arange(len(truth)) % 4 == 3, (linear.SLOTS, META_SLOTS)
+    told = [[r for r, h in zip(side, held, strict=True) if not h] for side in sides]
+    said = [list(truth[~held]), list(truth[~held])]
+    models = [linear.fit(side, np.asarray(said[0]), n) for side, n in zip(told, slots, strict=True)]
+    keyed = rows.select("id", F.xxhash64("text", *about).alias("body"), F.xxhash64("text").alias("words"), F.octet_length("text").alias("bytes"), *about, "text")
+    labelled, before = facts.where(F.col(label).isNotNull()).select("id").distinct(), None
+    for _ in range(rounds if all(m.any() for m in models) else 0):
+        # Every document is scored; the few numbers of each, not its text, meet the labelled ids and its copies.
+        unknown = log_odds(keyed, models, len(meta)).where(F.col("id").isNotNull()).join(labelled, "id", "left_anti")
+        one = F.min(F.struct("id", "body", "bytes", "odds0", "odds1")).alias("one")
+        picked = saved(handed(saved(unknown.groupBy("words").agg(one).select("words", "one.*")), before, float(truth[~held].mean()), pseudo_rows))
+        near = F.broadcast(picked.drop("words"))  # 2 * PSEUDO_ROWS + 2 rows at most
+        found = keyed.drop("words", "bytes").join(near, ["id", "body"]).dropDuplicates(["id", "body", "view"])
+        pseudo, view, *more = _gathered(found.select(F.xxhash64("id").alias("id"), "body", "truth", "view", *about, "text"), len(meta))
+        for own in (0, 1):
+            told[own] += [r for r, v in zip(more[own], view, strict=True) if v == own]
+            said[own] += list(pseudo[view == own])
+        models = [linear.fit(side, np.asarray(own), n) for side, own, n in zip(told, said, slots, strict=True)]
+        before = picked if before is None else before.union(picked)
     if not held.any() or not all(m.any() for m in models):
         return models, (np.zeros(2), np.zeros(2), np.zeros(3))
-    return models, (linear.calibrate(scores[0], truth[held]), linear.calibrate(scores[1], truth[held]), linear.calibrate(scores.T, truth[held]))
+    scores = [np.asarray([linear.raw_score(m, *r) for r, h in zip(side, held, strict=True) if h]) for m, side in zip(models, sides, strict=True)]
+    single = [linear.calibrate(s, truth[held]) for s in scores]
+    both = linear.calibrate(np.column_stack([w[0] * s + w[1] for w, s in zip(single, scores, strict=True)]), truth[held])
+    return models, (*single, both)
 
 
 def score(docs: DataFrame, trained, meta: tuple[str, ...] = ("source", "lang"), doc_id: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
@@ -152,10 +190,10 @@ def score(docs: DataFrame, trained, meta: tuple[str, ...] = ("source", "lang"),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros((batch.num_rows, 3))
-            for i in range(batch.num_rows):
-                content, about = views([batch.column(1 + m)[i].as_py() for m in range(len(meta))], batch.column(1 + len(meta))[i].as_py())
-                a, b = linear.raw_score(content_model, *content), linear.raw_score(meta_model, *about)
-                found[i] = linear.calibrated(by_content, a), linear.calibrated(by_meta, b), linear.calibrated(by_both, a, b)
+            for i, (content, about) in enumerate(_lists(batch, len(meta))):
+                a = by_content[0] * linear.raw_score(content_model, *content) + by_content[1]
+                b = by_meta[0] * linear.raw_score(meta_model, *about) + by_meta[1]
+                found[i] = linear.sigmoid(a), linear.sigmoid(b), linear.calibrated(by_both, a, b)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T.copy()), pa.array(found[:, 2] >= keep)], kinds.names)
 
     return rows.mapInArrow(run, kinds)

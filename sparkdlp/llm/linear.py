@@ -8,28 +8,39 @@ from sparkdlp.llm.common import mix, span_hashes, utf8, word_spans
 
 #: Hash slots of the text features.
 SLOTS = 1 << 16
-#: Strongest features of a training row that are kept; a bound for the fit only, scoring uses all.
-FIT_FEATURES = 2048
+#: Features that one step of the fit holds at a time.
+STEP = 1 << 20
 
 Rows = list[tuple[np.ndarray, np.ndarray]]
 
 
-def weighted(codes: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+def weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots and damped counts, scaled to length one."""
-    at, counts = np.unique(codes % np.uint64(slots), return_counts=True)
+    ordered = np.sort((codes & np.uint64(SLOTS - 1)).astype(np.uint16))
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begins, len(ordered)))
     values = np.log1p(counts).astype(np.float32)
     length = float(np.sqrt((values * values).sum())) or 1.0
-    return at.astype(np.int32), values / np.float32(length)
+    return ordered[begins].astype(np.int32), values / np.float32(length)
+
+
+def characters(data: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes."""
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint64)
+    wide = data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(wide, dtype="<u4").astype(np.uint64)
 
 
 def text_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words, word pairs and runs of four bytes of a whole text."""
+    """Words, word pairs and runs of four characters of a whole text."""
     with np.errstate(over="ignore"):
+        step = np.uint64(0x9E3779B97F4A7C15)
         words = span_hashes(data, starts, ends)
-        pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else words[:0]
-        wide = data.astype(np.uint64)
-        runs = (wide[:-3] | wide[1:-2] << np.uint64(8) | wide[2:-1] << np.uint64(16) | wide[3:] << np.uint64(24)) if len(data) > 3 else wide[:0]
-        return weighted(np.concatenate([words, pairs, mix(runs + np.uint64(1 << 40))]))
+        pairs = mix(words[:-1] * step + words[1:]) if len(words) > 1 else words[:0]
+        points = characters(data)
+        runs = ((points[:-3] * step + points[1:-2]) * step + points[2:-1]) * step + points[3:] if len(points) > 3 else points[:0]
+        return weighted(np.concatenate([words, pairs, mix(runs)]))
 
 
 def features_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -37,13 +48,6 @@ def features_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return text_features(data, *word_spans(data))
 
 
-def strongest(at: np.ndarray, values: np.ndarray, most: int = FIT_FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    if len(at) <= most:
-        return at, values
-    keep = np.sort(np.argsort(-values, kind="stable")[:most])
-    return at[keep], values[keep]
-
-
 def raw_score(model: np.ndarray, at: np.ndarray, values: np.ndarray) -> float:
     """The last entry of a model is its intercept."""
     return float(model[at] @ values + model[-1])
@@ -60,18 +64,23 @@ def fit(rows: Rows, labels: np.ndarray, slots: int = SLOTS, rounds: int = 80, ra
     if not len(labels) or labels.min() == labels.max():
         return model
     rows = [(at, v) if len(at) else (np.zeros(1, np.int32), np.zeros(1, np.float32)) for at, v in rows]
-    at = np.concatenate([a for a, _ in rows])
-    values = np.concatenate([v for _, v in rows]).astype(np.float64)
-    sizes = np.asarray([len(a) for a, _ in rows])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
+    # Rows in blocks of about STEP features, so that the steps need little memory beside the rows.
+    block = np.cumsum([len(at) for at, _ in rows]) // STEP
+    blocks = []
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block)) + 1):
+        sizes = np.asarray([len(rows[i][0]) for i in part])
+        at, values = (np.concatenate([rows[i][side] for i in part]) for side in (0, 1))
+        blocks.append((at, values, sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]), labels[part], weight[part]))
     first, second = np.zeros_like(model), np.zeros_like(model)
     for turn in range(1, rounds + 1):
-        scores = np.add.reduceat(model[at] * values, begin) + model[-1]
-        error = (sigmoid(scores) - labels) * weight
         slope = ridge * model
-        slope[:-1] += np.bincount(at, weights=np.repeat(error, sizes) * values, minlength=slots)
-        slope[-1] = error.sum()
+        for at, values, sizes, begin, truth, share in blocks:
+            scores = np.add.reduceat(model[at] * values, begin) + model[-1]
+            error = (sigmoid(scores) - truth) * share
+            slope[:-1] += np.bincount(at, weights=np.repeat(error, sizes) * values, minlength=slots)
+            slope[-1] += error.sum()
+        slope[-1] -= ridge * model[-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope * slope
         model -= rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)

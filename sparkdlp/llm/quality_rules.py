@@ -5,8 +5,9 @@ regression on hashed words, word pairs and character runs is trained on labelled
 rows it has not seen, and scores every whole text in Arrow batches against a fixed threshold.
 
 Defined cases: a null text has no words and fails the base. Labels of null quality or for unknown documents are
-not used; contradicting labels of a document count by their mean. Without labels of both kinds every probability
-is one half and only the base decides. Repeated rows give repeated results; an empty table gives an empty one.
+not used; contradicting labels of a document count by their mean. A labelled id that is repeated counts once,
+with one of its texts. Without labels of both kinds every probability is one half and only the base decides. Repeated
+rows give repeated results; an empty table gives an empty one.
 Columns other than id, text and the label are not read.
 """
 
@@ -16,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdlp.llm import linear
 from sparkdlp.llm.common import mix, span_hashes, utf8, word_spans
 
-#: Labelled rows that the model is fitted and calibrated on (one in four for calibration); a documented bound.
+#: Labelled rows that the model is fitted and calibrated on, always whole texts (one row in four for calibration), and
+#: features that these rows may have together; documented bounds.
 TRAIN_ROWS = 4000
+TRAIN_FEATURES = 1 << 24
 KEEP = 0.5
 WINDOW = 8
 FEW_WORDS = 20
@@ -60,28 +63,48 @@ def counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int,
     return len(starts), points - blanks, int(_SYMBOL[data].sum()), twice, repeated
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id") -> DataFrame:
-    """docs joined with at most `rows` labelled ids (column "truth", 0 or 1), chosen by hash of the id."""
+def bounded(rows: DataFrame, order: list, most: int, features: int = TRAIN_FEATURES) -> DataFrame:
+    """The first `most` rows in that order whose texts (of column "bytes" bytes) cannot have more features in all.
+
+    A text has at most a feature for each byte, each word and each pair of words, and SLOTS in all.
+    """
+    cost = F.least(F.lit(linear.SLOTS), F.coalesce("bytes", F.lit(0)) * 2 + 2)
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # `most` rows at most
+    return rows.orderBy(*order).limit(most).withColumn("so_far", F.sum(cost).over(so_far)).where(F.col("so_far") <= features).drop("so_far", "bytes")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text", parts: tuple[str, ...] = ()) -> DataFrame:
+    """At most `rows` labelled rows of docs with "truth" (0 or 1), by hash of the id.
+
+    An id counts once, with its row of the lowest hash of text and `parts`, however often it is repeated.
+    """
     told = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("told_id"))
     told = told.agg((F.avg(label) >= 0.5).cast("int").alias("truth")).orderBy(F.xxhash64("told_id", F.lit(2)), "told_id").limit(rows)
-    return docs.join(F.broadcast(told), docs[doc_id] == told["told_id"])  # `rows` rows at most
+    body = F.xxhash64(text, *parts)
+    keys = docs.select(F.col(doc_id).alias("told_id"), body.alias("told_body"), F.octet_length(F.col(text)).alias("bytes"))
+    keys = keys.join(F.broadcast(told), "told_id").groupBy("told_id", "truth").agg(F.min(F.struct("told_body", "bytes")).alias("one"))
+    drawn = bounded(keys.select("told_id", "truth", "one.*"), [F.xxhash64("told_id", F.lit(2)), "told_id"], rows)
+    found = docs.join(F.broadcast(drawn), (docs[doc_id] == drawn["told_id"]) & (body == drawn["told_body"]))  # `rows` keys at most
+    return found.dropDuplicates(["told_id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
           rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Model and calibration weights. What comes to the driver is FIT_FEATURES numbers for each of `rows` rows."""
+    """Model and calibration weights. What comes to the driver are the features of `rows` rows, TRAIN_FEATURES in all."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [linear.strongest(*linear.features_of(t.as_py())) for t in batch.column(2)]
+            found = [linear.features_of(t.as_py()) for t in batch.column(2)]
             lists = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "truth", "at", "value"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["id", "truth", "at", "value"])
 
     rows_of = sample(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), labels.select(F.col(doc_id).alias("id"), label), label, rows, "id")
-    found = rows_of.select(F.xxhash64("id").alias("id"), "truth", "text").mapInArrow(extract, "id long, truth int, at array<int>, value array<float>").toArrow()
-    table = sorted(zip(found["id"].to_pylist(), found["truth"].to_pylist(), found["at"], found["value"], strict=True), key=lambda r: r[0])
-    sparse = [(np.asarray(a.values), np.asarray(v.values)) for _, _, a, v in table]
-    truth = np.asarray([t for _, t, _, _ in table])
+    rows_of = rows_of.select(F.xxhash64("id").alias("id"), "truth", "text")
+    found = rows_of.mapInArrow(extract, "id long, truth int, at array<int>, value array<float>").toArrow()
+    order = np.argsort(found["id"].to_numpy(), kind="stable")
+    at, value = ([np.asarray(x.values) for x in found[c]] for c in ("at", "value"))
+    sparse = [(at[i], value[i]) for i in order]
+    truth = found["truth"].to_numpy()[order]
     held = np.arange(len(truth)) % 4 == 3
     model = linear.fit([r for r, h in zip(sparse, held, strict=True) if not h], truth[~held]) if len(truth) else np.zeros(linear.SLOTS + 1)
     scores = np.asarray([linear.raw_score(model, *r) for r, h in zip(sparse, held, strict=True) if h])

@@ -61,7 +61,7 @@ def test_quality_awkward(awkward, empty, tables, spark):
     none = quality_rules.train(awkward, labels.where("doc_id < 0"))
     assert {r.probability for r in quality_rules.judge(awkward, *none).collect()} == {0.5}
     odd = spark.createDataFrame([(1, 1), (1, 0), (4, None), (None, 0), (20, 0), (21, 0)], "doc_id long, quality int")
-    assert quality_rules.sample(awkward.select("doc_id"), odd, "quality", 10).count() == 5
+    assert quality_rules.sample(awkward.select("doc_id", "text"), odd, "quality", 10).count() == 3
 
 
 def test_calibration_matches_frequencies():
@@ -71,18 +71,103 @@ def test_calibration_matches_frequencies():
     assert linear.calibrate(odds, labels) == pytest.approx([2, -1], abs=0.1)
 
 
-def test_cotraining_uses_the_pool():
-    """Content that the labelled rows do not show is learned through the other view's sure rows."""
-    one = lambda *at: (np.asarray(sorted(at), np.int32), np.ones(len(at), np.float32))
-    truth = np.asarray([0, 1] * 20)
-    content = [one(10 + t) for t in truth]
-    meta = [one(20 + t) for t in truth]
-    pool_truth = np.asarray([0, 1] * 60)
-    pool_content, pool_meta = [one(30 + t) for t in pool_truth], [one(20 + t) for t in pool_truth]
-    alone, _ = cotraining.exchange(truth, content, meta, pool_content, pool_meta, rounds=0)
-    taught, _ = cotraining.exchange(truth, content, meta, pool_content, pool_meta)
-    gap = lambda m: linear.raw_score(m, *one(31)) - linear.raw_score(m, *one(30))
-    assert abs(gap(alone)) < 1e-9 < 1 < gap(taught)
+def test_cotraining_uses_all_unlabelled_rows(spark):
+    """Content that the labelled rows do not show is learned through the other view's sure rows, wherever they are."""
+    rows = [(i, ("bright", "murky")[i % 2], ("good", "bad")[i % 2]) for i in range(40)]
+    rows += [(i, ("clear", "foggy")[i % 2], ("good", "bad")[i % 2]) for i in range(40, 4000)]
+    rows += [(None, "clear", "bad"), (5000, None, None)]
+    docs = spark.createDataFrame([(i, f"{t} page {i}", s, "en") for i, t, s in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    gap = lambda m: linear.raw_score(m, *linear.features_of("clear")) - linear.raw_score(m, *linear.features_of("foggy"))
+    alone, _ = cotraining.train(docs, labels, rounds=0)
+    taught, _ = cotraining.train(docs, labels)
+    assert gap(alone[0]) < 0.1 < 1 < gap(taught[0])
+
+
+def test_handed_rows_are_the_surest_of_all(spark):
+    scored = spark.createDataFrame([(i, i, i, 10, float(i - 50), float(50 - i)) for i in range(101)], "id long, body long, words long, bytes int, odds0 double, odds1 double")
+    first = cotraining.handed(scored, None, 0.5, 10)
+    got = {(r.id, r.truth, r.view) for r in first.collect()}
+    assert got == {(i, 1, 1) for i in range(96, 101)} | {(i, 0, 1) for i in range(5)} | {(i, 1, 0) for i in range(5)} | {(i, 0, 0) for i in range(96, 101)}
+    again = {(r.id, r.truth, r.view) for r in cotraining.handed(scored, first, 0.5, 10).collect()}
+    assert again == {(i, 1, 1) for i in range(91, 96)} | {(i, 0, 1) for i in range(5, 10)} | {(i, 1, 0) for i in range(5, 10)} | {(i, 0, 0) for i in range(91, 96)}
+
+
+def test_fit_sees_whole_texts_and_bounded_rows(spark):
+    """The feature that decides is the last of long texts; ids repeat far beyond the bound."""
+    many = " ".join(f"w{i}" for i in range(3000))
+    rows = [(i, f"{many} {i} {('splendid', 'dreadful')[i % 2]}") for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:50] + [(0, f"{many} {i} splendid") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    assert quality_rules.sample(docs, labels, "quality", 1000).count() == 400
+    assert quality_rules.sample(docs, labels, "quality", 30).count() == 30
+    model = quality_rules.train(docs, labels, rows=200)
+    got = quality_rules.judge(docs, *model).collect()
+    assert [r.probability >= 0.5 for r in got] == [r.doc_id % 2 == 0 for r in got]
+
+
+def test_sample_is_bounded_by_features(spark):
+    rows = spark.createDataFrame([(i, 1000) for i in range(10)] + [(10, None), (11, 10**6)], "id long, bytes int")
+    got = [r.id for r in quality_rules.bounded(rows, ["id"], 100, 2002 * 4).collect()]
+    assert got == [0, 1, 2, 3] and quality_rules.bounded(rows, ["id"], 100).count() == 12
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ x >> shift) * factor) & MASK
+    return x ^ x >> 31
+
+
+def plain_features(text):
+    """The content features without numpy: slot -> value."""
+    text, step = text or "", 0x9E3779B97F4A7C15
+    power = lambda bs: sum((b + 1) * pow(step, i, 1 << 64) for i, b in enumerate(bs))
+    words = [plain_mix((power(w.encode()) + 0x632BE59BD9B4E019 * len(w.encode())) & MASK) for w in WORD.findall(text)]
+    codes = words + [plain_mix((a * step + b) & MASK) for a, b in zip(words, words[1:], strict=False)]
+    for i in range(len(text) - 3):
+        a, b, c, d = map(ord, text[i : i + 4])
+        codes.append(plain_mix((((a * step + b) * step + c) * step + d) & MASK))
+    counts = Counter(c % 65536 for c in codes)
+    length = sum(np.log1p(n) ** 2 for n in counts.values()) ** 0.5
+    return {at: np.log1p(n) / length for at, n in counts.items()}
+
+
+def test_predictions_equal_plain_versions(tables):
+    docs, labels = tables
+    docs = docs.orderBy("doc_id").limit(60).cache()
+    model, weights = quality_rules.train(*tables)
+    got = {r.doc_id: r.probability for r in quality_rules.judge(docs, model, weights).collect()}
+    models, (by_content, by_meta, by_both) = cotraining.train(*tables, rounds=1)
+    scored = {r.doc_id: r for r in cotraining.score(docs, (models, (by_content, by_meta, by_both))).collect()}
+    odds = lambda m, found: sum(m[at] * v for at, v in found.items()) + m[-1]
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    for r in docs.collect():
+        found = plain_features(r.text)
+        assert got[r.doc_id] == pytest.approx(chance(weights[0] * odds(model, found) + weights[1]), abs=1e-4)
+        a = by_content[0] * odds(models[0], found) + by_content[1]
+        assert scored[r.doc_id].content_prob == pytest.approx(chance(a), abs=1e-4)
+        b = np.log(scored[r.doc_id].meta_prob / (1 - scored[r.doc_id].meta_prob))
+        assert scored[r.doc_id].quality_prob == pytest.approx(chance(by_both[0] * a + by_both[1] * b + by_both[2]), abs=1e-4)
+
+
+def test_character_runs_are_of_letters():
+    found = dict(zip(*linear.features_of("дом дома 😀 ünï"), strict=True))
+    assert found == pytest.approx(plain_features("дом дома 😀 ünï"), abs=1e-6)
+
+
+def test_accuracy_on_labels_that_were_held_back(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    seen, unseen = (labels.where(f"doc_id % 2 = {i}") for i in (0, 1))
+    truth = {r.doc_id: r.quality == 1 for r in unseen.collect() if r.quality is not None}
+    always = np.mean(list(truth.values()))
+    rules = {r.doc_id: r.probability >= 0.5 for r in quality_rules.judge(docs, *quality_rules.train(docs, seen)).collect()}
+    views = {r.doc_id: r.kept for r in cotraining.score(docs, cotraining.train(docs, seen)).collect()}
+    for got in (rules, views):
+        accuracy = np.mean([got[d] == q for d, q in truth.items()])
+        assert accuracy > max(0.93, always, 1 - always)
 
 
 def test_cotraining_accuracy_and_awkward(tables, awkward, empty):
