@@ -233,6 +233,7 @@ def test_base_spans_equal_brute_force(spark, awkward, empty):
         assert {f"{k}:{a}:{b}" for k, a, b in spans} >= set(base)
         added = [s for s in spans if "{}:{}:{}".format(*s) not in base]
         assert all(b <= c or d <= a for _, a, b in added for k, c, d in spans if (a, b) != (c, d))
+        assert (g.n_added, g.has_pii) == (len(added), bool(spans))
     assert pii.find(docs).count() == len(rows)
     assert pii.find(empty).count() == 0
 
@@ -244,6 +245,23 @@ def test_redaction_and_additions(spark):
     assert got == {-1: "reach [PHONE] today, é [EMAIL] [IP]", -2: None, -3: "clean text"}
 
 
+def test_counter_examples_of_every_kind(spark):
+    text = "a@b.com 1.2.3.4, 4111 1111 1111 1111, +44 20 7946 0958"
+    found = pii.checked(pii.proposals(spark.createDataFrame([(1, text)] * 3, "doc_id long, text string"))).where("base and valid")
+    assert {(r.kind, r.hit) for r in pii.lookalikes(found).collect()} == {("email", "a@bcom"), ("ip", "1.2.3"), ("card", "4111 1111"), ("phone", "+44 20 7")}
+    assert found.count() == 4 and not {"check_digit", "octets", "digits"} & set(pii.FEATURES)
+
+
+def test_additions_need_their_check_and_keep_apart(spark, monkeypatch):
+    """With every chance high enough: what overlaps a base span goes first, then what overlaps an earlier addition."""
+    always = pii.Model("0.0D", 0.0, 9.0, dict.fromkeys(pii.KINDS, 0.5))
+    monkeypatch.setattr(pii, "train", lambda found: always)
+    texts = ["10[.]0[.]0[.]1 10[.]0[.]0[.]999", "4111.1111.1111.1111 4111.1111.1111.1112", "a@b.com", "x+é@b.com", "(555) 555-1234 and 555-555-1234"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert got == {0: "ip:0:14", 1: "card:0:19", 2: "email:0:7", 3: "email:0:9", 4: "phone:0:14,phone:19:31"}
+
+
 def test_plan_has_no_python(awkward):
     plan = pii.find(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
