@@ -17,6 +17,7 @@ columns than those named are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,10 @@ META_SLOTS = 1 << 12
 def layout(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, float]:
     """Figures of a page's layout, each from 0 to about 1."""
     n = max(1, len(data))
-    lines = 1 + int((data == 10).sum())
-    letters = ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90)) | (data >= 128)
-    capitals, digits = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
-    marks = (data > 32) & (data < 127) & ~letters & ~digits
+    found = np.bincount(data, minlength=256)
+    lines, capitals, digits = 1 + int(found[10]), int(found[65:91].sum()), int(found[48:58].sum())
+    letters = capitals + int(found[97:123].sum()) + int(found[128:].sum())
+    marks = int(found[33:127].sum()) - capitals - int(found[97:123].sum()) - digits
     lengths = ends - starts
     return {
         "bytes": np.log1p(len(data)) / 20,
@@ -55,12 +56,17 @@ def layout(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str,
         "lines": np.log1p(lines) / 12,
         "line": np.log1p(len(data) / lines) / 14,
         "word": min(1.0, float(lengths.mean()) / 20) if len(lengths) else 0.0,
-        "capitals": capitals.sum() / max(1, letters.sum()),
-        "digits": digits.sum() / n,
-        "marks": marks.sum() / n,
+        "capitals": capitals / max(1, letters),
+        "digits": digits / n,
+        "marks": marks / n,
     }
 
 
+@lru_cache(maxsize=4096)
+def _slot(name: str) -> int:
+    return xxhash.xxh64_intdigest(name) % META_SLOTS
+
+
 def meta_features(values: list, figures: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """One slot for each column's value; each figure as twenty steps of which the neighbouring two are on."""
     names, weights = [], []
@@ -72,7 +78,7 @@ def meta_features(values: list, figures: dict[str, float]) -> tuple[np.ndarray,
         low = min(19, int(place))
         names += [f"{name}:{low}", f"{name}:{low + 1}"]
         weights += [1.0 - (place - low), place - low]
-    at = np.asarray([xxhash.xxh64_intdigest(n) % META_SLOTS for n in names])
+    at = np.asarray([_slot(n) for n in names])
     order, inverse = np.unique(at, return_inverse=True)
     summed = np.bincount(inverse, weights=weights)
     return order.astype(np.int32), (summed / np.sqrt(len(names))).astype(np.float32)

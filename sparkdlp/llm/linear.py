@@ -16,9 +16,10 @@ Rows = list[tuple[np.ndarray, np.ndarray]]
 
 def weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots and damped counts, scaled to length one."""
-    ordered = np.sort((codes & np.uint64(SLOTS - 1)).astype(np.uint16))
-    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(begins, len(ordered)))
+    ordered = np.sort((codes & np.uint64(SLOTS - 1)).astype(np.uint16), kind="stable")  # by radix
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)) if len(ordered) else np.zeros(0, np.int64)
+    begins = np.append(0, ends[:-1])[: len(ends)]
+    counts = ends - begins
     values = np.log1p(counts).astype(np.float32)
     length = float(np.sqrt((values * values).sum())) or 1.0
     return ordered[begins].astype(np.int32), values / np.float32(length)
