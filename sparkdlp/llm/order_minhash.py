@@ -1,20 +1,21 @@
 """Near-duplicate classes by order MinHash.
 
 A document's words make five-word shingles, each labelled with its occurrence number, so that a document holds
-a labelled shingle once. A sketch takes the two smallest labelled shingles under one hash function and keeps
-them in text order; two documents agree on a sketch about as often as their texts can be aligned. Three
-sketches make a band, twenty bands make the candidate buckets.
+a labelled shingle once. A sketch takes the three smallest labelled shingles under one hash function and keeps
+them in text order; two documents agree on a sketch about as often as their texts can be aligned. Each of forty
+sketches is a candidate bucket.
 
-Candidates are verified by banded alignment: the longest run of common labelled shingles in the same order in
-both texts (L), where partners may not be farther apart than a similar pair allows. The similarity is
-L / (n1 + n2 - L); a pair is linked from 0.8 on, and classes are the connected components of the links.
+Candidates are verified by banded alignment of their words: labelled shingles that are common and in the same order
+anchor it, and the words between two anchors are aligned by their longest common subsequence (together L), as long as
+no more words are left over than a similar pair allows. The similarity is L / (n1 + n2 - L) with n1 and n2 words; a
+pair is linked from 0.8 on, and classes are the connected components of the links.
 
 No bucket is collected or paired with itself. Texts with the same words are one node first. Then every bucket
 member is compared with the bucket's leader only (the member that meets most others), which settles groups of
 copies in linear work; members that end in another class than their leader get a new leader. Buckets that still
-hold several classes are compared in blocks, where only pairs go on whose minima in 512 bins of hash values let a
-similarity of 0.8 seem possible, three standard deviations allowed: first every member's most promising partner,
-then all pairs that are still in different classes.
+hold several classes are compared in blocks, where only pairs go on that have enough words in common: counts of words
+in 512 bins bound that number from above, so no link of a bucket is lost. First every member's most promising partner
+goes on, then all pairs that are still in different classes.
 
 Defined cases: texts of one to four words have one shingle of all of them; texts without a word, null included,
 are linked to nothing. Classes carry the lowest document id as class_id. Rows that repeat an id are treated by
@@ -40,15 +41,16 @@ from sparkdlp.llm.common import fresh, mix, same, saved, small, span_hashes, utf
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCH = 2
-ROWS = 3
-BANDS = 20
+SKETCH = 3
+BANDS = 40
 #: Rounds of comparing bucket members with leaders before the rest is compared in blocks.
 STAR_ROUNDS = 2
-#: Members in a block, bins of hash values, and the deviations below 0.8 that a pair of a block may seem to have.
+#: Members in a block, bins of words, and the highest count of a bin; at that count a bin bounds nothing.
 BLOCK = 256
 BINS = 512
-DEVIATIONS = 3.0
+FULL = 65535
+#: Words of texts that a verifying task keeps for the next pairs.
+HELD_WORDS = 1 << 20
 
 
 def words_hash(text: str | None) -> int | None:
@@ -57,13 +59,16 @@ def words_hash(text: str | None) -> int | None:
     return int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "little", signed=True) if words else None
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Labelled shingles of a text in order, as 64-bit codes."""
+def word_codes(text: str | None) -> np.ndarray:
+    """A 64-bit code of every word of a text in order."""
     data = utf8(text)
-    starts, ends = word_spans(data)
-    if not len(starts):
+    return span_hashes(data, *word_spans(data))
+
+
+def labelled(words: np.ndarray) -> np.ndarray:
+    """Labelled shingles of a sequence of words in order, as 64-bit codes."""
+    if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    words = span_hashes(data, starts, ends)
     size = min(SHINGLE, len(words))
     with np.errstate(over="ignore"):
         codes = np.zeros(len(words) - size + 1, dtype=np.uint64)
@@ -83,7 +88,12 @@ def shingles(text: str | None) -> np.ndarray:
     return codes
 
 
-def sketches(codes: np.ndarray, count: int = ROWS * BANDS) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
+    """Labelled shingles of a text in order."""
+    return labelled(word_codes(text))
+
+
+def sketches(codes: np.ndarray, count: int = BANDS) -> np.ndarray:
     """For each hash function, a code of the smallest labelled shingles in text order."""
     seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out = np.empty(count, dtype=np.uint64)
@@ -104,40 +114,80 @@ def sketches(codes: np.ndarray, count: int = ROWS * BANDS) -> np.ndarray:
     return out
 
 
+def common(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of bits for each step."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for x in b:
+        if hit := row & places.get(x, 0):
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def rising(to: np.ndarray) -> np.ndarray:
+    """Places of a longest rising run."""
+    if np.all(to[1:] > to[:-1]):
+        return np.arange(len(to))
+    tails: list[int] = []
+    ends: list[int] = []
+    before = np.full(len(to), -1)
+    for at, x in enumerate(to.tolist()):
+        i = bisect_left(tails, x)
+        tails[i : i + 1] = [x]
+        ends[i : i + 1] = [at]
+        before[at] = ends[i - 1] if i else -1
+    out, at = [], ends[-1]
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return np.asarray(out[::-1])
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two labelled shingle sequences by banded alignment; 0 where it is below `least`."""
+    """Similarity of two sequences of words by banded alignment; 0 where it is below `least`."""
     if not len(a) or not len(b):
         return 0.0
+    if (len(b), b.tobytes()) < (len(a), a.tobytes()):
+        a, b = b, a  # the same anchors, whichever text comes first
     total = len(a) + len(b)
-    need = least * total / (1 + least)
-    if min(len(a), len(b)) < need - 1e-9:
+    band = total - 2 * least * total / (1 + least) + 1e-9  # words that may be left over
+    if len(b) - len(a) > band:
         return 0.0
-    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    to = to[np.argsort(at)]
-    at = np.sort(at)
-    band = total - 2 * need + 1e-9
-    inside = np.abs(at - to) <= band
-    to = to[inside]
-    if len(to) < need - 1e-9:
+    one, other = (np.unique(x, return_counts=True) for x in (a, b))
+    _, i, j = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
+    if total - 2 * int(np.minimum(one[1][i], other[1][j]).sum()) > band:
         return 0.0
-    if np.all(to[1:] > to[:-1]):
-        run = len(to)
-    else:
-        tails: list[int] = []
-        for x in to.tolist():
-            i = bisect_left(tails, x)
-            tails[i : i + 1] = [x]
-        run = len(tails)
-    found = run / (total - run)
-    return found if found >= least - 1e-12 else 0.0
-
-
-def bin_minima(codes: np.ndarray) -> np.ndarray:
-    """One byte of the smallest code in each of BINS bins; empty bins are 0."""
-    out = np.zeros(BINS, dtype=np.uint8)
-    ordered = np.sort(codes)[::-1]
-    out[(ordered % np.uint64(BINS)).astype(np.int64)] = (ordered >> np.uint64(11)).astype(np.uint8) | np.uint8(1)
-    return out
+    at = to = np.zeros(0, dtype=np.int64)
+    if len(a) >= SHINGLE:
+        _, at, to = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+        order = np.argsort(at)
+        at, to = at[order], to[order]
+        inside = np.abs(at - to) <= band
+        at, to = at[inside], to[inside]
+        if len(at):
+            run = rising(to)
+            at, to = at[run], to[run]
+    # The first words of common shingles are partners; what lies between two of them is aligned word by word.
+    begin_a, end_a = np.append(0, at + 1), np.append(at, len(a))
+    begin_b, end_b = np.append(0, to + 1), np.append(to, len(b))
+    wide_a, wide_b = end_a - begin_a, end_b - begin_b
+    spare = band - float(np.abs(wide_a - wide_b).sum())
+    if spare < 0:
+        return 0.0
+    for x in np.flatnonzero((wide_a > 0) & (wide_b > 0)):
+        left, right = a[begin_a[x] : end_a[x]].tolist(), b[begin_b[x] : end_b[x]].tolist()
+        spare -= 2 * (min(len(left), len(right)) - common(left, right))
+        if spare < 0:
+            return 0.0
+    run = round((total - band + spare) / 2)
+    return run / (total - run)
+
+
+def bin_counts(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each of BINS bins, FULL at most."""
+    return np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), FULL).astype(np.uint16)
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +198,15 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for body in batch.column("text"):
                 text = body.as_py()
                 nodes.append(words_hash(text))
-                codes = shingles(text)
-                sizes.append(len(codes))
-                if not len(codes):
+                words = word_codes(text)
+                sizes.append(len(words))
+                if not len(words):
                     bands.append(nothing)
                     marks.append(b"")
                     continue
-                grouped = sketches(codes).reshape(BANDS, ROWS)
-                code = np.arange(BANDS, dtype=np.uint64)
-                for row in grouped.T:
-                    code = mix(code * np.uint64(0x9E3779B97F4A7C15) + row)
+                code = mix(sketches(labelled(words)) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64))
                 bands.append(code.view(np.int64))
-                marks.append(code.astype(np.uint32).tobytes() + bin_minima(codes).tobytes())
+                marks.append(code.astype(np.uint32).tobytes() + bin_counts(words).tobytes())
             arrays = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), *arrays], ["id", "body", "node", "n", "bands", "marks"])
 
@@ -177,9 +224,10 @@ def _verify(least: float):
 
         def codes(node: int, packed: pa.BinaryScalar) -> np.ndarray:
             if node not in seen:
-                if len(seen) >= 32:
+                words = word_codes(zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
+                while seen and len(words) + sum(map(len, seen.values())) > HELD_WORDS or len(seen) >= 32:
                     seen.pop(next(iter(seen)))
-                seen[node] = shingles(zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
+                seen[node] = words
             return seen[node]
 
         for batch in batches:
@@ -237,7 +285,7 @@ def _possible(best: bool):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(len(rows), -1)
-        bands, bins = np.ascontiguousarray(marks[:, : 4 * BANDS]).view(np.uint32), marks[:, 4 * BANDS :]
+        bands, bins = np.ascontiguousarray(marks[:, : 4 * BANDS]).view(np.uint32), np.ascontiguousarray(marks[:, 4 * BANDS :]).view(np.uint16)
         node, label, n, part = (rows[c].to_numpy() for c in ("node", "label", "n", "part"))
         band, apart = rows["band"].iat[0], rows["i"].iat[0] != rows["j"].iat[0]
         a, b = [], []
@@ -250,14 +298,12 @@ def _possible(best: bool):
             near = np.flatnonzero(fit) + x + 1
             near = near[(bands[near] == bands[x]).argmax(axis=1) == band]
             if len(near):
-                filled = (bins[near] != 0) | (bins[x] != 0)
-                equal = ((bins[near] == bins[x]) & filled).sum(axis=1)
-                total = filled.sum(axis=1)
-                # The filled bins are a draw without replacement from all shingles of a pair of that similarity.
-                every = np.maximum(total, (n[near] + n[x]) / (1 + SIMILARITY))
-                spread = np.sqrt(SIMILARITY * (1 - SIMILARITY) * total * (1 - total / every))
-                hope = equal >= SIMILARITY * total - DEVIATIONS * spread - 1
-                near, share = near[hope], (equal / total)[hope]
+                # The counts of a bin bound how many of its words both texts can have in common.
+                least = np.minimum(bins[near], bins[x])
+                share = least.sum(axis=1, dtype=np.int64) / (n[near].astype(np.int64) + n[x])
+                share[(least == FULL).any(axis=1)] = 1.0
+                hope = share >= SIMILARITY / (1 + SIMILARITY) - 1e-9
+                near, share = near[hope], share[hope]
                 if best and len(near):
                     near = near[share.argmax()][None]
             a += [node[x]] * len(near)
@@ -277,7 +323,7 @@ def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Members of buckets that more than one node is in, and how often they meet another.
     members = saved(buckets.join(crowded, "bucket").select("bucket", "band", "node", "n", "members"))
     met = members.groupBy("node").agg(F.sum("members").alias("met"))
-    rest = members.join(met, "node").select("bucket", "node", "met")
+    rest = members.join(met, "node").select("bucket", "node", "met", "n")
     nodes, edges, tried = own.select("node", "id", "body"), None, None
     labels = own.select("node", F.col("node").alias("label"))
 
@@ -294,12 +340,14 @@ def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     for _ in range(STAR_ROUNDS):
         rest = saved(rest)
-        first = rest.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
+        first = rest.groupBy("bucket").agg(F.max(F.struct("met", "node", "n")).alias("first"))
+        first = first.select("bucket", F.col("first.node").alias("leader"), F.col("first.n").alias("n_leader"))
         led = saved(rest.join(first, "bucket"))
-        pairs = led.where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        fit = F.least("n", "n_leader") >= SIMILARITY * F.greatest("n", "n_leader")
+        pairs = led.where((F.col("node") != F.col("leader")) & fit).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         labels = settle(pairs.distinct())
         led = led.join(labels, "node").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader")
-        rest = led.where(F.col("label") != F.col("led")).select("bucket", "node", "met")
+        rest = led.where(F.col("label") != F.col("led")).select("bucket", "node", "met", "n")
     for best in (True, False):
         # Buckets whose members are still in several classes are compared in blocks.
         named = members.join(labels, "node")
@@ -316,9 +364,9 @@ def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every row doc_id, body (hash of the text), class_id, class_size, n_links of its text to others, and label.
+    """For every row doc_id, body (hash of the text), class_id, class_size, n_links and label.
 
-    The label tells classes apart even where ids repeat; it is null without words.
+    n_links counts the links that were verified for its text; pairs within a settled class need none. The label tells classes apart even where ids repeat; it is null without words.
     """
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     kinds = texts.select("id", "body").schema

@@ -9,7 +9,7 @@ from tests.llm.conftest import prose
 
 def brute_classes(rows):
     """Class (lowest id) of each row by comparing all pairs; texts without words stay alone."""
-    codes = [order_minhash.shingles(t) for _, t in rows]
+    codes = [order_minhash.word_codes(t) for _, t in rows]
     group = list(range(len(rows)))
 
     def top(i):
@@ -54,15 +54,64 @@ def test_chains_and_near_misses_equal_brute_force(spark):
 
 def test_alignment_is_ordered():
     words = prose(200, 3).split()
-    whole = order_minhash.shingles(" ".join(words))
-    swapped = order_minhash.shingles(" ".join(words[100:] + words[:100]))
+    codes = lambda own: order_minhash.word_codes(" ".join(own))
+    whole = codes(words)
     assert order_minhash.aligned(whole, whole) == 1
-    assert order_minhash.aligned(whole, swapped) == 0
-    assert order_minhash.aligned(whole, order_minhash.shingles(" ".join(words[:190]))) > 0.9
+    assert order_minhash.aligned(whole, codes(words[100:] + words[:100])) == 0
+    assert order_minhash.aligned(whole, codes(words[:190])) == 190 / 200
     repeated = order_minhash.shingles("a b c d e " * 50)
     assert len(set(repeated.tolist())) == len(repeated)
 
 
+def plain_similarity(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_alignment_against_the_longest_common_subsequence():
+    rng, exact = random.Random(7), 0
+    for n in (3, 9, 10, 40, 100, 300):
+        for _ in range(40):
+            a = [f"w{rng.randrange(60)}" for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randint(0, max(1, n // 7))):
+                at, way = rng.randrange(len(b)), rng.randrange(3)
+                b[at : at + (way < 2)] = [f"w{rng.randrange(60)}"] if way else []
+                b = b or ["w"]
+            codes = [order_minhash.word_codes(" ".join(x)) for x in (a, b)]
+            got, most = order_minhash.aligned(*codes), plain_similarity(a, b)
+            assert got == order_minhash.aligned(*codes[::-1]) and (got == 0 or 0.8 - 1e-9 <= got <= most + 1e-9)
+            exact += got == (most if most >= 0.8 else 0)
+    assert exact >= 236  # of 240: anchors may cost a word
+
+
+def test_changed_words_are_found(spark):
+    """Pairs with one word in ten and fewer substituted are linked: more than nine in ten of them."""
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((40, 100, 300)))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) * rng.choice((2, 4, 7, 10)) // 100)):
+            other[at] = f"new{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = dict(got_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(got[str(2 * i + 1)] == str(2 * i) for i in range(300)) >= 0.95 * 300
+    assert all(int(c) in (int(d), int(d) - 1) for d, c in got.items())
+
+
+def test_bins_bound_the_common_words():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ([f"w{rng.randrange(90)}" for _ in range(rng.randint(1, 200))] for _ in range(2))
+        shared = sum(min(a.count(x), b.count(x)) for x in set(a))
+        bound = np.minimum(*(order_minhash.bin_counts(order_minhash.word_codes(" ".join(x))) for x in (a, b))).sum()
+        assert bound >= shared
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     # Ids 20 and 21 repeat: classes are told apart by label, so compare ids only where they are unique.

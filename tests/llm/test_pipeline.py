@@ -35,7 +35,7 @@ def test_stages_one_by_one(spark, tmp_path):
             assert set(rows_after) == set(rows_before)
             assert all(r.n_chars == len(r.text) or r.text == rows_before[d].text for d, r in rows_after.items())
         if name == "minhash_near_dedup":
-            codes = {d: order_minhash.shingles(r.text) for d, r in rows_after.items()}
+            codes = {d: order_minhash.word_codes(r.text) for d, r in rows_after.items()}
             ids = sorted(codes)
             assert not [1 for i in ids for j in ids if i < j and len(codes[i]) and order_minhash.aligned(codes[i], codes[j]) > 0]
         if name == "decontamination":
@@ -89,4 +89,4 @@ def test_awkward_documents_pass_through(spark, awkward):
 def test_sketches_of_short_texts(n):
     codes = order_minhash.shingles(prose(n, 3))
     assert len(codes) == max(1, n - 4)
-    assert order_minhash.sketches(codes).shape == (60,) and len(np.unique(codes)) == len(codes)
+    assert order_minhash.sketches(codes).shape == (order_minhash.BANDS,) and len(np.unique(codes)) == len(codes)
