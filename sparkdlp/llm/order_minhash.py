@@ -51,6 +51,8 @@ BINS = 512
 FULL = 65535
 #: Words of texts that a verifying task keeps for the next pairs.
 HELD_WORDS = 1 << 20
+#: Rows that a sketching task answers at a time.
+STEP = 1000
 
 
 def words_hash(text: str | None) -> int | None:
@@ -193,7 +195,7 @@ def bin_counts(words: np.ndarray) -> np.ndarray:
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
             nodes, sizes, bands, marks = [], [], [], []
             for body in batch.column("text"):
                 text = body.as_py()
@@ -243,7 +245,8 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = small(saved(nodes.join(ends, "node").select("node", "id", "body")), 48)
     own = texts.join(wanted, same(texts, wanted, [("id", "id"), ("body", "body")])).select("node", "text").dropDuplicates(["node"])
-    own = own.mapInArrow(_packed, "node long, packed binary")
+    # Saved, so that the texts are packed once and the tasks that verify run one Python worker each.
+    own = saved(own.mapInArrow(_packed, "node long, packed binary"))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
     both = both.join(own.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
     checked = both.select("a", "b", "packed_a", "packed_b").mapInArrow(_verify(least), "a long, b long, similarity double")
