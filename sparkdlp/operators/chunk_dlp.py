@@ -298,17 +298,15 @@ def chunk_lossless(chunks: DataFrame, released: DataFrame, cell: int = 4096) ->
 
 def split_into_chunks(texts: DataFrame, size: int, text: str = "text") -> DataFrame:
     """Texts as logs of ``size``-character chunks with a done chunk at the end."""
-    starts = F.sequence(F.lit(0), F.ceil(F.length(text) / size).cast("int"))
-    pieces = texts.select(
-        "request_id", text, F.posexplode(starts).alias("_p", "_i")
-    ).withColumn("_last", F.col("_i") * size >= F.length(text))
+    # One walk over the text; the pieces hold a character at least, the one behind them none.
+    cut = F.concat(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), F.array(F.lit("")))
+    pieces = texts.select("request_id", F.posexplode(cut).alias("_i", "text_delta"))
+    last = F.col("text_delta") == ""
     return pieces.select(
         "request_id",
         F.col("_i").cast("bigint").alias("seq"),
-        F.when(F.col("_last"), F.lit(""))
-        .otherwise(F.substring(F.col(text), F.col("_i") * size + 1, F.lit(size)))
-        .alias("text_delta"),
-        F.col("_last").alias("is_control"),
-        F.col("_last").alias("is_done"),
+        "text_delta",
+        last.alias("is_control"),
+        last.alias("is_done"),
         F.lit(None).cast("string").alias("finish_reason"),
     )

@@ -14,8 +14,6 @@ folded again from its now known start.  Results are the same row for row.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from sparkdlp.config import GuardConfig
+from sparkdlp.sources.tables import saved
 
 CHUNK_ROWS = 1_000_000
 
@@ -122,22 +121,6 @@ def micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """The rows as a table below the shared checkpoint folder, so that every run of the plan sees the same ones."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="rate-limit-")
-        context.setCheckpointDir(folder)
-    path = f"{context.getCheckpointDir()}/arrivals-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _cut(arrivals: DataFrame, chunk_rows: int) -> DataFrame:
     """Adds ``_chunk``: 0, or for keys with over ``chunk_rows`` arrivals a stretch of them in order.
 
@@ -149,7 +132,7 @@ def _cut(arrivals: DataFrame, chunk_rows: int) -> DataFrame:
     """
     whole = {"_chunk": F.lit(0), "_split": F.lit(False)}
     counted = arrivals.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    heavy = _saved(counted.where(F.col("_n") > chunk_rows))
+    heavy = saved(counted.where(F.col("_n") > chunk_rows), "arrivals")
     rows = heavy.agg(F.sum("_n")).first()[0]
     if not rows:
         return arrivals.withColumns(whole)
@@ -157,8 +140,8 @@ def _cut(arrivals: DataFrame, chunk_rows: int) -> DataFrame:
     ordered = arrivals.join(heavy, "_key", "left_semi").repartitionByRange(
         -(-rows // chunk_rows), "_key", "_us", "_tie"
     )
-    split = _saved(
-        ordered.withColumns({"_chunk": F.spark_partition_id(), "_split": F.lit(True)})
+    split = saved(
+        ordered.withColumns({"_chunk": F.spark_partition_id(), "_split": F.lit(True)}), "arrivals"
     )
     return split.unionByName(arrivals.join(heavy, "_key", "left_anti").withColumns(whole))
 

@@ -1,4 +1,4 @@
-"""From the raw logs to one outcome row per request, in one plan."""
+"""From the raw logs to one outcome row per request."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from sparkdlp.plans import guard
 from sparkdlp.sources.chunk_log import parse_chunks
 from sparkdlp.sources.request_log import parse_requests
 from sparkdlp.sources.responses import parse_responses
+from sparkdlp.sources.tables import saved
 
 #: What a body says goes before columns of the log by these names.
 _FROM_BODY = ("raw", "model", "messages", "stream", "temperature", "top_p", "max_tokens", "stop", "valid")
@@ -40,5 +41,6 @@ def outcomes(
     # Who only counts arrivals reads no body; who reads messages cuts each body once.
     parts = content_parts(message_explode(settle(parsed.select("request_id", "valid", "messages"), "valid", "messages").where("valid")))
     arrivals = parsed.select(*[c for c in known.columns if c != body], "stream", "valid")
-    chunks = None if chunk_lines is None else parse_chunks(chunk_lines)
+    # The scan reads the chunks several times over; the lines are parsed once, into a table.
+    chunks = None if chunk_lines is None else saved(parse_chunks(chunk_lines), "chunks")
     return guard.outcomes(arrivals, parts, keys, parse_responses(responses), cfg, chunks, scorer)

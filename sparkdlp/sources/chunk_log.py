@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdlp.functions.text import strip
+from sparkdlp.functions.text import settle, strip
 
 CHAT_CHUNK = (
     "choices array<struct<delta:struct<content:string>,finish_reason:string>>"
@@ -36,10 +36,10 @@ def _chunks(parsed: DataFrame, text: Column, done: Column, finish: Column) -> Da
 
 
 def _json_lines(lines: DataFrame, schema: str) -> DataFrame:
-    """Payload lines that hold JSON; others carry no chunk and are dropped."""
-    payload = lines.withColumn("_data", _payload(F.col("line"))).where(F.col("_data") != "")
+    """Payload lines that hold JSON; others carry no chunk and are dropped. A line is stripped and parsed once."""
+    payload = settle(lines.withColumn("_data", _payload(F.col("line"))), "_data").where(F.col("_data") != "")
     known = (F.col("_data") == "[DONE]") | F.try_parse_json("_data").isNotNull()
-    return payload.where(known).withColumn("_json", F.from_json("_data", schema))
+    return settle(payload.where(known).withColumn("_json", F.from_json("_data", schema)), "_json")
 
 
 def _chat(parsed: DataFrame) -> tuple[Column, Column, Column]:
