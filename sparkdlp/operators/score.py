@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,18 +141,26 @@ def softmax_probability(logits: Column) -> Column:
 
 
 Scorer = Callable[[pd.Series], pd.Series]
+#: Texts that a scorer is given at a time; a batch of Arrow holds up to ten times as many.
+STEP = 1000
 
 
 def model_score(
     df: DataFrame, factory: Callable[[], Scorer], text: str = "text", out: str = "score"
 ) -> DataFrame:
-    """Scores by a model that ``factory`` loads once in each task."""
+    """Scores by a model that ``factory`` loads once in each task and that is given ``STEP`` texts at most.
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Texts stay in Arrow's buffers until their turn, so a task holds one batch and the Python texts of one step.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = factory()
-        for texts in batches:
-            yield scorer(texts.fillna(""))
+        for batch in batches:
+            for at in range(0, len(batch), STEP):
+                texts = batch.slice(at, STEP).to_pandas().fillna("")
+                yield pa.Array.from_pandas(scorer(texts), type=pa.float64(), safe=False)
+
+    run = F.arrow_udf(run, "double")
 
     return df.withColumn(out, run(F.col(text)))
 

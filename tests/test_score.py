@@ -138,3 +138,14 @@ def test_threshold_curve_equals_counting(spark):
     none = score.threshold_curve(df.where("label = false")).collect()
     assert none and all(r.recall is None and r.precision in (0.0, None) for r in none)
     assert score.threshold_curve(df.limit(0)).count() == 0
+
+
+def test_a_scorer_gets_few_texts_at_a_time(spark):
+    def factory():
+        return lambda texts: pd.Series([None if t == "" else float(len(texts)) for t in texts])
+
+    docs = spark.range(3 * score.STEP + 5).select("id", F.when(F.col("id") % 7 > 0, F.lit("x")).alias("text")).coalesce(1)
+    got = score.model_score(docs, factory).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(3 * score.STEP + 5))
+    assert {r.score for r in got} == {float(score.STEP), 5.0, None}
+    assert all((r.score is None) == (r.text is None) for r in got)
