@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
-from sparkdlp.llm.common import fresh, mix, same, saved, small, span_hashes, utf8, word_spans
+from sparkdlp.llm.common import few, fits, fresh, mix, same, saved, small, span_hashes, utf8, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -53,6 +53,8 @@ FULL = 65535
 HELD_WORDS = 1 << 20
 #: Rows that a sketching task answers at a time.
 STEP = 1000
+#: Rows of small tables, of sketches and of texts that are worth a task; fewer are put together once they are counted.
+ROWS, SKETCHES, TEXTS = 50_000, 4000, 1000
 
 
 def words_hash(text: str | None) -> int | None:
@@ -243,10 +245,12 @@ def _verify(least: float):
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Those saved pairs (a, b: nodes) whose texts align. texts: id, body, text; nodes: node and the id, body of a text."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = small(saved(nodes.join(ends, "node").select("node", "id", "body")), 48)
+    wanted = saved(nodes.join(ends, "node").select("node", "id", "body"))
+    count = wanted.count()
+    wanted = F.broadcast(wanted) if fits(count, 48) else wanted
     own = texts.join(wanted, same(texts, wanted, [("id", "id"), ("body", "body")])).select("node", "text").dropDuplicates(["node"])
     # Saved, so that the texts are packed once and the tasks that verify run one Python worker each.
-    own = saved(own.mapInArrow(_packed, "node long, packed binary"))
+    own = saved(few(own, count, TEXTS).mapInArrow(_packed, "node long, packed binary"))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
     both = both.join(own.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
     checked = both.select("a", "b", "packed_a", "packed_b").mapInArrow(_verify(least), "a long, b long, similarity double")
@@ -255,14 +259,17 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node with an edge: the smallest of its component. Min-label rounds with pointer jumps."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    linked = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+    most = 2 * edges.count()
+    both = saved(few(edges.select("a", "b").union(edges.select("b", "a")).distinct(), most, ROWS))
+    linked = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
+    linked = saved(few(linked, most, ROWS))
     while True:
         known = linked.select(F.col("node").alias("b"), F.col("label").alias("far"))
         near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("far"))
         step = linked.join(near, "node").select("node", "label", F.least("label", "far").alias("next"))
         jump = linked.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
-        step = saved(step.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("beyond", "next")).alias("next")))
+        step = step.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("beyond", "next")).alias("next"))
+        step = saved(few(step, most, ROWS))
         changed = step.where(F.col("next") != F.col("label")).limit(1).count()
         linked = step.select("node", F.col("next").alias("label"))
         if not changed:
@@ -273,7 +280,8 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The labels of all nodes after more edges. Only edges between different labels count, each label being one node."""
     ends = edges.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
     ends = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
-    ends = saved(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    ends = ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    ends = saved(few(ends, edges.count(), ROWS))
     if not ends.limit(1).count():
         return labels
     found = components(ends).select(F.col("node").alias("label"), F.col("label").alias("low"))
@@ -320,42 +328,44 @@ def _possible(best: bool):
 def links(texts: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links and the label of every node. texts: id, body, text; sketched: rows of _sketch_rows with a node."""
     own = sketched.groupBy("node").agg(F.first(F.struct("id", "body", "n", "bands", "marks")).alias("one"))
-    own = saved(own.select("node", "one.*"))
+    count = sketched.count()
+    own = saved(few(own.select("node", "one.*"), count, SKETCHES))
     buckets = own.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     # Members of buckets that more than one node is in, and how often they meet another.
-    members = saved(buckets.join(crowded, "bucket").select("bucket", "band", "node", "n", "members"))
+    members = saved(few(buckets.join(crowded, "bucket").select("bucket", "band", "node", "n", "members"), BANDS * count, ROWS))
+    most = members.count()
     met = members.groupBy("node").agg(F.sum("members").alias("met"))
     rest = members.join(met, "node").select("bucket", "node", "met", "n")
     nodes, edges, tried = own.select("node", "id", "body"), None, None
     labels = own.select("node", F.col("node").alias("label"))
 
-    def settle(pairs: DataFrame) -> DataFrame:
-        """Verifies the pairs that were not tried yet and gives the labels that follow."""
+    def settle(pairs: DataFrame, most: int | None = None) -> DataFrame:
+        """Verifies the pairs, `most` at most, that were not tried yet and gives the labels that follow."""
         nonlocal edges, tried
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
+        pairs = saved(few(pairs, most, ROWS) if most is not None else pairs)
         tried = pairs if tried is None else saved(tried.union(pairs))
         more = verified(pairs, texts, nodes)
         edges = more if edges is None else saved(edges.union(more))
         return merged(labels, more)
 
     for _ in range(STAR_ROUNDS):
-        rest = saved(rest)
+        rest = saved(few(rest, most, ROWS))
         first = rest.groupBy("bucket").agg(F.max(F.struct("met", "node", "n")).alias("first"))
         first = first.select("bucket", F.col("first.node").alias("leader"), F.col("first.n").alias("n_leader"))
-        led = saved(rest.join(first, "bucket"))
+        led = saved(few(rest.join(first, "bucket"), most, ROWS))
         fit = F.least("n", "n_leader") >= SIMILARITY * F.greatest("n", "n_leader")
         pairs = led.where((F.col("node") != F.col("leader")) & fit).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        labels = settle(pairs.distinct())
+        labels = settle(pairs.distinct(), most)
         led = led.join(labels, "node").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader")
         rest = led.where(F.col("label") != F.col("led")).select("bucket", "node", "met", "n")
     for best in (True, False):
         # Buckets whose members are still in several classes are compared in blocks.
         named = members.join(labels, "node")
         several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        several = saved(several.select("bucket"))
+        several = saved(few(several.select("bucket"), most, ROWS))
         if not several.limit(1).count():
             break
         mixed = named.join(several, "bucket").join(own.select("node", "marks"), "node")

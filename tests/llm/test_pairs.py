@@ -254,3 +254,26 @@ def test_ids_keep_their_type(spark):
     got = decontaminate.overlaps(docs, items)
     assert sorted((str(r.doc_id), r.item_id) for r in got.collect()) == [("None", "q-1"), ("a", "q-1")]
     assert sorted((r.doc_id, str(r.text)) for r in decontaminate.keep_clean(docs, items).collect()) == [("a", "other text"), ("b", "clean"), ("c", "None")]
+
+
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    edges = spark.range(0, 60, 2).selectExpr("id a", "id + 1 b").union(spark.createDataFrame([(0, 2)], "a long, b long"))
+    monkeypatch.setitem(order_minhash.__dict__, "saved", saved := spy(order_minhash.saved))
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.node: r.label for r in order_minhash.components(edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: 0 if i < 4 else i - i % 2 for i in range(60)}
+    assert max(saved.partitions) <= 2 * spark.sparkContext.defaultParallelism < 97
+
+
+def spy(save):
+    def run(df):
+        run.partitions.append(df.rdd.getNumPartitions())
+        return save(df)
+
+    run.partitions = []
+    return run
