@@ -78,6 +78,32 @@ def test_run_equals_the_stages(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_workers_are_given_small_batches(spark, monkeypatch):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, large = spark.conf.get(setting), spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def see(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            large.add(int(batch.nbytes > 5 << 20))
+            yield batch
+
+    monkeypatch.setattr(lang_id, "keep_known", lambda docs: docs.mapInArrow(see, docs.schema))
+    try:
+        spark.conf.unset(setting)
+        docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 600) AS text")  # 20 MB in one partition
+        for name, stage in corpus_pipeline.STAGES[:1]:
+            assert name == "language_id"
+            stage(spark, docs, SF).write.format("noop").mode("overwrite").save()
+        assert seen.value == 3000 and large.value == 0
+        # After a whole run the session has its own bound again.
+        monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:1])
+        spark.conf.set(setting, "7m")
+        assert corpus_pipeline.run(spark, SF).count() and spark.conf.get(setting) == "7m"
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_awkward_documents_pass_through(spark, awkward):
     docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
