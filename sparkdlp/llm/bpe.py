@@ -4,7 +4,8 @@ A rolling hash over the bytes cuts every text into chunks; cuts follow the conte
 chunks wherever they stand. What of a chunk lies between its first and last safe boundary is its body. A safe
 boundary is a blank or line break right after a visible ASCII character: no pre-token reaches across it, so a
 body is encoded the same in any text. Bodies that occur more than once are encoded once, in one of their texts,
-and joined back by hash. The joins between chunks (everything outside shared bodies, from safe boundary to safe
+and joined back by hash. Bitmaps of bounded size tell where these bodies are and which texts have any, so only such
+texts are shuffled; what a bitmap takes for one of them by chance is encoded like any other. The joins between chunks (everything outside shared bodies, from safe boundary to safe
 boundary) are repaired by re-encoding; both ends lie on safe boundaries, so the ids agree exactly with those of
 the whole text.
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdlp.llm.common import fits, mix, same, saved, utf8
+from sparkdlp.llm.common import mix, same, saved, utf8
 
 #: Fixed value: how byte-level BPE cuts a text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,6 +39,10 @@ CHUNK_BITS = 10
 MIN_CHUNK = 256
 MIN_BODY = 96
 
+#: Bits of a bitmap, 16 MB at most; a smaller one has 16 for each member. Beyond some millions of members more others pass.
+MARK_BITS = 1 << 27
+_ROW_BITS = 1 << 15  # of one row of Spark's bitmap functions
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -110,36 +115,50 @@ def bodies(data: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def hashed_bodies(data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Start, end and the two halves of the hash of each body."""
+    for a, b in bodies(data):
+        digest = xxhash.xxh3_128_digest(data[a:b].data)
+        yield a, b, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         which, start, end, one, two = [], [], [], [], []
         for row, text in enumerate(batch.column("text")):
-            data = utf8(text.as_py())
-            for a, b in bodies(data):
-                digest = xxhash.xxh3_128_digest(data[a:b].data)
+            for a, b, h1, h2 in hashed_bodies(utf8(text.as_py())):
                 which.append(row)
                 start.append(a)
                 end.append(b)
-                one.append(int.from_bytes(digest[:8], "little", signed=True))
-                two.append(int.from_bytes(digest[8:], "little", signed=True))
+                one.append(h1)
+                two.append(h2)
         at = pa.array(which, pa.int64())
         arrays = [batch.column("doc").take(at), batch.column("body").take(at), *(pa.array(x, pa.int64()) for x in (start, end, one, two))]
         yield pa.RecordBatch.from_arrays(arrays, ["doc", "body", "start", "end", "h1", "h2"])
 
 
-def _encode_spans(vocabulary) -> Callable:
+def _width(encoder: tiktoken.Encoding) -> type:
+    """How the ids of bodies are kept between the stages."""
+    return np.uint16 if encoder.max_token_value < 1 << 16 else np.uint32
+
+
+def _encode_owned(vocabulary, marks) -> Callable:
+    """h1, h2 and ids of the bodies whose place is in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or load(vocabulary.value)
+            encoder, bits = encoder or load(vocabulary.value), marks.value
             one, two, found = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                data = utf8(text.as_py())
-                for span in spans.as_py():
-                    ids = ids_of(encoder, data[span["start"] : span["end"]].tobytes().decode())
-                    one.append(span["h1"])
-                    two.append(span["h2"])
-                    found.append(ids.tobytes())
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                data, done = utf8(text.as_py()), set()
+                for a, b, h1, h2 in hashed_bodies(data):
+                    slot = (key ^ h1) & (8 * len(bits) - 1)
+                    if bits[slot >> 3] >> (slot & 7) & 1 and (h1, h2) not in done:
+                        done.add((h1, h2))
+                        one.append(h1)
+                        two.append(h2)
+                        found.append(ids_of(encoder, data[a:b].tobytes().decode()).astype(_width(encoder)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(found, pa.binary())], ["h1", "h2", "ids"])
 
     return run
@@ -157,7 +176,7 @@ def repaired(encoder: tiktoken.Encoding, text: str, shared: list[tuple[int, int,
         at = end
     if at < len(data):
         out.append(ids_of(encoder, data[at:].tobytes().decode()))
-    return np.concatenate(out)
+    return np.concatenate(out).astype(np.uint32)
 
 
 def _assemble(vocabulary, finish: str) -> Callable:
@@ -168,7 +187,8 @@ def _assemble(vocabulary, finish: str) -> Callable:
             counts, values, coded, decoded = [], [], [], []
             spans = batch.column("shared") if "shared" in batch.schema.names else [None] * batch.num_rows
             for text, shared in zip(batch.column("text"), spans, strict=True):
-                known = {s["start"]: (s["start"], s["end"], np.frombuffer(s["ids"], dtype=np.uint32)) for s in (shared.as_py() if shared else None) or []}
+                # A text without shared bodies has a null here, whose Arrow scalar has no truth value.
+                known = {s["start"]: (s["start"], s["end"], np.frombuffer(s["ids"], dtype=_width(encoder))) for s in (None if shared is None else shared.as_py()) or []}
                 ids = repaired(encoder, text.as_py() or "", list(known.values()))
                 counts.append(len(ids))
                 if finish == "ids":
@@ -198,41 +218,56 @@ def _vocabulary(spark: SparkSession, path: str | None):
 
 def shared_bodies(texts: DataFrame) -> DataFrame:
     """All places of bodies that occur at least twice: doc, body, start, end, h1, h2, owner (one place of each)."""
-    places = texts.select("doc", "body", "text").mapInArrow(_chunk_rows, "doc string, body long, start long, end long, h1 long, h2 long")
+    places = saved(texts.select("doc", "body", "text").mapInArrow(_chunk_rows, "doc string, body long, start long, end long, h1 long, h2 long"))
     counted = places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "body", "start")).alias("first"))
     again = saved(counted.where("n > 1").drop("n"))  # as rows of its own, so that a join with hot bodies can be split
     owner = F.struct("doc", "body", "start").eqNullSafe(F.col("first"))
     return places.join(again, ["h1", "h2"]).select("doc", "body", "start", "end", "h1", "h2", owner.alias("owner"))
 
 
+def marked(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A bitmap of the key's values (long) in saved rows (n, the first is 1, and bits), and how many bits it has."""
+    size = max(_ROW_BITS, min(MARK_BITS, 1 << (16 * rows.count()).bit_length()))
+    slots = rows.select(F.expr(f"pmod({key}, {size}L) + 1").alias("slot"))
+    return saved(slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))), size
+
+
+def in_bitmap(rows: DataFrame, key: str, marks: tuple[DataFrame, int]) -> DataFrame:
+    """The rows with hit: whether the key is in the bitmap, which is broadcast."""
+    bitmap, size = marks
+    keyed = rows.withColumn("slot", F.expr(f"pmod({key}, {size}L)"))
+    met = keyed.join(F.broadcast(bitmap), F.expr(f"slot div {_ROW_BITS} + 1") == F.col("n"), "left")
+    byte = f"conv(hex(substring(bits, int(slot % {_ROW_BITS}) div 8 + 1, 1)), 16, 10)"
+    return met.withColumn("hit", F.expr(f"coalesce((shiftright(int({byte}), int(slot % 8)) & 1) = 1, false)")).drop("slot", "n", "bits")
+
+
+def _gathered(marks: tuple[DataFrame, int]) -> bytes:
+    """The bitmap as one value, MARK_BITS / 8 bytes at most."""
+    bitmap, size = marks
+    out = bytearray(size // 8)
+    for r in bitmap.toLocalIterator():
+        out[(r["n"] - 1) * _ROW_BITS // 8 : r["n"] * _ROW_BITS // 8] = r["bits"]
+    return bytes(out)
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, finish: str = "ids") -> DataFrame:
     """One row per document: doc_id, body (hash of the text), n_tokens, and ids as array<int>.
 
     With finish="digest" the ids are decoded again and ids_sha256 and decoded_sha256 stand in their place.
     """
-    vocabulary = _vocabulary(docs.sparkSession, path)
-    kind = docs.schema[doc_id].dataType
+    spark, vocabulary = docs.sparkSession, _vocabulary(docs.sparkSession, path)
+    kind, key = docs.schema[doc_id].dataType, "xxhash64(doc, body)"
     texts = docs.select(F.col(doc_id).cast("string").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     places = saved(shared_bodies(texts))
-    # The text of one owner of each shared body.
-    spans = places.where("owner").groupBy("doc", "body").agg(F.collect_set(F.struct("start", "end", "h1", "h2")).alias("spans"))
-    if fits(places.where("owner").count(), 96):
-        spans = F.broadcast(spans)
-    owned = texts.join(spans, same(texts, spans, [("doc", "doc"), ("body", "body")])).select(texts["text"], "spans")
-    once = saved(owned.mapInArrow(_encode_spans(vocabulary), "h1 long, h2 long, ids binary").dropDuplicates(["h1", "h2"]))
+    owned = spark.sparkContext.broadcast(_gathered(marked(places.where("owner"), f"({key} ^ h1)")))
+    coded = texts.select(F.expr(key).alias("key"), "text").mapInArrow(_encode_owned(vocabulary, owned), "h1 long, h2 long, ids binary")
+    once = saved(coded.dropDuplicates(["h1", "h2"]))
     filled = places.join(once, ["h1", "h2"]).groupBy("doc", "body").agg(F.collect_list(F.struct("start", "end", "ids")).alias("shared"))
-    users = saved(places.select("doc", "body").distinct())
-
-    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(right, same(left, right, [("doc", "doc"), ("body", "body")]), how)
-
-    if fits(users.count(), 64):
-        # Few enough to tell without a shuffle which texts have no shared body; those are encoded where they are.
-        few = F.broadcast(users)
-        mixed = meet(texts, few, "left_semi")
-        parts = [meet(texts, few, "left_anti"), meet(mixed, filled, "inner").select(mixed["doc"], mixed["body"], mixed["text"], "shared")]
-    else:
-        parts = [meet(texts, filled, "left").select(texts["doc"], texts["body"], texts["text"], "shared")]
+    # Without a shuffle: nearly all texts without a shared body are told, and encoded where they are.
+    told = in_bitmap(texts, key, marked(places.select("doc", "body").distinct(), key))
+    mixed = told.where("hit").drop("hit")
+    met = mixed.join(filled, same(mixed, filled, [("doc", "doc"), ("body", "body")]), "left")
+    parts = [told.where("not hit").drop("hit"), met.select(mixed["doc"], mixed["body"], mixed["text"], "shared")]
     made = {"ids": "ids array<int>", "digest": "ids_sha256 string, decoded_sha256 string"}[finish]
     out = [t.mapInArrow(_assemble(vocabulary, finish), f"doc string, body long, n_tokens long, {made}") for t in parts]
     both = reduce(DataFrame.unionByName, out)

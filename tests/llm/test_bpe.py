@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,47 @@ def test_shared_passages_round_trip(spark):
     assert {r.doc_id: r.ids for r in back} == {i: want(t) for i, t in rows}
 
 
+class Held:
+    """Stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_texts_without_shared_bodies_among_others():
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ids", pa.binary())]))
+    text = "some words that stand for themselves"
+    ids = np.asarray(want(text[:10]), bpe._width(encoder)).tobytes()
+    arrays = [pa.array(["1", "2"]), pa.array([1, 2]), pa.array([text, text]), pa.array([None, [{"start": 0, "end": 10, "ids": ids}]], kind)]
+    with open(bpe.default_path(), "rb") as file:
+        run = bpe._assemble(Held(file.read()), "ids")
+    (got,) = run(iter([pa.RecordBatch.from_arrays(arrays, ["doc", "body", "text", "shared"])]))
+    assert got.column("ids").to_pylist() == [want(text), want(text)]
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_bitmap_tells_members(spark, monkeypatch, bits):
+    monkeypatch.setattr(bpe, "MARK_BITS", bits)
+    rows = spark.range(20_000).selectExpr("id", "if(id = 0, -9223372036854775808, xxhash64(id)) as k")
+    marks = bpe.marked(rows.where("id % 2 = 0"), "k")
+    told = bpe.in_bitmap(rows, "k", marks).collect()
+    assert len(told) == 20_000 and all(r.hit for r in told if r.id % 2 == 0)
+    wrong, whole = sum(r.hit for r in told if r.id % 2), bpe._gathered(marks)
+    assert 8 * len(whole) == marks[1] <= bits and (wrong < 1000 if bits > 1 << 15 else 1000 < wrong < 5000)
+    assert [bool(whole[(s := r.k & (marks[1] - 1)) >> 3] >> (s & 7) & 1) for r in told] == [r.hit for r in told]
+
+
+def test_texts_that_a_full_bitmap_takes_along(spark, monkeypatch):
+    """Every text and every body is told as shared: those that are not come out the same."""
+    passage = " ".join(f"passage{i} text" for i in range(400))
+    rows = [(i, " ".join(f"own{i}x{k}" for k in range(600)) + (passage if i % 3 == 0 else "")) for i in range(30)] + [(None, None), (5, "x"), (None, passage), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(bpe, "in_bitmap", lambda rows, key, marks: rows.selectExpr("*", "true as hit"))
+    monkeypatch.setattr(bpe, "_gathered", lambda marks: b"\xff" * 4096)
+    got = bpe.encode(docs).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), want(t)) for i, t in rows)
+
+
 def test_counts_after_edits(awkward, empty, spark):
     edits = spark.createDataFrame(
         [(1, 0, 5, "new"), (1, 3, 9, "skipped"), (1, 40, 40, " put"), (4, 10, None, "x"), (4, 50, 99999, None), (6, 0, 0, "filled"), (11, 1000, 1001, ""),
