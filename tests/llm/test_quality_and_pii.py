@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkdlp.llm import cotraining, linear, pii, quality_rules
 from sparkdlp.llm.common import utf8, word_spans
@@ -265,3 +266,18 @@ def test_additions_need_their_check_and_keep_apart(spark, monkeypatch):
 def test_plan_has_no_python(awkward):
     plan = pii.find(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_example_is_fitted_on(spark, monkeypatch):
+    """What the fit reads stands for all examples of a kind, those that occur once too."""
+    rows = [(i, f"mail {'a' * (1 + i % 3 if i % 20 else 100 + i)}@x.org or 1.2.3.{i % 400}") for i in range(3000)]
+    found = pii.with_features(pii.checked(pii.proposals(spark.createDataFrame(rows, "doc_id long, text string")))).cache()
+    read = []
+    monkeypatch.setattr(pii, "saved", lambda df: read.append(df.cache()) or read[-1])
+    assert pii.train(found).thresholds
+    (sample,) = read
+    got = {(r.kind, r.label): r.n for r in sample.groupBy("kind", "label").agg(F.sum("weight").alias("n")).collect()}
+    right = sum(i % 400 < 256 for i in range(3000))
+    assert {k: n for k, n in got.items() if k[0] in ("email", "ip")} == {("email", 1.0): 3000, ("email", 0.0): 3000, ("ip", 1.0): right, ("ip", 0.0): 3000}
+    assert {100 + i + 6 for i in range(0, 3000, 20)} <= {r.chars for r in sample.where("kind = 'email' and label = 1").select("chars").collect()}
+    assert sample.count() < 1500
